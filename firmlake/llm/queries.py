@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from firmlake.llm.mixing import OP1_SQL, op1_mixing
 from firmlake.llm.secrets import op3_secrets
+from firmlake.llm.simhash import op10_simhash
+from firmlake.llm.vectors import op9_embeddings
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op3_secrets": op3_secrets}
+    return {
+        "op1_mixing": op1_mixing,
+        "op3_secrets": op3_secrets,
+        "op9_embeddings": op9_embeddings,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
