@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from firmlake.llm.mixing import OP1_SQL, op1_mixing
+from firmlake.llm.pieces import op2_pieces
 from firmlake.llm.secrets import op3_secrets
 from firmlake.llm.simhash import op10_simhash
 from firmlake.llm.vectors import op9_embeddings
@@ -11,6 +12,7 @@ from firmlake.llm.vectors import op9_embeddings
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
+        "op2_pieces": op2_pieces,
         "op3_secrets": op3_secrets,
         "op9_embeddings": op9_embeddings,
         "op10_simhash": op10_simhash,
