@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from firmlake.llm.language import op5_language
 from firmlake.llm.mixing import OP1_SQL, op1_mixing
 from firmlake.llm.pieces import op2_pieces
 from firmlake.llm.secrets import op3_secrets
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op1_mixing": op1_mixing,
         "op2_pieces": op2_pieces,
         "op3_secrets": op3_secrets,
+        "op5_language": op5_language,
         "op9_embeddings": op9_embeddings,
         "op10_simhash": op10_simhash,
     }
