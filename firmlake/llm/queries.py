@@ -5,6 +5,7 @@ from __future__ import annotations
 from firmlake.llm.language import op5_language
 from firmlake.llm.mixing import OP1_SQL, op1_mixing
 from firmlake.llm.pieces import op2_pieces
+from firmlake.llm.scoring import op6_scoring
 from firmlake.llm.secrets import op3_secrets
 from firmlake.llm.simhash import op10_simhash
 from firmlake.llm.toxicity import op7_toxicity
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op2_pieces": op2_pieces,
         "op3_secrets": op3_secrets,
         "op5_language": op5_language,
+        "op6_scoring": op6_scoring,
         "op7_toxicity": op7_toxicity,
         "op9_embeddings": op9_embeddings,
         "op10_simhash": op10_simhash,
