@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from firmlake.llm.language import op5_language
+from firmlake.llm.media import op4_media
 from firmlake.llm.mixing import OP1_SQL, op1_mixing
 from firmlake.llm.pieces import op2_pieces
 from firmlake.llm.scoring import op6_scoring
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op1_mixing": op1_mixing,
         "op2_pieces": op2_pieces,
         "op3_secrets": op3_secrets,
+        "op4_media": op4_media,
         "op5_language": op5_language,
         "op6_scoring": op6_scoring,
         "op7_toxicity": op7_toxicity,
