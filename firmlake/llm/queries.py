@@ -9,12 +9,20 @@ from firmlake.llm.pieces import op2_pieces
 from firmlake.llm.scoring import op6_scoring
 from firmlake.llm.secrets import op3_secrets
 from firmlake.llm.simhash import op10_simhash
+from firmlake.llm.suffixes import op8_suffixes
 from firmlake.llm.toxicity import op7_toxicity
 from firmlake.llm.vectors import op9_embeddings
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_mixing": op1_mixing,
         "op2_pieces": op2_pieces,
         "op3_secrets": op3_secrets,
@@ -22,6 +30,7 @@ def queries() -> dict:
         "op5_language": op5_language,
         "op6_scoring": op6_scoring,
         "op7_toxicity": op7_toxicity,
+        "op8_suffixes": op8_suffixes,
         "op9_embeddings": op9_embeddings,
         "op10_simhash": op10_simhash,
     }

@@ -150,14 +150,22 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with secrets replaced in the text; every row stays, other columns are untouched."""
+    """``docs`` with secrets replaced in the text; every row stays.
+
+    A column n_chars, if there is one, becomes the new text's length where the text changed. Other columns are untouched.
+    """
 
     @F.pandas_udf("string")
     def masked(texts):
         auto = automaton()
         return texts.map(lambda t: None if t is None else redact(t, scan(t, auto)))
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    new = docs.withColumn("_masked", masked(F.col(text_col)))
+    changed = ~F.col("_masked").eqNullSafe(F.col(text_col))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new = new.withColumn("n_chars", F.when(changed, F.length("_masked").cast(kind)).otherwise(F.col("n_chars")))
+    return new.withColumn(text_col, F.col("_masked")).select(*docs.columns)
 
 
 def joined(spans) -> str:
