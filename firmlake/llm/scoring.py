@@ -1,6 +1,6 @@
 """LM scoring: word counts over the corpus, and prediction by partial matching over bytes.
 
-The model is a byte-context trie of depth three, pretrained on the training documents. A byte is coded in its
+The model is a byte-context trie of depth four, pretrained on the training documents. A byte is coded in its
 longest known context; a byte that this context has not seen costs an escape, and is coded in the next shorter one
 with the bytes already ruled out excluded, down to the uniform distribution. As the trie is fixed while
 documents are scored, the code length of every byte in every context is tabulated once, and a document's score is the
@@ -18,29 +18,33 @@ from pyspark.sql import functions as F
 
 from firmlake.llm.common import crc_mod, flat_arrow, written
 
-MARK = 255  # never part of UTF-8: stands before a text, three times, and after it
-CONTEXTS = 40_000  # contexts of three bytes that the trie keeps, the most frequent; shorter ones stand in for others
-FREQUENT = 200_000  # words whose counts are broadcast; the others' are joined
-FLUSH = 400_000  # words or byte sequences that a task tallies before it hands them on
+DEPTH = 4  # bytes of the longest context
+MARK = b"\xff"  # never part of UTF-8: stands before a text, DEPTH times, and after it
+CONTEXTS = 60_000  # contexts of DEPTH bytes that the trie keeps, the most frequent; shorter ones stand in for others
+FREQUENT = 100_000  # words whose counts are broadcast, at most; the others' are joined
+FLUSH = 400_000  # words, and sequences times four, that a task tallies before it hands them on
 ADD = 0.1
 
 
 def framed(text: str | None) -> np.ndarray:
-    return np.frombuffer(b"\xff\xff\xff" + (text or "").encode(errors="replace") + b"\xff", np.uint8)
+    return np.frombuffer(MARK * DEPTH + (text or "").encode(errors="replace") + MARK, np.uint8)
 
 
 def sequences(data: np.ndarray) -> np.ndarray:
-    """Every byte but the leading marks, with the three before it, as one number."""
-    x = data.astype(np.uint32)
-    return x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
+    """Every byte but the leading marks, with the DEPTH before it, as one number."""
+    n, code = len(data) - DEPTH, np.zeros(len(data) - DEPTH, np.int64)
+    for k in range(DEPTH + 1):
+        code = code << 8 | data[k : k + n]
+    return code
 
 
 class _Tally:
-    """Words and byte sequences of the texts, in bounded parts: (kind 0 word, 1 sequence, 2 end)."""
+    """Words and byte sequences of the texts, in bounded parts."""
 
     def __init__(self):
         self.words: Counter = Counter()
         self.parts: list[np.ndarray] = []
+        self.code, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.size = self.ends = 0
 
     def _words(self) -> Iterator[dict]:
@@ -48,12 +52,19 @@ class _Tally:
             yield {"word": list(self.words.keys()), "code": [None] * len(self.words), "n": list(self.words.values())}
             self.words = Counter()
 
-    def _sequences(self) -> Iterator[dict]:
+    def _fold(self) -> None:
         if self.parts:
             code, n = np.unique(np.concatenate(self.parts), return_counts=True)
-            yield {"word": [None] * len(code), "code": code.astype(np.int64), "n": n}
+            both, at = np.unique(np.concatenate([self.code, code]), return_inverse=True)
+            self.code, self.n = both, np.bincount(at, np.concatenate([self.n, n])).astype(np.int64)
             self.parts, self.size = [], 0
 
+    def _sequences(self) -> Iterator[dict]:
+        self._fold()
+        if len(self.code):
+            yield {"word": [None] * len(self.code), "code": self.code, "n": self.n}
+        self.code, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def __call__(self, batch) -> Iterator[dict]:
         for text in batch.column(0):
             text = text.as_py()
@@ -63,8 +74,10 @@ class _Tally:
             self.size += len(self.parts[-1])
             if len(self.words) > FLUSH:
                 yield from self._words()
-            if self.size > 1 << 23:
-                yield from self._sequences()
+            if self.size > 1 << 22:
+                self._fold()
+                if len(self.code) > 4 * FLUSH:
+                    yield from self._sequences()
 
     def finish(self) -> Iterator[dict]:
         yield from self._words()
@@ -88,18 +101,35 @@ def suffix_counts(code: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarr
 
 
 class Trie:
-    """Known contexts by length, and log10 probabilities of each byte by context. ``short``: counts of three-byte sequences, ``deep``: of four."""
+    """Known contexts by length, and log10 probabilities of each byte by context.
+
+    ``short``: counts of sequences of DEPTH bytes, ``deep``: of DEPTH + 1. Rows of the table are contexts, the empty one first,
+    then by length; columns are the bytes seen, and one for each of the others. ``longer`` leads from a context's row to that of the context
+    longer by one byte to the left, or, if that isn't known, to the same row.
+    """
 
     def __init__(self, short: tuple[np.ndarray, np.ndarray], deep: tuple[np.ndarray, np.ndarray]):
         self.grams = {}
-        for order in range(4):
-            keys, counts = deep if order == 3 else suffix_counts(*short, order)
+        for order in range(DEPTH + 1):
+            keys, counts = deep if order == DEPTH else suffix_counts(*short, order)
             at = np.argsort(keys, kind="stable")
             self.grams[order] = keys[at] >> 8, keys[at] & 255, counts[at]
-        self.rows = {k: np.unique(self.grams[k][0]) if k else np.zeros(1, np.int64) for k in range(4)}
-        self.start = np.cumsum([0] + [len(self.rows[k]) for k in range(4)])
+        self.rows = {k: np.unique(self.grams[k][0]) if k else np.zeros(1, np.int64) for k in range(DEPTH + 1)}
+        self.start = np.cumsum([0] + [len(self.rows[k]) for k in range(DEPTH + 1)])
+        seen = np.unique(np.append(self.grams[0][1], MARK[0]))
+        self.column = np.full(256, len(seen), np.int64)
+        self.column[seen] = np.arange(len(seen))
+        rest = np.setdiff1d(np.arange(256), seen)
+        self.shown = np.append(seen, rest[:1]) if len(rest) else seen
+        self.longer = np.repeat(np.arange(self.start[-2], dtype=np.int32)[:, None], len(seen) + 1, 1)
+        for k in range(1, DEPTH + 1):
+            top, below = self.rows[k] >> 8 * (k - 1), self.rows[k] & ((1 << 8 * (k - 1)) - 1)
+            at = np.searchsorted(self.rows[k - 1], below)
+            at = np.minimum(at, len(self.rows[k - 1]) - 1)
+            known = self.rows[k - 1][at] == below
+            self.longer[self.start[k - 1] + at[known], self.column[top[known]]] = self.start[k] + np.nonzero(known)[0]
         self.table = self._table()
-        self.grams = self.lookup = None
+        self.grams = self.rows = None
 
     def _dense(self, order: int, contexts: np.ndarray) -> np.ndarray:
         """Counts of all 256 bytes after each of the contexts."""
@@ -114,8 +144,8 @@ class Trie:
 
         Excluded bytes are left out of the counts of shorter contexts; a context whose bytes are all excluded is skipped.
         """
-        table = np.zeros((self.start[-1], 256), np.float32)
-        for order in range(4):
+        table = np.zeros((self.start[-1], self.column.max() + 1), np.float32)
+        for order in range(DEPTH + 1):
             for at in range(0, len(self.rows[order]), 1024):
                 these = self.rows[order][at : at + 1024]
                 p, left, out = np.zeros((len(these), 256)), np.ones(len(these)), np.zeros((len(these), 256), bool)
@@ -130,36 +160,54 @@ class Trie:
                 rest = (~out).sum(1)
                 p += np.where(out, 0, (left / np.maximum(rest, 1))[:, None])
                 p /= p.sum(1, keepdims=True)  # if no byte is left to escape to, what escapes kept is given back
-                table[self.start[order] + at :][: len(these)] = np.log10(p)
+                table[self.start[order] + at :][: len(these), : len(self.shown)] = np.log10(p[:, self.shown])
         return table
 
     def score(self, data: np.ndarray) -> float:
         """log10 probability of a framed text, its end included."""
-        if self.lookup is None:  # the row of every possible three-byte context; built once a worker
-            row = np.zeros((256, 256, 256), np.uint16 if self.start[-1] < 1 << 16 else np.int32)
-            one, two, three = (self.rows[k] for k in (1, 2, 3))
-            row[:, :, one] = self.start[1] + np.arange(len(one))
-            row[:, two >> 8, two & 255] = self.start[2] + np.arange(len(two))
-            row[three >> 16, three >> 8 & 255, three & 255] = self.start[3] + np.arange(len(three))
-            self.lookup = row.reshape(-1)
         total = 0.0
-        for at in range(0, len(data) - 3, 1 << 18):
-            x = data[at : at + (1 << 18) + 3].astype(np.int32)
-            context = x[:-3] << 16 | x[1:-2] << 8 | x[2:-1]
-            total += float(self.table[self.lookup[context], x[3:]].sum(dtype=np.float64))
+        for at in range(0, len(data) - DEPTH, 1 << 16):
+            x = self.column[data[at : at + (1 << 16) + DEPTH]]
+            n = len(x) - DEPTH
+            row = self.longer[0, x[DEPTH - 1 : DEPTH - 1 + n]]
+            for k in range(2, DEPTH + 1):
+                going = row >= self.start[k - 1]  # contexts that were known so far
+                longer = self.longer[np.where(going, row, 0), x[DEPTH - k : DEPTH - k + n]]
+                row = np.where(going, longer, row)
+            total += float(self.table[row, x[DEPTH:]].sum(dtype=np.float64))
         return total
 
 
 def pretrained(counts: DataFrame, contexts: int = CONTEXTS) -> Trie:
-    """The trie of written (code, n). What comes to the driver is bounded: 2^24 short sequences, and 256 times ``contexts``."""
+    """The trie of written (code, n). What comes to the driver is bounded by ``contexts`` for the longest, and for shorter ones as well."""
     counts = counts.where("code >= 0")
-    context = F.shiftrightunsigned("code", 8)
-    kept = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(contexts)
-    deep = counts.withColumn("context", context).join(F.broadcast(kept.select("context")), "context").select("code", "n").toPandas()
-    short = counts.groupBy(F.col("code").bitwiseAND(F.lit(0xFFFFFF)).alias("code")).agg(F.sum("n").alias("n")).toPandas()
+
+    def kept(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("context", F.shiftrightunsigned("code", 8))
+        best = rows.groupBy("context").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "context").limit(contexts)
+        return rows.join(F.broadcast(best.select("context")), "context").select("code", "n")
+
+    deep = kept(counts).toPandas()
+    short = kept(counts.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * DEPTH) - 1)).alias("code")).agg(F.sum("n").alias("n"))).toPandas()
     return Trie(*((x["code"].to_numpy(np.int64), x["n"].to_numpy(np.float64)) for x in (short, deep)))
 
 
+def frequent_words(words: DataFrame, most: int) -> dict[bytes, int]:
+    """At most so many of the most frequent words, of up to 256 bytes, by a threshold from a histogram of counts; ties stay out together."""
+    words = words.where(F.length("word") <= 256)
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    held, least = 0, None
+    for r in sorted(words.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        held += r["count"]
+        if held > most:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    rows = words.where(step >= least).toArrow()
+    return dict(zip((bytes(w) for w in rows["word"].to_pylist()), rows["n"].to_pylist(), strict=True))
+
+
 def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, contexts: int = CONTEXTS) -> DataFrame:
     """One row a document: (doc_id, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -173,8 +221,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
     ends = int(codes.where("code < 0").agg(F.sum("n")).first()[0] or 0)
     total, kinds = words.agg(F.sum("n"), F.count("*")).first()
     total, kinds = int(total or 0) + ends, int(kinds) + (ends > 0)
-    common = words.where(F.length("word") <= 256).orderBy(F.desc("n"), "word").limit(frequent).collect()
-    sent = spark.sparkContext.broadcast((trie, {bytes(w): float(np.log10(n + ADD)) for w, n in common}, float(np.log10(ends + ADD)), ends > 0))
+    sent = spark.sparkContext.broadcast((trie, {w: float(np.log10(n + ADD)) for w, n in frequent_words(words, frequent).items()}, float(np.log10(ends + ADD)), ends > 0))
 
     class Score:
         def __init__(self):
