@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,13 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more. It does so when the driver collects its garbage, which a
+    driver with little to do may put off until disks are full; call it where a written table has replaced what was shuffled."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join with ``right`` broadcast only if a count of it proves it small; else a shuffled join.
 

@@ -7,9 +7,10 @@ windows choose equal suffixes, at the same place in them, so windows can only re
 1. Splitters sampled from the chosen suffixes' leading bytes range-partition them into buckets of similar size.
 2. A bucket is sorted by multikey quicksort: by the GRAM bytes, then by the block, all bytes of the windows that chose
    the suffix, then by document and place. Of equal blocks all but the first are repeated throughout.
-   Suffixes that begin alike but differ in their blocks, at the edges of what repeats, and groups that a splitter may have
-   cut, are compared further, across boundaries:
-3. their windows are brought together one by one by two hashes, and all but the first of equal windows are repeated.
+   Suffixes that begin alike but differ in their blocks, at the edges of what repeats, are compared further:
+3. their blocks are brought together by the gram, and all but the first of equal windows in them are repeated.
+   Groups that a splitter may have cut are compared across bucket boundaries, and groups of more than GROUP blocks in
+   pieces: their windows are brought together one by one, by two hashes.
 
 Gram, block and windows are compared by 64-bit hashes, of which two independent ones must agree. What repeats within one batch
 of documents is settled there, so a passage that a third of all documents share is moved once a batch.
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import written
+from firmlake.llm.common import release, written
 
 LENGTH = 100
 GRAM = 40
@@ -33,6 +34,8 @@ PIECE = 1 << 20  # windows of a text handled at a time
 BATCH = 8 << 20  # bytes of texts whose repetitions are settled at once
 BUCKET = 400_000  # chosen suffixes of a bucket, about
 SAMPLED = 2_000  # documents whose suffixes give the splitters
+GROUP = 4_000  # blocks of a gram up to which they are compared in one place
+CHUNK = 4_096  # blocks whose windows are compared at a time, and whole groups at least
 NO_ID = (1 << 63) - 1  # documents without an id come last
 
 _rng = np.random.default_rng(20)
@@ -145,7 +148,7 @@ def batches_of(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
 
 
 SUFFIX = "bucket int, k1 long, k2 long, id long, twin long, at long"
-FOUND = "id long, twin long, start long, end long, open boolean"
+FOUND = "id long, twin long, start long, end long, mode int, gram long"  # mode: 0 repeated, 1 compare by block, 2 by window
 
 
 def suffix_rows(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
@@ -195,7 +198,8 @@ def suffix_rows(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
 
 
 def bucket_rows(rows: DataFrame, buckets: int) -> DataFrame:
-    """Buckets of suffixes -> repeated intervals (open false), and windows first..last left to compare (open true)."""
+    """Buckets of suffixes -> repeated intervals (mode 0), and windows first..last left to compare."""
+    names = ["id", "twin", "start", "end", "mode", "gram"]
 
     def run(batches):
         parts = []
@@ -204,7 +208,7 @@ def bucket_rows(rows: DataFrame, buckets: int) -> DataFrame:
             settled = columns[4] < 0
             if settled.any():
                 k1, k2, key, twin, _ = (c[settled] for c in columns)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(twin), pa.array(k1), pa.array(k2), pa.array(np.zeros(len(key), bool))], ["id", "twin", "start", "end", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(twin), pa.array(k1), pa.array(k2), pa.array(np.zeros(len(key), np.int32)), pa.array(np.zeros(len(key), np.int64))], names)
             if not settled.all():
                 parts.append([c[~settled] for c in columns])
         if not parts:
@@ -219,48 +223,128 @@ def bucket_rows(rows: DataFrame, buckets: int) -> DataFrame:
         again = same_gram & np.concatenate([[False], block[1:] == block[:-1]])
         starts = np.nonzero(~same_gram)[0]
         blocks = np.add.reduceat((~again).astype(np.int64), starts)
-        several = np.repeat(blocks > 1, np.diff(np.append(starts, len(gram))))
-        more = ~again & (several | ((at & 1) == 1))
-        for pick, opened, plus in ((again, False, LENGTH), (more, True, 0)):
-            if pick.any():
-                n = int(pick.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(key[pick]), pa.array(twin[pick]), pa.array(first[pick]), pa.array(last[pick] + plus), pa.array(np.full(n, opened))], ["id", "twin", "start", "end", "open"])
+        blocks = np.repeat(blocks, np.diff(np.append(starts, len(gram))))
+        edge = (at & 1) == 1
+        mode = np.where(again, 0, np.where(edge | (blocks > GROUP), 2, 1)).astype(np.int32)
+        pick = again | (blocks > 1) | edge
+        last = last + np.where(again, LENGTH, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in (key, twin, first, last, mode, np.where(again, 0, gram))], names)
 
     return rows.repartitionById(buckets, "bucket").mapInArrow(run, FOUND)
 
 
-def window_rows(docs: DataFrame) -> DataFrame:
-    """(id, twin, text, ranges) -> hashes of the windows to compare, with start; or, open false, repeated intervals found at once."""
+def block_rows(docs: DataFrame) -> DataFrame:
+    """(id, twin, text, ranges) -> blocks of mode 1, with their bytes; and hashes of single windows of mode 2, or, with an end, intervals settled at once."""
+    names = ["k1", "k2", "id", "twin", "start", "end", "block"]
+
+    def rows_of(columns, block=None):
+        arrays = [pa.array(c) for c in columns]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(block, pa.binary()) if block is not None else pa.nulls(len(arrays[0]), pa.binary())], names)
 
     def run(batches):
-        names = ["w1", "w2", "id", "twin", "start", "end"]
         for batch in batches:
             for rows in batches_of(batch):
-                parts = []
-                for i, (_, _, data, ranges) in enumerate(rows):
-                    whole = np.frombuffer(data, np.uint8)
-                    wanted = np.zeros(len(whole) + 1, np.int64)
+                whole, parts = [], []
+                for i, (key, twin, data, ranges) in enumerate(rows):
+                    raw, wanted = np.frombuffer(data, np.uint8), None
                     for r in ranges:
-                        wanted[r["start"]] += 1
-                        wanted[r["end"] + 1] -= 1
+                        if r["mode"] == 1:
+                            whole.append((r["gram"], 0, key, twin, r["start"], -1, data[r["start"] : r["end"] + LENGTH]))
+                        else:
+                            wanted = np.zeros(len(raw) + 1, np.int64) if wanted is None else wanted
+                            wanted[r["start"]] += 1
+                            wanted[r["end"] + 1] -= 1
+                    if wanted is None:
+                        continue
                     wanted = np.nonzero(np.cumsum(wanted))[0]
-                    for at, piece in pieces(whole):
+                    for at, piece in pieces(raw):
                         own = wanted[(wanted >= at) & (wanted + LENGTH <= at + len(piece))] - at
                         if len(own):
-                            w = [mixed(hashes(prefix_sums(piece, k), k, own, own + LENGTH)) for k in (0, 1)]
-                            parts.append((*w, np.full(len(own), i), own + at))
-                if not parts:
-                    continue
-                w1, w2, owner, start = (np.concatenate(p) for p in zip(*parts, strict=True))
-                order = multikey_order([w1, w2, owner, start])
-                a, b = w1[order], w2[order]
-                again = order[np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])]
-                end = np.full(len(order), -1)
-                end[again] = start[again] + LENGTH
-                ids, twins = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids[owner]), pa.array(twins[owner]), pa.array(start), pa.array(end)], names)
+                            parts.append((*(mixed(hashes(prefix_sums(piece, k), k, own, own + LENGTH)) for k in (0, 1)), np.full(len(own), i), own + at))
+                if whole:
+                    *columns, block = zip(*whole, strict=True)
+                    yield rows_of([np.array(c, np.int64) for c in columns], block)
+                if parts:
+                    w1, w2, owner, start = (np.concatenate(p) for p in zip(*parts, strict=True))
+                    order = multikey_order([w1, w2, owner, start])
+                    again = order[repeated(w1[order], w2[order])]
+                    end = np.full(len(order), -1)
+                    end[again] = start[again] + LENGTH
+                    ids, twins = (np.array([r[k] for r in rows], np.int64)[owner] for k in (0, 1))
+                    yield rows_of([w1.view(np.int64), w2.view(np.int64), ids, twins, start, end])
+
+    return docs.mapInArrow(run, "k1 long, k2 long, id long, twin long, start long, end long, block binary")
+
+
+def repeated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows have both keys of the row before."""
+    return np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
+
+
+def blocks_compared(blocks: list[bytes], start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks in the order of documents -> (row, start, end) of windows that an earlier block, or place of the same, has."""
+    size = np.array([len(b) for b in blocks])
+    data = np.frombuffer(b"".join(blocks), np.uint8)
+    windows = size - LENGTH + 1
+    owner = np.repeat(np.arange(len(blocks)), windows)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = np.repeat(np.cumsum(size) - size, windows) + inside
+    w = []
+    for k in (0, 1):
+        values = np.empty(len(at), np.uint64)
+        for a in range(0, len(data), PIECE):  # sums are taken a piece at a time, so powers stay bounded
+            low, high = np.searchsorted(at, [a, a + PIECE])
+            piece = data[a : a + PIECE + LENGTH]
+            values[low:high] = hashes(prefix_sums(piece, k), k, at[low:high] - a, at[low:high] - a + LENGTH)
+        w.append(mixed(values))
+    order = multikey_order([*w, np.arange(len(at))])
+    again = np.sort(order[repeated(w[0][order], w[1][order])])
+    begin = start[owner[again]] + inside[again]
+    new = np.concatenate([[True], (owner[again][1:] != owner[again][:-1]) | (begin[1:] != begin[:-1] + 1)])[: len(again)]
+    first = np.nonzero(new)[0]
+    last = np.append(first[1:], len(again)) - 1
+    return owner[again][first], begin[first], begin[last[: len(first)]] + LENGTH
+
+
+def spans_compared(rows: DataFrame) -> DataFrame:
+    """Blocks and windows, brought together by their keys -> repeated intervals."""
 
-    return docs.mapInArrow(run, "w1 long, w2 long, id long, twin long, start long, end long")
+    def run(batches):
+        names = ["id", "twin", "start", "end"]
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def compared(rows: pa.Table):
+            ids, twins, start = (rows.column(c).to_numpy() for c in ("id", "twin", "start"))
+            own, begin, end = blocks_compared(rows.column("block").to_pylist(), start)
+            return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(twins[own]), pa.array(begin), pa.array(end)], names)
+
+        for batch in batches:
+            block, end = batch.column(6), batch.column(5).to_numpy()
+            single = np.asarray(block.is_null())
+            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            alone = single & (end < 0)  # windows to compare with each other
+            before = np.concatenate([[(k1[0], k2[0]) == last], alone[:-1] & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])])
+            last = (k1[-1], k2[-1]) if alone[-1] else None
+            pick = single & ((end >= 0) | before)
+            if pick.any():
+                ids, twins, start = (batch.column(k).to_numpy()[pick] for k in (2, 3, 4))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(twins), pa.array(start), pa.array(start + LENGTH)], names)
+            held.append(batch.filter(pa.array(~single)))
+            if sum(b.num_rows for b in held) > CHUNK:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                grams = rows.column("k1").to_numpy()
+                whole = int(np.searchsorted(grams, grams[-1]))  # the last group may go on
+                if whole:
+                    yield compared(rows.slice(0, whole))
+                held = rows.slice(whole).to_batches()
+        if sum(b.num_rows for b in held):
+            yield compared(pa.Table.from_batches(held).combine_chunks())
+
+    # single windows and blocks differ in their second key; settled windows come first, and are not what others repeat
+    dealt = rows.withColumns({"single": F.col("block").isNull(), "open": F.col("end") < 0})
+    dealt = dealt.repartition("k1").sortWithinPartitions("single", "open", "k1", "k2", "id", "twin", "start")
+    return dealt.drop("single", "open").mapInArrow(run, "id long, twin long, start long, end long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -285,13 +369,13 @@ def repeats(docs: DataFrame) -> DataFrame:
         if len(sample):
             splitters = np.unique(sample[np.arange(1, buckets) * len(sample) // buckets])
     found = written(bucket_rows(suffix_rows(docs, splitters), len(splitters) + 1), "suffixes")
-    ranges = found.where("open").groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    windows = window_rows(docs.join(ranges, ["id", "twin"]).select("id", "twin", "text", "ranges"))
-    windows = written(windows, "windows")
-    later = Window.partitionBy("w1", "w2").orderBy("id", "twin", "start")
-    rest = windows.where("end < 0").withColumn("before", F.lag("id").over(later)).where("before IS NOT NULL")
-    spans = found.where("NOT open").select("id", "twin", "start", "end").unionByName(windows.where("end >= 0").select("id", "twin", "start", "end")).unionByName(rest.select("id", "twin", "start", (F.col("start") + LENGTH).alias("end")))
-    return written(spans.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    release(docs.sparkSession)
+    ranges = found.where("mode > 0").groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end", "mode", "gram")).alias("ranges"))
+    rest = spans_compared(block_rows(docs.join(ranges, ["id", "twin"]).select("id", "twin", "text", "ranges")))
+    spans = found.where("mode = 0").select("id", "twin", "start", "end").unionByName(rest)
+    spans = written(spans.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    release(docs.sparkSession)
+    return spans
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
