@@ -72,13 +72,15 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return df.withColumn("_copies", F.coalesce(times, F.lit(0)).cast("int"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``, whatever their names.
 
     Defined for all inputs as in ``copies``; rows taken zero times are absent.
     """
-    df = copies(docs, **options).where("_copies > 0")
-    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row = F.struct(*docs.columns).alias("_row")
+    rows = docs.select(row).select("_row", *(F.col("_row")[c].alias(n) for c, n in ((id_col, "_id"), (text_col, "_text"), (source_col, "_source_of"))))
+    df = copies(rows, "_id", "_text", "_source_of", cap, seed).where("_copies > 0")
+    return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,12 +160,14 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
         auto = automaton()
         return texts.map(lambda t: None if t is None else redact(t, scan(t, auto)))
 
-    new = docs.withColumn("_masked", masked(F.col(text_col)))
-    changed = ~F.col("_masked").eqNullSafe(F.col(text_col))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new = new.withColumn("n_chars", F.when(changed, F.length("_masked").cast(kind)).otherwise(F.col("n_chars")))
-    return new.withColumn(text_col, F.col("_masked")).select(*docs.columns)
+    new = docs.select(F.struct(*docs.columns).alias("_row"))
+    new = new.withColumn("_masked", masked(F.col("_row")[text_col]))
+    columns = {c: F.col("_row")[c] for c in docs.columns}
+    if "n_chars" in columns:
+        changed = ~F.col("_masked").eqNullSafe(columns[text_col])
+        columns["n_chars"] = F.when(changed, F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    columns[text_col] = F.col("_masked")
+    return new.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def joined(spans) -> str:

@@ -219,9 +219,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def prints_of(texts):
         return texts.map(lambda t: signed(fingerprint(t, width))).astype("int64")
 
-    whole = F.xxhash64(*docs.columns)
-    marked = docs.withColumns({"_fp": prints_of(F.col(text_col)), "_whole": whole})
-    prints = written(marked.select(F.col(id_col).alias("doc_id"), F.col("_fp").alias("fp"), F.col("_whole").alias("whole")), "fingerprints")
+    row = docs.select(F.struct(*docs.columns).alias("_row"))
+    own_id = F.col("_row")[id_col]
+    marked = row.withColumns({"_fp": prints_of(F.col("_row")[text_col]), "_whole": F.xxhash64("_row")})
+    prints = written(marked.select(own_id.alias("doc_id"), F.col("_fp").alias("fp"), F.col("_whole").alias("whole")), "fingerprints")
     found = groups(prints.select("doc_id", "fp"), radius)
     # the row that stays: smallest id, then smallest hash; rows equal beyond that are dropped below
     heads = bounded_join(prints, found, "fp", "inner").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -230,12 +231,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep = bounded_join(found, heads.select("root", F.col("m.whole").alias("_keep"), F.col("m.fp").alias("_keep_fp")), "root", "inner")
     keep = written(keep.select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component"), "_keep", "_keep_fp"), "keep")
     df = bounded_join(marked, keep, "_fp", "left")
-    stays = F.col("_root").isNull() | (F.col(id_col).eqNullSafe(F.col("_component")) & (F.col("_whole") == F.col("_keep")) & (F.col("_fp") == F.col("_keep_fp")))
+    stays = F.col("_root").isNull() | (own_id.eqNullSafe(F.col("_component")) & (F.col("_whole") == F.col("_keep")) & (F.col("_fp") == F.col("_keep_fp")))
     df = df.where(stays)
     if twins:  # only rows equal in every column can be left over
         alone = df.where("_root IS NULL")
         df = alone.unionByName(df.where("_root IS NOT NULL").dropDuplicates(["_root"]))
-    return df.select(*docs.columns)
+    return df.select("_row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
