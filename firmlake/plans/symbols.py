@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,26 @@ def analysed(files: DataFrame, slot: str | None = None, decoder: Decoder = built
     return {"parsed": parsed, "segments": segments, "boundaries": recover.boundaries(recovered), "instructions": code, "forms": canon.forms(keyed)}
 
 
+def remembered(files: DataFrame, memo: str, slot: str | None = None, decoder: Decoder = builtin) -> DataFrame:
+    """(path, content) -> one recovered row an image, with its sha256; rows of a memo table are reused, new ones are added to it.
+
+    The memo is keyed by content and recovery version, so a file that was seen under another name isn't analysed again.
+    """
+    spark = files.sparkSession
+    parsed = flash.parse(files, slot).where("error IS NULL AND chip IS NOT NULL")
+    try:
+        known = spark.read.parquet(memo)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = None
+    fresh = flash.memo_missing(parsed, known, recover.VERSION) if known is not None else parsed
+    rows = recover.recovered(flash.segment_bytes(fresh, files).where("length > 0"), decoder)
+    rows = rows.join(fresh.select("image_id", "sha256"), "image_id").dropDuplicates(["sha256"]).withColumn("version", F.lit(recover.VERSION))
+    rows.write.mode("append").parquet(memo)
+    return spark.read.parquet(memo).where(F.col("version") == recover.VERSION).join(parsed.select("sha256").distinct(), "sha256", "left_semi")
+
+
 def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str, canon_version: int = canon.VERSION) -> dict[str, DataFrame]:
     """Identified and unidentified functions, regions, coverage and warnings for the images of one chip."""
     builds = corpus.current(chip, canon_version)

@@ -386,3 +386,49 @@ def q_xor_checksum(spark, d):
     byte = lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int")
     checksum = F.aggregate(places, F.lit(0xEF), lambda x, i: x.bitwiseXOR(byte(i)))
     return S.table(spark, d, "benchmark").where("text <> ''").select("item_id", checksum.alias("checksum"))
+
+
+def _images(spark, d):
+    """Pages as images: the HTML as data, as many functions as the page's id leaves modulo 5, and one."""
+
+    def make(batches):
+        import pyarrow as pa
+
+        from firmlake.sources.synthetic import image
+
+        for batch in batches:
+            ids, pages = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array([f"page-{k}" for k in ids]), pa.array([image((t or "").encode(), k % 5 + 1) for k, t in zip(ids, pages, strict=True)], pa.binary())], ["path", "content"])
+
+    return S.table(spark, d, "pages").select("page_id", "html").mapInArrow(make, "path string, content binary")
+
+
+@query("""SELECT 'page-' || page_id AS path, 'app_partition' AS input_kind, 'esp32' AS chip, 2::BIGINT AS segments, true AS checksum_valid, true AS sha256_valid, (strlen(html) + 3) // 4 * 4 AS data_bytes FROM pages""")
+def q_parse_images(spark, d):
+    from firmlake.sources import flash
+
+    i = F.col("images")[0]
+    return flash.parse(_images(spark, d)).select("path", "input_kind", "chip", F.size(i["segments"]).cast("long").alias("segments"), i["checksum_valid"].alias("checksum_valid"), i["sha256_valid"].alias("sha256_valid"), i["segments"][0]["length"].alias("data_bytes"))
+
+
+@query("""SELECT 'page-' || page_id AS path, (1074593824 + 8 * f)::BIGINT AS entry, 5::BIGINT AS size, 'high' AS confidence, 'entry a1 32' || chr(10) || 'retw' AS canonical_text
+FROM (SELECT page_id, unnest(range(0, page_id % 5 + 1)) AS f FROM pages)""")
+def q_recover_functions(spark, d):
+    from firmlake.plans.symbols import analysed
+
+    out = analysed(_images(spark, d))
+    fn = F.concat_ws(":", "image_id", F.col("entry").cast("string"))
+    df = out["boundaries"].withColumn("fn", fn).join(out["forms"].select("fn", "canonical_text"), "fn").join(out["parsed"].select("image_id", "path"), "image_id")
+    return df.select("path", "entry", "size", "confidence", "canonical_text")
+
+
+@query("SELECT 'page-' || page_id AS path, 2::BIGINT AS sections, 1074593824::BIGINT AS entry, 8 * (page_id % 5 + 1) AS code_bytes FROM pages")
+def q_export_elf(spark, d):
+    from firmlake.sources import export, flash
+
+    files = _images(spark, d)
+    parsed = flash.parse(files)
+    made = export.elf_files(flash.segment_bytes(parsed, files)).join(parsed.select("image_id", "path"), "image_id")
+    again = flash.parse(made.select("path", F.col("elf").alias("content")))
+    i = F.col("images")[0]
+    return again.select("path", F.size(i["segments"]).cast("long").alias("sections"), i["header"]["entry_addr"].alias("entry"), F.element_at(i["segments"], -1)["length"].alias("code_bytes"))

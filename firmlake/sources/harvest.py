@@ -16,6 +16,7 @@ from firmlake.operators.match import carry_components
 from firmlake.sources.decode import INSTRUCTION, Decoder, builtin, c_string
 from firmlake.sources.elf import Elf, ar_members
 
+NAMES = "path string, member string, value long, name string"
 FUNCTION = "fn string, path string, member string, ord int, name string, origin string, vaddr long"
 ROWS = f"{FUNCTION}, {INSTRUCTION}, literal_text string"
 
@@ -23,7 +24,7 @@ ROWS = f"{FUNCTION}, {INSTRUCTION}, literal_text string"
 def functions_of(data: bytes, path: str, member: str, origin: str, decoder: Decoder) -> Iterator[dict]:
     """Instruction rows of each sized function of a program; calls by address get their symbol's name, literals their word and text."""
     elf = Elf(data)
-    names = {s["value"]: s["name"] for s in elf.symbols() if s["type"] == 2}  # of one address the last
+    names = {s["value"]: s["name"] for s in elf.functions() if s["value"]}  # of one address the last
     sections = [s for s in elf.sections if s.allocated and s.data]
     linked = origin == "linked"
 
@@ -65,14 +66,43 @@ def harvested(files: DataFrame, decoder: Decoder = builtin) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, kind)
 
 
-def signatures(rows: DataFrame, tag: str = canon.TAG) -> DataFrame:
-    """One row a function with its form, component and object. Linked functions take their component from the last archive that defines the name.
+def function_names(files: DataFrame) -> DataFrame:
+    """(path, member, value, name): named function addresses of each program or object, of one address the last name."""
+    kind = T._parse_datatype_string(NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        for batch in batches:
+            for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for member, body in ar_members(data) if data[:8] == b"!<arch>\n" else [("", data)]:
+                    try:
+                        last = {f["value"]: f["name"] for f in Elf(body).functions() if f["value"]}
+                    except (ParseError, IndexError, ValueError):
+                        continue
+                    yield pa.RecordBatch.from_pylist([{"path": path, "member": member, "value": v, "name": n} for v, n in last.items()], schema=to_arrow_schema(kind))
+
+    return files.select("path", "content").mapInArrow(run, kind)
+
+
+def named_edges(forms: DataFrame, names: DataFrame) -> DataFrame:
+    """Forms (with fn, path, member) whose call targets have names get these as call_edges, one for each target; others keep theirs."""
+    calls = forms.select("fn", "path", "member", F.posexplode("call_targets").alias("pos", "value"))
+    calls = calls.join(names.select("path", "member", "value", F.col("name").alias("callee")), ["path", "member", "value"], "left")
+    named = calls.groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("callee", F.lit(canon.CALL)).alias("edge")))).alias("e"), F.count("callee").alias("some")).where("some > 0")
+    df = forms.join(named.select("fn", F.transform("e", lambda x: x["edge"]).alias("named")), "fn", "left")
+    return df.withColumn("call_edges", F.coalesce("named", "call_edges")).drop("named")
+
+
+def signatures(rows: DataFrame, tag: str = canon.TAG, names: DataFrame | None = None) -> DataFrame:
+    """One row a function with its form, component and object. With ``names``, call edges are the callees' names. Linked functions take their component from the last archive that defines the name.
 
     Archive copies and linked copies both stay, on purpose.
     """
     about = rows.select("fn", "path", "member", "ord", "name", "origin", "vaddr").distinct()
     df = canon.forms(rows.select(*[c.split()[0] for c in canon.SCHEMA.split(", ")]), tag).join(about, "fn")
-    # where callees have names, edges are named, one for each call target
+    if names is not None:
+        df = named_edges(df, names)
     df = df.withColumn("component", F.when(F.col("origin") == "archive", component_of(F.col("path")))).withColumn("object", F.nullif(F.col("member"), F.lit("")))
     archived = df.where("origin = 'archive'")
     linked = carry_components(df.where("origin = 'linked'"), archived.select("name", "component", "path", "member", "ord"))

@@ -82,3 +82,29 @@ def test_stream(spark, tmp_path):
         (tmp_path / "in/c.bin").write_bytes(X.dump())
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r.input_kind for r in rows) == ["app_partition", "flash_dump"]
+
+
+def test_named_edges(spark):
+    caller = bytes.fromhex("3641004500001df0")  # entry, call0 to base + 8 from base + 3, retw.n
+    files = spark.createDataFrame([("app/x.elf", bytearray(program_with_symbols([("caller", caller, 8), ("leaf", LEAF, 5)])))], "path string, content binary")
+    rows = harvest.harvested(files)
+    edges = {r.name: list(r.call_edges) for r in harvest.signatures(rows, names=harvest.function_names(files)).collect()}
+    assert edges == {"caller": ["leaf"], "leaf": []}
+
+
+def test_memo(spark, tmp_path):
+    memo = f"file://{tmp_path}/memo"
+    one = spark.createDataFrame([("a", bytearray(X.image(code=LEAF + bytes(56))))], "path string, content binary")
+    two = one.union(spark.createDataFrame([("b", bytearray(X.image(code=LEAF * 2 + bytes(48))))], one.schema))
+    assert S.remembered(one, memo).count() == 1
+    assert S.remembered(two, memo).count() == 2 and spark.read.parquet(memo).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from firmlake import __main__ as cli
+
+    (tmp_path / "x.bin").write_bytes(X.image())
+    assert cli.main(["--out", str(tmp_path / "json"), "flash-info", str(tmp_path / "x.bin")]) == 0
+    assert '"chip":"esp32"' in spark.read.text(str(tmp_path / "json")).first().value
+    assert cli.main(["--data", str(tmp_path), "symbols", str(tmp_path / "x.bin")]) == 6
+    assert cli.main(["--data", str(tmp_path), "corpus", "gc"]) == 0
