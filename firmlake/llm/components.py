@@ -10,13 +10,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import written
+from firmlake.llm.common import discard, written
 
 
-def _with_min(pairs: DataFrame, name: str) -> DataFrame:
-    """(a, b) with m, the smallest b of a. The minima are a written table, so that a hub's rows may be split in the join."""
-    least = written(pairs.groupBy("a").agg(F.min("b").alias("m")), name)
-    return pairs.join(least, "a")
+def _minima(pairs: DataFrame, name: str) -> DataFrame:
+    """(a, m), the smallest b of a; a written table, so that a hub's rows may be split when it is joined."""
+    return written(pairs.groupBy("a").agg(F.min("b").alias("m")), name)
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -30,11 +29,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     seen = None
     for _ in range(most):
         both = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-        large = _with_min(both, "large").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        near = _minima(both, "large")
+        large = both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         large = written(large.distinct(), "large-star")
-        small = _with_min(large, "small").select("a", "b", "m")
-        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = written(small.where("a <> b").distinct(), "small-star")
+        below = _minima(large, "small")
+        small = large.join(below, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        before, edges = edges, written(small.where("a <> b").distinct(), "small-star")
+        discard(before, both, near, large, below)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

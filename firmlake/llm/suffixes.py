@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.llm.common import release, written
+from firmlake.llm.common import discard, release, written
 
 LENGTH = 100
 GRAM = 40
@@ -374,6 +374,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     rest = spans_compared(block_rows(docs.join(ranges, ["id", "twin"]).select("id", "twin", "text", "ranges")))
     spans = found.where("mode = 0").select("id", "twin", "start", "end").unionByName(rest)
     spans = written(spans.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    discard(found)
     release(docs.sparkSession)
     return spans
 
