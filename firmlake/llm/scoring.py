@@ -20,9 +20,9 @@ from firmlake.llm.common import crc_mod, flat_arrow, written
 
 DEPTH = 4  # bytes of the longest context
 MARK = b"\xff"  # never part of UTF-8: stands before a text, DEPTH times, and after it
-CONTEXTS = 60_000  # contexts of DEPTH bytes that the trie keeps, the most frequent; shorter ones stand in for others
+CONTEXTS = 40_000  # contexts of DEPTH bytes that the trie keeps, the most frequent; shorter ones stand in for others
 FREQUENT = 100_000  # words whose counts are broadcast, at most; the others' are joined
-FLUSH = 400_000  # words, and sequences times four, that a task tallies before it hands them on
+FLUSH = 200_000  # words, and sequences times four, that a task tallies before it hands them on
 ADD = 0.1
 
 
@@ -74,7 +74,7 @@ class _Tally:
             self.size += len(self.parts[-1])
             if len(self.words) > FLUSH:
                 yield from self._words()
-            if self.size > 1 << 22:
+            if self.size > 1 << 21:
                 self._fold()
                 if len(self.code) > 4 * FLUSH:
                     yield from self._sequences()
