@@ -11,7 +11,7 @@ from firmlake.operators.corpus import Corpus
 from firmlake.sources import flash, recover
 from firmlake.sources.decode import Decoder, builtin
 
-LOW_COVERAGE, LOW_GRADES = 0.5, 0.10
+LOW_COVERAGE = 0.5
 
 
 def analysed(files: DataFrame, slot: str | None = None, decoder: Decoder = builtin) -> dict[str, DataFrame]:
@@ -62,7 +62,9 @@ def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str, canon_ver
     likely = layout.likely_components(members).select(F.col("image").alias("image_id"), F.col("vaddr").alias("entry"), "likely_component")
     coverage = layout.coverage(members)
     matched = F.col("matched") / F.col("total")
-    warnings = coverage.select("image", F.array_compact(F.array(F.when(F.col("matched") == 0, F.lit("nothing was identified")), F.when(matched < LOW_COVERAGE, F.lit("less than half of the functions were identified")))).alias("warnings"))
+    doubts = recover.cautions(analysis["boundaries"], analysis["segments"]).withColumnRenamed("image_id", "image")
+    parsing = analysis["parsed"].select(F.col("image_id").alias("image"), F.col("warnings").alias("parsing")).dropDuplicates(["image"])
+    warnings = coverage.join(doubts, "image", "left").join(parsing, "image", "left").select("image", F.concat(F.coalesce("parsing", empty), F.coalesce("cautions", empty), F.array_compact(F.array(F.when(F.col("matched") == 0, F.lit("nothing was identified")), F.when(matched < LOW_COVERAGE, F.lit("less than half of the functions were identified"))))).alias("warnings"))
     return {
         "identified": found.where("identified").orderBy("image_id", "entry"),
         "unidentified": found.where("NOT identified").join(likely, ["image_id", "entry"], "left").orderBy("image_id", F.desc("size"), F.desc("in_degree"), "entry"),

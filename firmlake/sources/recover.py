@@ -287,8 +287,20 @@ def statistics(rows: DataFrame, executable: DataFrame) -> DataFrame:
     return df.join(executable.where("executable").groupBy("image_id").agg(F.sum("length").alias("bytes_executable")), "image_id", "left")
 
 
+def cautions(rows: DataFrame, executable: DataFrame) -> DataFrame:
+    """(image_id, cautions): what makes an image's boundaries doubtful: rounds used up, little code claimed, many low grades."""
+    used = rows.groupBy("image_id").agg(F.max("rounds").alias("rounds"))
+    df = statistics(rows, executable).join(used, "image_id")
+    told = F.array(
+        F.when(F.col("rounds") >= ROUNDS, F.lit(f"code was still being found after {ROUNDS} rounds; functions are missing")),
+        F.when(F.col("bytes_in_functions") < 0.7 * F.col("bytes_executable"), F.lit("less than 70 % of the executable bytes are claimed; a low match rate may be due to that")),
+        F.when(F.col("low_confidence") > 0.1 * F.col("total"), F.lit("more than a tenth of the boundaries are of low confidence and can't match")),
+    )
+    return df.select("image_id", F.array_compact(told).alias("cautions"))
+
+
 def seeds_by_origin(rows: DataFrame) -> DataFrame:
     return rows.select("image_id", F.explode("origins").alias("origin")).groupBy("image_id", "origin").count()
 
 
-__all__ = ["Image", "boundaries", "class_of", "instructions", "recovered", "seeds_by_origin", "statistics"]
+__all__ = ["Image", "boundaries", "cautions", "class_of", "instructions", "recovered", "seeds_by_origin", "statistics"]

@@ -61,6 +61,8 @@ def test_symbols(spark, tmp_path):
     cov = out["coverage"].first()
     assert cov.matched == 1 and cov.total == len(found) + out["unidentified"].count()
 
+    assert any("70 %" in w for w in out["warnings"].first().warnings)
+
     one = export.elf_files(analysis["segments"]).first()
     sections = {s.name: s for s in elf.Elf(bytes(one.elf)).sections}
     assert sections[".flash.text"].data.startswith(LEAF) and sections[".flash.text"].addr == 0x400D0020
@@ -108,3 +110,24 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"chip":"esp32"' in spark.read.text(str(tmp_path / "json")).first().value
     assert cli.main(["--data", str(tmp_path), "symbols", str(tmp_path / "x.bin")]) == 6
     assert cli.main(["--data", str(tmp_path), "corpus", "gc"]) == 0
+
+
+def test_sqlite_import(spark, tmp_path):
+    import sqlite3
+
+    from firmlake.sources import sqlite_corpus
+
+    path = str(tmp_path / "c.sqlite")
+    c = sqlite3.connect(path)
+    kinds = {"string": "TEXT", "long": "INTEGER", "int": "INTEGER"}
+    for table, (_, schema) in sqlite_corpus.TABLES.items():
+        c.execute(f"CREATE TABLE {table} ({', '.join(f'{n} {kinds[k]}' for n, k in (x.split() for x in schema.split(', ')))})")
+    for k in (1, 2, 9):
+        c.execute("INSERT INTO builds VALUES (?, 'v5', 'h', 'esp32', 'gcc', ?, 'A=y', 3, NULL, 't')", (k, f"c{k}"))
+        c.execute("INSERT INTO functions VALUES (?, 'f', NULL, NULL, 'linked', 4, 5, 2, 'd', 'ret', 'ret', '[\"CALL\"]', '[1, 2]', '[]', 0, 0, 'call0', '[]')", (k,))
+    c.commit()
+    c.close()
+    builds, functions = sqlite_corpus.read(spark, path)
+    assert builds.count() == 3
+    rows = functions.orderBy("build_key").collect()
+    assert [(r.build_key, list(r.literals), list(r.call_edges)) for r in rows] == [(str(k), [1, 2], ["CALL"]) for k in (1, 2, 9)]
