@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from firmlake.llm.common import map_rows
 
 SPACE = "▁"  # fixed value: what the format writes for a space
-CACHE = 300_000  # chunks kept in each of two generations; bounds memory, not results
+CACHE = 150_000  # chunks kept in each of two generations; bounds memory, not results
 PAIRS = 1_000_000  # remembered pair tests
 
 
