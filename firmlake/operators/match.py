@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def current_signatures(functions: DataFrame, builds: DataFrame, chip: str, canon_version: int, digests: DataFrame | None = None) -> DataFrame:
-    """Distinct (digest, name, component, origin, build_id) of the chip's builds under the current rules.
+    """(digest, name, component, origin, build_id) of the chip's builds under the current rules.
 
     Five columns are read. ``digests`` restricts the scan to keys in use, as a semi-join; the adaptive planner broadcasts what is
     small. Builds are filtered first: where the tables are partitioned by chip and version, whole folders are skipped.
@@ -16,7 +16,7 @@ def current_signatures(functions: DataFrame, builds: DataFrame, chip: str, canon
     rows = functions.select("digest", "name", "component", "origin", "build_id").join(current, "build_id", "left_semi")
     if digests is not None:
         rows = rows.join(digests.select("digest").distinct(), "digest", "left_semi")
-    return rows.distinct()
+    return rows
 
 
 def preferred(signatures: DataFrame) -> DataFrame:
@@ -26,17 +26,20 @@ def preferred(signatures: DataFrame) -> DataFrame:
     first. A component is shared if one build files the preferred name under several; renames between builds don't
     count. Null and empty components are ignored there.
     """
-    order = F.struct((F.col("origin") != "linked").alias("o"), F.col("name").alias("n"), F.col("build_id").alias("b"), F.col("component").alias("c"))
-    best = signatures.groupBy("digest").agg(
-        F.min_by(F.struct("name", "component", "origin"), order).alias("best"),
-        F.collect_set("name").alias("names"),
+    # signatures are read once: by name and build, by name, by digest, each level combining before it shuffles
+    by_build = signatures.groupBy("digest", "name", "build_id").agg(
+        F.min(F.struct((F.col("origin") != "linked").alias("o"), F.col("component").alias("c"), F.col("origin").alias("origin"))).alias("m"),
+        F.collect_set(F.when(F.col("component") != "", F.col("component"))).alias("cs"),
     )
-    own = signatures.join(best.select("digest", F.col("best.name").alias("name"), F.col("best.component").alias("best_component")), ["digest", "name"])
-    named = own.groupBy("digest").agg(F.array_sort(F.collect_set("build_id")).alias("source_ids"))
-    per_build = own.where("component <> ''").groupBy("digest", "build_id", "best_component").agg(F.collect_set("component").alias("cs")).where(F.size("cs") > 1)
-    shared = per_build.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_except("cs", F.array(F.col("best_component"))))))).alias("shared_components"))
-    empty = F.array().cast("array<string>")
-    df = best.join(named, "digest").join(shared, "digest", "left")
+    by_name = by_build.groupBy("digest", "name").agg(
+        F.min(F.struct("m.o", F.col("build_id").alias("b"), "m.c", "m.origin")).alias("m"),
+        F.array_sort(F.collect_set("build_id")).alias("source_ids"),
+        F.flatten(F.collect_list(F.when(F.size("cs") > 1, F.col("cs")))).alias("shared"),
+    )
+    order = F.struct("m.o", F.col("name").alias("n"), "m.b", "m.c")
+    best = F.struct("name", F.col("m.c").alias("component"), "m.origin", "source_ids", "shared")
+    df = by_name.groupBy("digest").agg(F.min_by(best, order).alias("best"), F.collect_set("name").alias("names"))
+    shared = F.array_sort(F.array_distinct(F.filter("best.shared", lambda c: ~c.eqNullSafe(F.col("best.component")))))
     ambiguous = F.array_remove(F.array_sort("names"), F.col("best.name"))
     return df.select(
         "digest",
@@ -45,8 +48,8 @@ def preferred(signatures: DataFrame) -> DataFrame:
         F.col("best.origin").alias("origin"),
         F.when(F.size(ambiguous) == 0, 1.0).otherwise(0.5).alias("confidence"),
         ambiguous.alias("ambiguous_with"),
-        F.coalesce("shared_components", empty).alias("shared_components"),
-        "source_ids",
+        shared.alias("shared_components"),
+        F.col("best.source_ids").alias("source_ids"),
     )
 
 
