@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from firmlake.config import corpus_path
+from firmlake.config import corpus_path, memo_path
 from firmlake.errors import FirmlakeError
 from firmlake.operators import canon, match
 from firmlake.operators.corpus import Corpus, listing
@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
             parsed = flash.parse(files, args.slot)
             export.elf_files(flash.segment_bytes(parsed, files)).write.mode("overwrite").parquet(args.target)
         else:
-            out = plan.symbols(plan.analysed(files, args.slot), Corpus(spark, corpus_path(args.data)), args.chip)
+            out = plan.symbols(plan.analysed(files, args.slot, memo=memo_path(args.data)), Corpus(spark, corpus_path(args.data)), args.chip)
             for name in ("identified", "unidentified", "regions", "coverage", "warnings"):
                 print(name)
                 show(out[name], argparse.Namespace(out=args.out and f"{args.out}/{name}", command="symbols"))

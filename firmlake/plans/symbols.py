@@ -14,11 +14,14 @@ from firmlake.sources.decode import Decoder, builtin
 LOW_COVERAGE = 0.5
 
 
-def analysed(files: DataFrame, slot: str | None = None, decoder: Decoder = builtin) -> dict[str, DataFrame]:
-    """(path, content) -> parsed, segments, boundaries, instructions, forms."""
+def analysed(files: DataFrame, slot: str | None = None, decoder: Decoder = builtin, memo: str | None = None) -> dict[str, DataFrame]:
+    """(path, content) -> parsed, segments, boundaries, instructions, forms.
+
+    With ``memo``, recovery runs once and is read from that table by all that follows; without it, each use recovers anew.
+    """
     parsed = flash.parse(files, slot)
     segments = flash.segment_bytes(parsed.where("error IS NULL AND chip IS NOT NULL"), files)
-    recovered = recover.recovered(segments.where("length > 0"), decoder)
+    recovered = remembered(files, memo, slot, decoder) if memo else recover.recovered(segments.where("length > 0"), decoder)
     code = recover.instructions(recovered)
     keyed = code.withColumn("fn", F.concat_ws(":", "image_id", F.col("fn").cast("string")))
     return {"parsed": parsed, "segments": segments, "boundaries": recover.boundaries(recovered), "instructions": code, "forms": canon.forms(keyed)}
@@ -27,9 +30,9 @@ def analysed(files: DataFrame, slot: str | None = None, decoder: Decoder = built
 def remembered(files: DataFrame, memo: str, slot: str | None = None, decoder: Decoder = builtin) -> DataFrame:
     """(path, content) -> one recovered row an image, with its sha256; rows of a memo table are reused, new ones are added to it.
 
-    The memo is keyed by content and recovery version, so a file that was seen under another name isn't analysed again.
+    The memo is keyed by content, recovery version and slot, so a file that was seen under another name isn't analysed again.
     """
-    spark = files.sparkSession
+    spark, version = files.sparkSession, f"{recover.VERSION}:{slot or ''}"
     parsed = flash.parse(files, slot).where("error IS NULL AND chip IS NOT NULL")
     try:
         known = spark.read.parquet(memo)
@@ -37,11 +40,11 @@ def remembered(files: DataFrame, memo: str, slot: str | None = None, decoder: De
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = None
-    fresh = flash.memo_missing(parsed, known, recover.VERSION) if known is not None else parsed
+    fresh = flash.memo_missing(parsed, known, version) if known is not None else parsed
     rows = recover.recovered(flash.segment_bytes(fresh, files).where("length > 0"), decoder)
-    rows = rows.join(fresh.select("image_id", "sha256"), "image_id").dropDuplicates(["sha256"]).withColumn("version", F.lit(recover.VERSION))
+    rows = rows.join(fresh.select("image_id", "sha256"), "image_id").dropDuplicates(["sha256"]).withColumn("version", F.lit(version))
     rows.write.mode("append").parquet(memo)
-    return spark.read.parquet(memo).where(F.col("version") == recover.VERSION).join(parsed.select("sha256").distinct(), "sha256", "left_semi")
+    return spark.read.parquet(memo).where(F.col("version") == version).join(parsed.select("sha256").distinct(), "sha256", "left_semi")
 
 
 def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str, canon_version: int = canon.VERSION) -> dict[str, DataFrame]:
@@ -49,7 +52,8 @@ def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str, canon_ver
     builds = corpus.current(chip, canon_version)
     fn = F.concat_ws(":", "image_id", F.col("entry").cast("string"))
     forms = analysis["forms"].select("fn", "digest", "call_targets", "instruction_count")
-    functions = analysis["boundaries"].withColumnRenamed("confidence", "boundary_confidence").withColumn("fn", fn).join(forms, "fn", "left")
+    own = analysis["parsed"].where(F.col("chip") == chip).select("image_id").distinct()
+    functions = analysis["boundaries"].join(own, "image_id", "left_semi").withColumnRenamed("confidence", "boundary_confidence").withColumn("fn", fn).join(forms, "fn", "left")
     hits = match.preferred(match.current_signatures(corpus.functions(), builds, chip, canon_version, forms.select("digest")))
     found = match.identify(functions, hits)
     entries = functions.select(F.col("fn").alias("entry"))

@@ -52,7 +52,8 @@ def test_symbols(spark, tmp_path):
 
     data = X.image(code=LEAF + OTHER + bytes(48), entry=0x400D0020)
     files = spark.createDataFrame([("img", bytearray(data))], "path string, content binary")
-    analysis = S.analysed(files)
+    files = files.union(files.selectExpr("'copy' AS path", "content"))
+    analysis = S.analysed(files, memo=f"file://{tmp_path}/memo")
     assert analysis["boundaries"].count() >= 2
     out = S.symbols(analysis, corpus, "esp32")
     found = out["identified"].collect()
