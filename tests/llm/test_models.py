@@ -93,6 +93,21 @@ def test_partial_matching():
         assert abs(trie.score(b) - want) < 1e-4
 
 
+def test_scores_use_all_contexts(spark):
+    """However few contexts are sent to the tasks, a score is that of the trie of all counts; some contexts occur in scored texts only."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    training, depth = F.col("doc_id") % 3 != 0, scoring.DEPTH
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    codes = np.concatenate([scoring.sequences(scoring.framed(t)) for k, t in texts.items() if k % 3])
+    deep = np.unique(codes, return_counts=True)
+    short = np.unique(codes & ((1 << 8 * depth) - 1), return_counts=True)
+    trie = scoring.Trie(*((c, n.astype(float)) for c, n in (short, deep)))
+    for contexts in (1, 500, 1 << 20):
+        got = {r.doc_id: r.score for r in scoring.score(docs, training, contexts=contexts).collect()}
+        assert got.keys() == texts.keys()
+        assert all(abs(got[k] - trie.score(scoring.framed(t))) < 1e-3 for k, t in texts.items())
+
+
 def test_toxicity(spark, odd):
     rng = np.random.default_rng(1)
     bad, words = ["idiot", "trash", "scum"], [f"w{k}" for k in range(400)]
