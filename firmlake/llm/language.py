@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake.llm.common import crc_mod, flat_arrow, map_rows
-from firmlake.llm.sampling import sampled
+from firmlake.llm.sampling import sampled_all
 
 COLUMNS = 1 << 15  # hashed n-grams
 SIZES = (1, 2, 3, 4)
 PER_LANGUAGE = 600  # documents of a language that weights are trained on; the bound of the sample
-LANGUAGES = 100  # languages learned: the most frequent
+LANGUAGES = 100  # languages beyond which each has fewer documents in the sample
+LEAST = 30  # but about so many
 WINDOW = 1 << 16  # characters turned into n-grams at a time
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-3
@@ -148,7 +149,8 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, columns: int = COLUMNS) -> dict:
     """A model from all rows (text, lang): document frequencies over all, weights from a bounded sample of features.
 
-    A fifth of the sample, by a hash, sets the temperature. Rows with a null lang or text don't count.
+    Every language is learned, however many there are. A fifth of the sample, by a hash, sets the temperature; a language that has
+    no other rows is trained on these. Rows with a null lang or text don't count.
     """
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     df, n = document_frequencies(rows.select("text"), columns)
@@ -162,7 +164,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, columns: int = COLUMN
 
         return one
 
-    chosen = sampled(rows, "lang", per_language, LANGUAGES).select("text", "lang", (F.crc32(F.col("text").cast("binary")) % 5 == 0).alias("kept_back"))
+    chosen = sampled_all(rows, "lang", per_language, LANGUAGES, LEAST).select("text", "lang", (F.crc32(F.col("text").cast("binary")) % 5 == 0).alias("kept_back"))
     features = [(r[0], r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32).astype(float)) for r in map_rows(chosen, make, "lang string, kept_back boolean, at binary, value binary").collect()]
     features.sort(key=lambda f: (f[0], f[1], f[2].tobytes(), f[3].tobytes()))
     names = sorted({f[0] for f in features})
@@ -171,6 +173,8 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, columns: int = COLUMN
     code = {x: i for i, x in enumerate(names)}
     seen = [(at, v, code[x]) for x, back, at, v in features if not back and len(at)]
     held = [(at, v, code[x]) for x, back, at, v in features if back and len(at)]
+    trained = {x for *_, x in seen}
+    seen += [f for f in held if f[2] not in trained]
     weights = train(seen, len(names), columns)
     scores = np.array([v @ weights[at] + weights[-1] for at, v, _ in held]).reshape(-1, len(names))
     return {"names": names, "idf": idf, "weights": weights, "temperature": temperature(scores, np.array([x for *_, x in held], int))}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.llm.common import bounded_join, written
+
 
 def sampled(rows: DataFrame, label: str, per_label: int, labels: int = 100, seed: str = "train-1", within: str | None = None) -> DataFrame:
     """About ``per_label`` rows of each label, for at most ``labels`` of them, the most frequent.
@@ -24,3 +26,16 @@ def sampled(rows: DataFrame, label: str, per_label: int, labels: int = 100, seed
             here = here & (F.xxhash64(F.lit(seed), *rows.columns).bitwiseAND(F.lit((1 << 53) - 1)) < F.lit(int(share * (1 << 53))))
         take = here if take is None else take | here
     return rows.where(take) if take is not None else rows.where("false")
+
+
+def sampled_all(rows: DataFrame, label: str, per_label: int, labels: int, least: int, seed: str = "train-1") -> DataFrame:
+    """About ``per_label`` rows of every label that isn't null, chosen as by ``sampled``.
+
+    With more than ``labels`` of them, each has fewer rows in proportion, but about ``least`` if it has so many: no label is left out.
+    """
+    counts = written(rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n")), "labels")
+    each = max(min(per_label, least), min(per_label, per_label * labels // max(counts.count(), 1)))
+    hashed = F.xxhash64(F.lit(seed), *rows.columns).bitwiseAND(F.lit((1 << 53) - 1))
+    share = (F.lit(float(each)) / F.col("_n") * F.lit(float(1 << 53))).cast("long")
+    df = bounded_join(rows.withColumn("_hash", hashed), counts, F.col(label) == F.col("_label"), "inner")
+    return df.where((F.col("_n") <= each) | (F.col("_hash") < share)).select(*rows.columns)

@@ -31,6 +31,15 @@ def test_language(spark, odd):
     assert language.predict(language.fit(odd.where("false").select("text", "lang")), "abc") == ("und", 0.0)
 
 
+def test_all_languages_are_learned(spark):
+    """Of 130 languages the rarest as well; two words tell them apart."""
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(130)]
+    rows = [(f"{w * 3} {w[::-1] * 4} " * (i + 1), f"l{k:03}") for k, w in enumerate(words) for i in range(1 + (k < 100))]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), columns=1 << 12)
+    assert model["names"] == [f"l{k:03}" for k in range(130)]
+    assert sum(language.predict(model, text)[0] == lang for text, lang in rows) > 0.9 * len(rows)
+
+
 def test_scores(spark, odd):
     df = odd.select("doc_id", "text")
     rows = df.collect()
