@@ -1,7 +1,8 @@
-"""Instruction decoding: a listing reader, and a partial built-in decoder for the Xtensa encodings listed here.
+"""Instruction decoding: a listing reader, and a built-in decoder of the Xtensa base set and its usual options.
 
 A decoder is a function of (address, bytes) that gives instructions as dicts. Bytes that a decoder doesn't know become data,
-never guesses.
+never guesses. Operands are printed as the usual disassemblers print them: registers, absolute addresses, and numbers in
+decimal within a byte's magnitude and as 32-bit hexadecimal beyond it, so that forms of both agree.
 """
 
 from __future__ import annotations
@@ -20,15 +21,52 @@ INSTRUCTION = "addr long, size int, mnemonic string, operands array<string>, cls
 
 _CLASS = {m: cls for cls, members in CLASSES.items() for m in members}
 
-# Fixed values of the encoding: names by opcode field.
+# Fixed values of the encoding: op1, op2, name and operands of the three-register formats. Operands: r, s, t are address registers by
+# field, with f or b before the field floating-point or boolean ones; = marks a field that must hold this value.
+REGISTERS = """
+0 1 and r s t|0 2 or r s t|0 3 xor r s t|0 6 neg r t s=0|0 6 abs r t s=1
+0 8 add r s t|0 9 addx2 r s t|0 10 addx4 r s t|0 11 addx8 r s t|0 12 sub r s t|0 13 subx2 r s t|0 14 subx4 r s t|0 15 subx8 r s t
+1 0 slli r s left|1 1 slli r s left|1 2 srai r t right|1 3 srai r t right|1 4 srli r t ns|1 6 xsr t special
+1 8 src r s t|1 9 srl r t s=0|1 10 sll r s t=0|1 11 sra r t s=0|1 12 mul16u r s t|1 13 mul16s r s t
+2 0 andb br bs bt|2 1 andbc br bs bt|2 2 orb br bs bt|2 3 orbc br bs bt|2 4 xorb br bs bt|2 6 saltu r s t|2 7 salt r s t
+2 8 mull r s t|2 10 muluh r s t|2 11 mulsh r s t|2 12 quou r s t|2 13 quos r s t|2 14 remu r s t|2 15 rems r s t
+3 0 rsr t special|3 1 wsr t special|3 2 sext r s t7|3 3 clamps r s t7|3 4 min r s t|3 5 max r s t|3 6 minu r s t|3 7 maxu r s t
+3 8 moveqz r s t|3 9 movnez r s t|3 10 movltz r s t|3 11 movgez r s t|3 12 movf r s bt|3 13 movt r s bt|3 14 rur r user_st|3 15 wur t user_rs
+8 0 lsx fr s t|8 1 lsxu fr s t|8 4 ssx fr s t|8 5 ssxu fr s t|9 0 l32e t s window|9 4 s32e t s window
+10 0 add.s fr fs ft|10 1 sub.s fr fs ft|10 2 mul.s fr fs ft|10 4 madd.s fr fs ft|10 5 msub.s fr fs ft|10 6 maddn.s fr fs ft|10 7 divn.s fr fs ft
+10 8 round.s r fs nt|10 9 trunc.s r fs nt|10 10 floor.s r fs nt|10 11 ceil.s r fs nt|10 12 float.s fr s nt|10 13 ufloat.s fr s nt|10 14 utrunc.s r fs nt
+10 15 mov.s fr fs t=0|10 15 abs.s fr fs t=1|10 15 const.s fr ns t=3|10 15 rfr r fs t=4|10 15 wfr fr s t=5|10 15 neg.s fr fs t=6|10 15 div0.s fr fs t=7
+10 15 recip0.s fr fs t=8|10 15 sqrt0.s fr fs t=9|10 15 rsqrt0.s fr fs t=10|10 15 nexp01.s fr fs t=11|10 15 mksadj.s fr fs t=12|10 15 mkdadj.s fr fs t=13
+10 15 addexp.s fr fs t=14|10 15 addexpm.s fr fs t=15
+11 1 un.s br fs ft|11 2 oeq.s br fs ft|11 3 ueq.s br fs ft|11 4 olt.s br fs ft|11 5 ult.s br fs ft|11 6 ole.s br fs ft|11 7 ule.s br fs ft
+11 8 moveqz.s fr fs t|11 9 movnez.s fr fs t|11 10 movltz.s fr fs t|11 11 movgez.s fr fs t|11 12 movf.s fr fs bt|11 13 movt.s fr fs bt
+"""
+# Fixed values of the encoding: r, name and operands where op1 and op2 are 0 (system), and where they are 0 and 4 (shift amounts).
+SYSTEM = """
+1 movsp t s|2 isync s=0 t=0|2 rsync s=0 t=1|2 esync s=0 t=2|2 dsync s=0 t=3|2 excw s=0 t=8|2 memw s=0 t=12|2 extw s=0 t=13|2 nop s=0 t=15
+3 rfe s=0 t=0|3 rfue s=1 t=0|3 rfde s=2 t=0|3 rfwo s=4 t=0|3 rfwu s=5 t=0|3 rfi ns t=1|3 rfme s=0 t=2
+4 break ns nt|5 syscall s=0 t=0|5 simcall s=1 t=0|6 rsil t ns|7 waiti ns t=0|8 any4 bt bs|9 all4 bt bs|10 any8 bt bs|11 all8 bt bs
+"""
+SHIFTS = "0 ssr s t=0|1 ssl s t=0|2 ssa8l s t=0|3 ssa8b s t=0|4 ssai amount|6 rer t s|7 wer t s|8 rotw turn s=0|14 nsa t s|15 nsau t s"
+# Fixed values of the encoding: r, name, operands and the unit of the offset, of memory accesses of either register file.
+MEMORY = {0: ("l8ui", 1), 1: ("l16ui", 2), 2: ("l32i", 4), 4: ("s8i", 1), 5: ("s16i", 2), 6: ("s32i", 4), 9: ("l16si", 2), 11: ("l32ai", 4), 14: ("s32c1i", 4), 15: ("s32ri", 4)}
+FLOAT_MEMORY = {0: "lsi", 4: "ssi", 8: "lsiu", 12: "ssiu"}
+CACHE = {0: "dpfr", 1: "dpfw", 2: "dpfro", 3: "dpfwo", 4: "dhwb", 5: "dhwbi", 6: "dhi", 7: "dii", 12: "ipf", 14: "ihi", 15: "iii"}
+# Fixed values of the encoding: branches by field, and the constants that the four-bit field of immediate branches stands for.
 ZERO = ["beqz", "bnez", "bltz", "bgez"]
 IMMEDIATE = ["beqi", "bnei", "blti", "bgei"]
 COMPARE = ["bnone", "beq", "blt", "bltu", "ball", "bbc", "bbci", "bbci", "bany", "bne", "bge", "bgeu", "bnall", "bbs", "bbsi", "bbsi"]
-ARITHMETIC = {1: "and", 2: "or", 3: "xor", 8: "add", 9: "addx2", 10: "addx4", 11: "addx8", 12: "sub", 13: "subx2", 14: "subx4", 15: "subx8"}
-MEMORY = {0: ("l8ui", 1), 1: ("l16ui", 2), 2: ("l32i", 4), 4: ("s8i", 1), 5: ("s16i", 2), 6: ("s32i", 4), 9: ("l16si", 2)}
-LOOPS = {8: "loop", 9: "loopnez", 10: "loopgtz"}
-PLAIN = {0x000000: "ill", 0x000080: "ret", 0x000090: "retw", 0x0020F0: "nop"}
-PLAIN_NARROW = {0xF00D: "ret.n", 0xF01D: "retw.n", 0xF03D: "nop.n", 0xF06D: "ill.n"}
+SIGNED_CONSTANTS = [-1, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 32, 64, 128, 256]
+UNSIGNED_CONSTANTS = [32768, 65536, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 32, 64, 128, 256]
+BOOLEAN_OR_LOOP = {0: "bf", 1: "bt", 8: "loop", 9: "loopnez", 10: "loopgtz"}
+# Fixed values of the encoding: numbers and names of special and user registers; a range counts on from its first name's number.
+SPECIAL = """0 lbeg lend lcount sar br litbase|12 scompare1|16 acclo acchi|32 m0 m1 m2 m3|72 windowbase windowstart|83 ptevaddr|89 mmid rasid itlbcfg dtlbcfg
+96 ibreakenable memctl cacheattr atomctl|104 ddr|128 ibreaka0 ibreaka1|144 dbreaka0 dbreaka1|160 dbreakc0 dbreakc1|176 configid0 epc1 epc2 epc3 epc4 epc5 epc6 epc7
+192 depc|194 eps2 eps3 eps4 eps5 eps6 eps7|208 configid1 excsave1 excsave2 excsave3 excsave4 excsave5 excsave6 excsave7|224 cpenable|226 interrupt intclear intenable
+230 ps vecbase exccause debugcause ccount prid icount icountlevel excvaddr|240 ccompare0 ccompare1 ccompare2|244 misc0 misc1 misc2 misc3"""
+USER = {231: "threadptr", 232: "fcr", 233: "fsr"}
+
+SPECIAL_NAMES = {int(first) + k: name for part in SPECIAL.replace("\n", "|").split("|") for first, *names in [part.split()] for k, name in enumerate(names)}
 
 
 def class_of(mnemonic: str) -> str:
@@ -42,13 +80,82 @@ def signed(x: int, bits: int) -> int:
     return x - (1 << bits) if x >> (bits - 1) & 1 else x
 
 
+def number(x: int) -> str:
+    return str(x) if -256 < x < 256 else hex(x & 0xFFFFFFFF)
+
+
+#: How an operand that isn't a plain register is read from the word.
+FIELDS = {
+    "ns": lambda w: w >> 8 & 15,
+    "nt": lambda w: w >> 4 & 15,
+    "t7": lambda w: (w >> 4 & 15) + 7,
+    "left": lambda w: 32 - (w >> 4 & 15 | w >> 16 & 16),
+    "right": lambda w: w >> 8 & 15 | w >> 16 & 16,
+    "window": lambda w: (w >> 12 & 15) * 4 - 64,
+    "amount": lambda w: w >> 8 & 15 | w & 16,
+    "turn": lambda w: signed(w >> 4 & 15, 4),
+}
+PLACES = {"r": 12, "s": 8, "t": 4}
+
+
+def _table(text: str, keys: int) -> dict[tuple[int, ...], list[tuple[str, list[str], list[tuple[int, int]]]]]:
+    """{fields: [(name, operands, (shift, value) of the fields that are given)]} of a table as above."""
+    out: dict = {}
+    for entry in text.strip().replace("\n", "|").split("|"):
+        words = entry.split()
+        operands = [w for w in words[keys + 1 :] if "=" not in w]
+        given = [(PLACES[w[0]], int(w[2:])) for w in words[keys + 1 :] if "=" in w]
+        out.setdefault(tuple(map(int, words[:keys])), []).append((words[keys], operands, given))
+    return out
+
+
+_REGISTERS, _SYSTEM, _SHIFTS = _table(REGISTERS, 2), _table(SYSTEM, 1), _table(SHIFTS, 1)
+
+
+def _filled(w: int, found: list | None):
+    """The first entry whose given fields agree, its operands printed."""
+    for name, operands, given in found or ():
+        if all(w >> at & 15 == value for at, value in given):
+            out = []
+            for o in operands:
+                if o in PLACES:
+                    out.append(f"a{w >> PLACES[o] & 15}")
+                elif o in FIELDS:
+                    out.append(number(FIELDS[o](w)))
+                elif o == "special":
+                    code = w >> 8 & 255
+                    register = "intset" if (code, name) == (226, "wsr") else SPECIAL_NAMES.get(code, str(code))
+                    name = f"{name}.{register}"
+                elif o.startswith("user"):
+                    code = w >> 4 & 255 if o == "user_st" else w >> 8 & 255
+                    name = f"{name}.{USER.get(code, f'u{code}')}"
+                else:
+                    out.append(f"{o[0]}{w >> PLACES[o[1]] & 15}")
+            return name, out, None
+    return None
+
+
+def _multiply(w: int):
+    """The 16-bit multiply-accumulate option: halves by two bits, what is done by two more, where operands come from by op2."""
+    op1, op2 = w >> 16 & 15, w >> 20
+    half = ("ll", "hl", "lh", "hh")[op1 & 3]
+    first, second = (f"m{w >> 14 & 1}", f"a{w >> 8 & 15}"), (f"m{2 + (w >> 6 & 1)}", f"a{w >> 4 & 15}")
+    if op2 in (2, 3, 6, 7) and (op1 >> 2 or op2 == 7):
+        pair = {2: "dd", 3: "ad", 6: "da", 7: "aa"}[op2]
+        return f"{('umul', 'mul', 'mula', 'muls')[op1 >> 2]}.{pair}.{half}", [x[kind == "a"] for x, kind in zip((first, second), pair, strict=True)], None
+    if op2 in (0, 1, 4, 5) and op1 >> 2 == 2:
+        pair = "dd" if op2 < 4 else "da"
+        return f"mula.{pair}.{half}.{('ldinc', 'lddec')[op2 & 1]}", [f"m{w >> 12 & 3}", f"a{w >> 8 & 15}", first[0], second[pair == "da"]], None
+    if op2 in (8, 9) and op1 == 0:
+        return ("ldinc", "lddec")[op2 & 1], [f"m{w >> 12 & 3}", f"a{w >> 8 & 15}"], None
+    return None
+
+
 def narrow(w: int, at: int):
     """(mnemonic, operands, target) of a 16-bit word; None if unknown."""
     op, t, s, r = (w >> k & 15 for k in (0, 4, 8, 12))
-    if w in PLAIN_NARROW:
-        return PLAIN_NARROW[w], [], None
     if op in (8, 9):
-        return ("l32i.n", "s32i.n")[op - 8], [f"a{t}", f"a{s}", str(r * 4)], None
+        return ("l32i.n", "s32i.n")[op - 8], [f"a{t}", f"a{s}", number(r * 4)], None
     if op == 10:
         return "add.n", [f"a{r}", f"a{s}", f"a{t}"], None
     if op == 11:
@@ -61,32 +168,55 @@ def narrow(w: int, at: int):
         return ("beqz.n", "bnez.n")[t >> 2 & 1], [f"a{s}", hex(to)], to
     if op == 13 and r == 0:
         return "mov.n", [f"a{t}", f"a{s}"], None
+    if op == 13 and r == 15:
+        if t == 2:
+            return "break.n", [str(s)], None
+        name = {0: "ret.n", 1: "retw.n", 3: "nop.n", 6: "ill.n"}.get(t) if s == 0 else None
+        return (name, [], None) if name else None
     return None
 
 
+def _leaving(w: int):
+    """Returns and calls through registers, where op1, op2 and r are 0."""
+    m, n, s = w >> 6 & 3, w >> 4 & 3, w >> 8 & 15
+    if w == 0:
+        return "ill", [], None
+    if m == 2 and n < 2 and s == 0:
+        return ("ret", "retw")[n], [], None
+    if (m, n) == (2, 2):
+        return "jx", [f"a{s}"], None
+    return (f"callx{4 * n}", [f"a{s}"], None) if m == 3 else None
+
+
 def wide(w: int, at: int):
     """(mnemonic, operands, target) of a 24-bit word; None if unknown."""
-    op, t, s, r = (w >> k & 15 for k in (0, 4, 8, 12))
+    op, t, s, r, op1, op2 = (w >> k & 15 for k in (0, 4, 8, 12, 16, 20))
     byte = signed(w >> 16, 8)
-    if w in PLAIN:
-        return PLAIN[w], [], None
     if op == 0:
-        if w & 0xFFF0FF in (0xA0, 0xC0, 0xD0, 0xE0, 0xF0):
-            return {0xA: "jx", 0xC: "callx0", 0xD: "callx4", 0xE: "callx8", 0xF: "callx12"}[t], [f"a{s}"], None
-        if w >> 16 & 15 == 0 and w >> 20 in ARITHMETIC:
-            return ARITHMETIC[w >> 20], [f"a{r}", f"a{s}", f"a{t}"], None
-        return None
+        if (op1, op2) == (0, 0):
+            return _filled(w, _SYSTEM.get((r,))) if r else _leaving(w)
+        if (op1, op2) == (0, 4):
+            return _filled(w, _SHIFTS.get((r,)))
+        if op1 in (4, 5):
+            return "extui", [f"a{r}", f"a{t}", str(s | (op1 & 1) << 4), str(op2 + 1)], None
+        return _filled(w, _REGISTERS.get((op1, op2)))
     if op == 1:
         to = (at + 3 & ~3) + (((w >> 8) - 0x10000) << 2)
         return "l32r", [f"a{t}", hex(to)], to
     if op == 2:
         if r in MEMORY:
-            return MEMORY[r][0], [f"a{t}", f"a{s}", str((w >> 16) * MEMORY[r][1])], None
+            return MEMORY[r][0], [f"a{t}", f"a{s}", number((w >> 16) * MEMORY[r][1])], None
+        if r == 7 and t in CACHE:
+            return CACHE[t], [f"a{s}", number((w >> 16) * 4)], None
         if r == 10:
-            return "movi", [f"a{t}", str(signed(s << 8 | w >> 16, 12))], None
+            return "movi", [f"a{t}", number(signed(s << 8 | w >> 16, 12))], None
         if r in (12, 13):
-            return ("addi", "addmi")[r - 12], [f"a{t}", f"a{s}", str(byte << 8 * (r - 12))], None
+            return ("addi", "addmi")[r - 12], [f"a{t}", f"a{s}", number(byte << 8 * (r - 12))], None
         return None
+    if op == 3 and r in FLOAT_MEMORY:
+        return FLOAT_MEMORY[r], [f"f{t}", f"a{s}", number((w >> 16) * 4)], None
+    if op == 4:
+        return _multiply(w)
     if op == 5:
         to = (at & ~3) + (signed(w >> 6, 18) << 2) + 4
         return f"call{4 * (t & 3)}", [hex(to)], to
@@ -98,14 +228,16 @@ def wide(w: int, at: int):
         if n == 1:
             to = at + 4 + signed(w >> 12, 12)
             return ZERO[m], [f"a{s}", hex(to)], to
-        if n == 2 or m in (2, 3):
-            to = at + 4 + byte
-            return (IMMEDIATE[m] if n == 2 else ("bltui", "bgeui")[m - 2]), [f"a{s}", str(r), hex(to)], to
+        to = at + 4 + byte
+        if n == 2:
+            return IMMEDIATE[m], [f"a{s}", number(SIGNED_CONSTANTS[r]), hex(to)], to
+        if m >= 2:
+            return ("bltui", "bgeui")[m - 2], [f"a{s}", number(UNSIGNED_CONSTANTS[r]), hex(to)], to
         if m == 0:
-            return "entry", [f"a{s}", str((w >> 12) * 8)], None
-        if r in LOOPS:
-            to = at + 4 + (w >> 16)
-            return LOOPS[r], [f"a{s}", hex(to)], to
+            return "entry", [f"a{s}", number((w >> 12) * 8)], None
+        if r in BOOLEAN_OR_LOOP:
+            to = to if r < 2 else at + 4 + (w >> 16)
+            return BOOLEAN_OR_LOOP[r], [f"{'b' if r < 2 else 'a'}{s}", hex(to)], to
         return None
     if op == 7:
         to = at + 4 + byte
@@ -118,9 +250,10 @@ def builtin(at: int, data: bytes) -> list[dict]:
     """Instructions from an address on, one after the other; a byte of data where none is known."""
     out, here = [], 0
     while here < len(data):
-        size = 2 if data[here] & 8 else 3
+        op = data[here] & 15
+        size = 3 if op < 8 else 2 if op < 14 else 1
         found = None
-        if here + size <= len(data):
+        if size > 1 and here + size <= len(data):
             found = (narrow if size == 2 else wide)(int.from_bytes(data[here : here + size], "little"), at + here)
         if found is None:
             size, found = 1, (".byte", [f"0x{data[here]:02x}"], None)
