@@ -14,8 +14,9 @@ def test_components(spark):
     at = {n: k for k, n in enumerate(nodes)}
     root = local_roots(len(nodes), *(np.array([at[e[k]] for e in edges]) for k in (0, 1)))
     want = {n: nodes[root[k]] for n, k in at.items() if root[k] != k}
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == want
+    for local in (0, 1000):
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), local=local).collect()}
+        assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -54,22 +55,59 @@ def test_odd_documents(odd):
     assert simhash.near_duplicates(odd.where("false")).count() == 0 == simhash.deduplicated(odd.where("false")).count()
 
 
-def test_vectors(spark):
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(120, 24))
-    rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)]
-    for k in range(120, 260):
-        v = base[k % 40] + rng.normal(size=24) * rng.choice([0, 0.1, 0.25, 0.35])
-        rows.append((k, [float(x) for x in v * rng.choice([1, 3])]))
-    x = np.array([v for _, v in rows])
+def all_pairs(rows):
+    """(links, least id reachable) of each vector, by comparing every pair."""
+    x = np.array([v for _, v in rows], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= 0.95
     np.fill_diagonal(near, False)
-    root = local_roots(len(rows), *np.nonzero(near))
+    return near.sum(1), local_roots(len(rows), *np.nonzero(near))
+
+
+def vectors_near(rng, dim, n, spread):
+    """Vectors of which most are near another, by very different distances; some are the same."""
+    base = rng.normal(size=(n, dim))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)]
+    for k in range(n, 2 * n):
+        v = base[k % (n // 3)] + rng.normal(size=dim) * rng.choice(spread)
+        rows.append((k, [float(x) for x in v * rng.choice([1, 3])]))
+    return rows
+
+
+def test_vectors(spark):
+    rows = vectors_near(np.random.default_rng(3), 24, 120, [0, 0.1, 0.25, 0.35])
+    links, root = all_pairs(rows)
     odd = [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [None] + [1.0] * 23), (904, [1.0]), (905, []), (None, rows[0][1])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(4)
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()}
     for k in range(len(rows)):
-        assert got[k] == (int(near[k].sum()), int(root[k]), bool(root[k] == k))
+        assert got[k] == (int(links[k]), int(root[k]), bool(root[k] == k))
     assert all(got[k][:2] == (0, k) for k, _ in odd)
     assert vectors.near_duplicates(df.where("false")).count() == 0
+
+
+def test_vectors_however_they_are_dealt(spark):
+    """Trees as deep as leaves of a few vectors, and shards cut into tiles; with clashing columns and repeated ids."""
+    rows = vectors_near(np.random.default_rng(4), 64, 500, [0.05, 0.15, 0.2, 0.25, 0.3])
+    links, root = all_pairs([(k, np.array(v, np.float32)) for k, v in rows])
+    df = spark.createDataFrame([(k, v, 1, "x", 2) for k, v in rows], "vec_id long, embedding array<float>, node long, key string, copies int").repartition(3)
+    want = {k: (int(links[k]), int(root[k])) for k, _ in rows}
+    for shard, deepest, tiles in ((1 << 22, 12, None), (64 * 4, 12, None), (64 * 30, 2, 3), (64 * 200, 12, 1)):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, shard=shard, deepest=deepest, tiles=tiles).collect()}
+        assert got == want, (shard, deepest, tiles)
+    twice = vectors.near_duplicates(df.union(df.where("vec_id < 3"))).where("vec_id = 0").collect()
+    x = np.array([rows[k][1] for k in range(3)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert [r.n_links for r in twice] == [int(links[0]) + int((x[0] @ x.T >= 0.95).sum())] * 2
+
+
+def test_leaves_hold_all_that_is_near():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 6))
+    tree = vectors.grown(x[:500], 7)
+    row, leaf, home = vectors.leaves(x, tree, 0.5)
+    own = dict(zip(row[home].tolist(), leaf[home].tolist(), strict=True))
+    asked = set(zip(row.tolist(), leaf.tolist(), strict=True))
+    assert len(own) == 3000 and len(asked) == len(row) < 3000 * 100
+    d = ((x[:200, None] - x[None]) ** 2).sum(2)
+    assert all((i, own[j]) in asked for i, j in zip(*(k.tolist() for k in np.nonzero(d <= 0.5)), strict=True))
