@@ -4,15 +4,16 @@ All suffixes of all texts would be far too many to move, so each window of LENGT
 in it, chosen by content alone: the one whose first GRAM bytes have the least hash (the leftmost of equals). Equal
 windows choose equal suffixes, at the same place in them, so windows can only repeat where chosen suffixes begin alike.
 
-1. Splitters sampled from the chosen suffixes' leading bytes range-partition them into buckets of similar size.
-2. A bucket is sorted by multikey quicksort: by the GRAM bytes, then by the block, all bytes of the windows that chose
-   the suffix, then by document and place. Of equal blocks all but the first are repeated throughout.
-   Suffixes that begin alike but differ in their blocks, at the edges of what repeats, are compared further:
-3. their blocks are brought together by the gram, and all but the first of equal windows in them are repeated.
-   Groups that a splitter may have cut are compared across bucket boundaries, and groups of more than GROUP blocks in
-   pieces: their windows are brought together one by one, by two hashes.
-
-Gram, block and windows are compared by 64-bit hashes, of which two independent ones must agree. What repeats within one batch
+1. A filter keeps the chosen suffixes whose first GRAM bytes may begin another one as well, by a hash of these: the others
+   can't be part of a repetition. Only hashes and places move for this.
+2. Splitters, quantiles of the leading bytes of the suffixes that are left, range-partition them into buckets, each with its block: all
+   bytes of the windows that chose it.
+3. A bucket sorts its suffixes by multikey quicksort, eight bytes a key. Neighbours with GRAM bytes in common form a group;
+   of equal blocks all but the first are repeated throughout, and of equal windows in blocks that differ all but the first.
+   Splitters are whole leading keys, and suffixes of one key never part, so no group reaches across a boundary, but for
+   those of more than GROUP suffixes: their windows are dealt one by one, and compared with their neighbours in order.
+
+Hashes only choose, filter and bring candidates together; what counts as equal is equal in its bytes. What repeats within one batch
 of documents is settled there, so a passage that a third of all documents share is moved once a batch.
 """
 
@@ -32,9 +33,9 @@ GRAM = 40
 SPAN = LENGTH - GRAM + 1  # grams of a window
 PIECE = 1 << 20  # windows of a text handled at a time
 BATCH = 8 << 20  # bytes of texts whose repetitions are settled at once
-BUCKET = 400_000  # chosen suffixes of a bucket, about
-SAMPLED = 2_000  # documents whose suffixes give the splitters
-GROUP = 4_000  # blocks of a gram up to which they are compared in one place
+FILTERED = 400_000  # suffixes that a task of the filter holds, about
+BUCKET = 12 << 20  # bytes of blocks of a bucket, about
+GROUP = 4_000  # suffixes of a group up to which they are compared in one place
 CHUNK = 4_096  # blocks whose windows are compared at a time, and whole groups at least
 NO_ID = (1 << 63) - 1  # documents without an id come last
 
@@ -72,8 +73,19 @@ def hashes(sums: np.ndarray, which: int, start: np.ndarray, end: np.ndarray) ->
     return (sums[end] - sums[start]) * powers()[2 + which][start]
 
 
+def keys_at(data: np.ndarray, place: np.ndarray, n: int) -> list[np.ndarray]:
+    """The n keys of eight bytes each that follow the places, as numbers that order as the bytes do."""
+    out = []
+    for k in range(n):
+        key = np.zeros(len(place), np.uint64)
+        for j in range(8 * k, 8 * k + 8):
+            key = key << np.uint64(8) | data[place + j]
+        out.append(key)
+    return out
+
+
 def chosen(data: np.ndarray):
-    """Chosen suffixes of a piece: (place, first window, last window, gram hash, block hash, leading bytes)."""
+    """Chosen suffixes of a piece: (place, first window, last window, gram hash, block hash, first key)."""
     n = len(data) - LENGTH + 1
     one, two = prefix_sums(data, 0), prefix_sums(data, 1)
     grams = len(data) - GRAM + 1
@@ -90,15 +102,7 @@ def chosen(data: np.ndarray):
     place = place[first]
     block = hashes(two, 1, first, last + LENGTH)
     block = mixed(block + (((place - first) << 8) | (last - first)).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    leading = np.zeros(len(place), np.uint64)
-    for j in range(5):
-        leading = leading << np.uint64(8) | data[place + j]
-    return place, first, last, gram[place], block, leading
-
-
-def sort_key(leading: np.ndarray, gram: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Five leading bytes, then 12 bits of the gram's and of the block's hash: what splitters compare."""
-    return leading << np.uint64(24) | (gram >> np.uint64(52)) << np.uint64(12) | block >> np.uint64(52)
+    return place, first, last, gram[place], block, keys_at(data, place, 1)[0]
 
 
 def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -147,14 +151,14 @@ def batches_of(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
         yield sorted(rows, key=lambda r: r[:2])
 
 
-SUFFIX = "bucket int, k1 long, k2 long, id long, twin long, at long"
-FOUND = "id long, twin long, start long, end long, mode int, gram long"  # mode: 0 repeated, 1 compare by block, 2 by window
+CHOSEN = "gram long, key long, id long, twin long, at long"
+FOUND = "id long, twin long, start long, end long, mode int, key long, off int"  # mode: 0 repeated, 1 compare by block, 2 by window
 
 
-def suffix_rows(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """(id, twin, text) -> suffixes: gram and block hash, document, and packed place, windows and whether a splitter may cut the group;
-    and what is settled already, with at = -1, as start and end."""
-    names = [f.split()[0] for f in SUFFIX.split(", ")]
+def suffix_rows(docs: DataFrame) -> DataFrame:
+    """(id, twin, text) -> chosen suffixes: gram hash, first key, document, and packed place and windows; and what is
+    settled already, with at = -1, as start and end in the place of hash and key."""
+    names = [f.split()[0] for f in CHOSEN.split(", ")]
 
     def run(batches):
         for batch in batches:
@@ -162,129 +166,131 @@ def suffix_rows(docs: DataFrame, splitters: np.ndarray) -> DataFrame:
                 parts, owner = [], []
                 for i, (_, _, data) in enumerate(rows):
                     for at, piece in pieces(np.frombuffer(data, np.uint8)):
-                        place, first, last, gram, block, leading = chosen(piece)
-                        parts.append((place + at, first + at, last + at, gram, block, leading))
+                        place, first, last, gram, block, key = chosen(piece)
+                        parts.append((place + at, first + at, last + at, gram, block, key))
                         owner.append(np.full(len(place), i))
                 if not parts:
                     continue
-                place, first, last, gram, block, leading = (np.concatenate(p) for p in zip(*parts, strict=True))
+                place, first, last, gram, block, key = (np.concatenate(p) for p in zip(*parts, strict=True))
                 owner = np.concatenate(owner)
                 order = multikey_order([gram, block, owner, place])
-                g, b = gram[order], block[order]
-                again = order[np.concatenate([[False], (g[1:] == g[:-1]) & (b[1:] == b[:-1])])]
+                alike = np.nonzero(repeated(gram[order], block[order]))[0]
+                texts = [r[2] for r in rows]
+                a, b, own, other = first[order[alike]], first[order[alike - 1]], owner[order[alike]], owner[order[alike - 1]]
+                size = last[order[alike]] + LENGTH - a
+                same = [texts[i][x : x + n] == texts[j][y : y + n] for i, j, x, y, n in zip(own.tolist(), other.tolist(), a.tolist(), b.tolist(), size.tolist(), strict=True)]
+                again = np.sort(order[alike[np.array(same, bool)]])  # rows are in the order of documents, then places
                 keep = np.ones(len(order), bool)
                 keep[again] = False
                 ids, twins = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-                key = sort_key(leading, gram, block)[keep]
-                bucket = np.searchsorted(splitters, key, "right")
-                edge = np.zeros(len(key), np.int64)
-                if len(splitters):
-                    group, cuts = key >> np.uint64(12), splitters >> np.uint64(12)
-                    edge = ((group == cuts[np.minimum(bucket, len(cuts) - 1)]) | (group == cuts[np.maximum(bucket - 1, 0)])).astype(np.int64)
-                at = (place[keep] << 17) | ((place - first)[keep] << 9) | ((last - place)[keep] + 128 << 1) | edge
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(gram[keep].view(np.int64)), pa.array(block[keep].view(np.int64)), pa.array(ids[owner[keep]]), pa.array(twins[owner[keep]]), pa.array(at)], names)
+                at = (place[keep] << 16) | ((place - first)[keep] << 8) | (place - last)[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[keep].view(np.int64)), pa.array(key[keep].view(np.int64)), pa.array(ids[owner[keep]]), pa.array(twins[owner[keep]]), pa.array(at)], names)
                 if len(again):
+                    cuts = np.searchsorted(owner[again], np.arange(len(rows) + 1))
                     out = []
-                    again = np.sort(again)  # rows are in the order of documents, then places
-                    for i in np.unique(owner[again]):
-                        own = again[owner[again] == i] if len(rows) < 64 else again[slice(*np.searchsorted(owner[again], [i, i + 1]))]
-                        start, end = merged(first[own], last[own] + LENGTH)
+                    for i in np.unique(owner[again]).tolist():
+                        mine = again[cuts[i] : cuts[i + 1]]
+                        start, end = merged(first[mine], last[mine] + LENGTH)
                         out.append((np.full(len(start), i), start, end))
                     own, start, end = (np.concatenate(x) for x in zip(*out, strict=True))
-                    spread = (own * 7919 + int(ids[0])) % (len(splitters) + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(spread.astype(np.int32)), pa.array(start), pa.array(end), pa.array(ids[own]), pa.array(twins[own]), pa.array(np.full(len(own), -1))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(start), pa.array(end), pa.array(ids[own]), pa.array(twins[own]), pa.array(np.full(len(own), -1))], names)
+
+    return docs.mapInArrow(run, CHOSEN)
 
-    return docs.mapInArrow(run, SUFFIX)
 
+def filtered(rows: DataFrame, tasks: int) -> DataFrame:
+    """Chosen suffixes -> repeated intervals (mode 0), and those suffixes whose gram hash another has."""
+    names = [f.split()[0] for f in FOUND.split(", ")]
 
-def bucket_rows(rows: DataFrame, buckets: int) -> DataFrame:
-    """Buckets of suffixes -> repeated intervals (mode 0), and windows first..last left to compare."""
-    names = ["id", "twin", "start", "end", "mode", "gram"]
+    def found(key, twin, start, end, mode, lead, off):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(twin), pa.array(start), pa.array(end), pa.array(mode.astype(np.int32)), pa.array(lead), pa.array(off.astype(np.int32))], names)
 
     def run(batches):
         parts = []
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             settled = columns[4] < 0
             if settled.any():
-                k1, k2, key, twin, _ = (c[settled] for c in columns)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(twin), pa.array(k1), pa.array(k2), pa.array(np.zeros(len(key), np.int32)), pa.array(np.zeros(len(key), np.int64))], names)
+                start, end, key, twin, _ = (c[settled] for c in columns)
+                none = np.zeros(len(key), np.int64)
+                yield found(key, twin, start, end, none, none, none)
             if not settled.all():
                 parts.append([c[~settled] for c in columns])
         if not parts:
             return
-        gram, block, key, twin, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+        gram, lead, key, twin, at = (np.concatenate(c) for c in zip(*parts, strict=True))
         del parts
-        order = multikey_order([gram, block, key, twin, at])
-        gram, block, key, twin, at = (c[order] for c in (gram, block, key, twin, at))
-        place, first, last = at >> 17, (at >> 9) & 255, ((at >> 1) & 255) - 128
-        first, last = place - first, place + last
-        same_gram = np.concatenate([[False], gram[1:] == gram[:-1]])
-        again = same_gram & np.concatenate([[False], block[1:] == block[:-1]])
-        starts = np.nonzero(~same_gram)[0]
-        blocks = np.add.reduceat((~again).astype(np.int64), starts)
-        blocks = np.repeat(blocks, np.diff(np.append(starts, len(gram))))
-        edge = (at & 1) == 1
-        mode = np.where(again, 0, np.where(edge | (blocks > GROUP), 2, 1)).astype(np.int32)
-        pick = again | (blocks > 1) | edge
-        last = last + np.where(again, LENGTH, 0)
-        yield pa.RecordBatch.from_arrays([pa.array(c[pick]) for c in (key, twin, first, last, mode, np.where(again, 0, gram))], names)
-
-    return rows.repartitionById(buckets, "bucket").mapInArrow(run, FOUND)
-
-
-def block_rows(docs: DataFrame) -> DataFrame:
-    """(id, twin, text, ranges) -> blocks of mode 1, with their bytes; and hashes of single windows of mode 2, or, with an end, intervals settled at once."""
-    names = ["k1", "k2", "id", "twin", "start", "end", "block"]
-
-    def rows_of(columns, block=None):
-        arrays = [pa.array(c) for c in columns]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(block, pa.binary()) if block is not None else pa.nulls(len(arrays[0]), pa.binary())], names)
+        order = np.argsort(gram, kind="stable")
+        starts = np.nonzero(np.append(True, gram[order][1:] != gram[order][:-1]))[0]
+        size = np.diff(np.append(starts, len(gram)))
+        size = np.repeat(size, size)
+        order, size = order[size > 1], size[size > 1]
+        lead, key, twin, at = (c[order] for c in (lead, key, twin, at))
+        place, off = at >> 16, (at >> 8) & 255
+        yield found(key, twin, place - off, place - (at & 255), np.where(size > GROUP, 2, 1), lead, off)
+
+    spread = F.when(F.col("at") < 0, F.xxhash64("id", "gram")).otherwise(F.col("gram"))
+    return rows.repartition(tasks, spread).mapInArrow(run, FOUND)
+
+
+MOVED = "bucket int, off int, id long, twin long, start long, block binary"  # off: -1 a single window, -2 repeated, its size as the block's
+
+
+def block_rows(docs: DataFrame, splitters: np.ndarray, singles: int) -> DataFrame:
+    """(id, twin, text, ranges) -> suffixes with their blocks, by bucket; windows one by one, by their bytes; and what is settled at once."""
+    names = [f.split()[0] for f in MOVED.split(", ")]
 
     def run(batches):
+        from zlib import crc32
+
         for batch in batches:
             for rows in batches_of(batch):
-                whole, parts = [], []
-                for i, (key, twin, data, ranges) in enumerate(rows):
-                    raw, wanted = np.frombuffer(data, np.uint8), None
-                    for r in ranges:
+                seen, out = set(), []
+                for key, twin, data, ranges in rows:
+                    for r in sorted(ranges, key=lambda r: r["start"]):
+                        start, off = r["start"], r["off"]
                         if r["mode"] == 1:
-                            whole.append((r["gram"], 0, key, twin, r["start"], -1, data[r["start"] : r["end"] + LENGTH]))
-                        else:
-                            wanted = np.zeros(len(raw) + 1, np.int64) if wanted is None else wanted
-                            wanted[r["start"]] += 1
-                            wanted[r["end"] + 1] -= 1
-                    if wanted is None:
-                        continue
-                    wanted = np.nonzero(np.cumsum(wanted))[0]
-                    for at, piece in pieces(raw):
-                        own = wanted[(wanted >= at) & (wanted + LENGTH <= at + len(piece))] - at
-                        if len(own):
-                            parts.append((*(mixed(hashes(prefix_sums(piece, k), k, own, own + LENGTH)) for k in (0, 1)), np.full(len(own), i), own + at))
-                if whole:
-                    *columns, block = zip(*whole, strict=True)
-                    yield rows_of([np.array(c, np.int64) for c in columns], block)
-                if parts:
-                    w1, w2, owner, start = (np.concatenate(p) for p in zip(*parts, strict=True))
-                    order = multikey_order([w1, w2, owner, start])
-                    again = order[repeated(w1[order], w2[order])]
-                    end = np.full(len(order), -1)
-                    end[again] = start[again] + LENGTH
-                    ids, twins = (np.array([r[k] for r in rows], np.int64)[owner] for k in (0, 1))
-                    yield rows_of([w1.view(np.int64), w2.view(np.int64), ids, twins, start, end])
-
-    return docs.mapInArrow(run, "k1 long, k2 long, id long, twin long, start long, end long, block binary")
+                            block = data[start : r["end"] + LENGTH]
+                            if (off, block) in seen:
+                                out.append((0, -2, key, twin, start, len(block).to_bytes(8, "little")))
+                            else:
+                                seen.add((off, block))
+                                out.append((int(np.searchsorted(splitters, r["key"], "right")), off, key, twin, start, block))
+                            continue
+                        for at in range(start, r["end"] + 1):
+                            window = data[at : at + LENGTH]
+                            if (-1, window) in seen:
+                                out.append((0, -2, key, twin, at, LENGTH.to_bytes(8, "little")))
+                            else:
+                                seen.add((-1, window))
+                                out.append((len(splitters) + 1 + crc32(window) % singles, -1, key, twin, at, window))
+                        if len(out) > 1 << 16:
+                            yield moved(out)
+                            out = []
+                if out:
+                    yield moved(out)
+
+    def moved(rows):
+        bucket, off, key, twin, start, block = zip(*rows, strict=True)
+        bucket = np.array(bucket)
+        none = np.array(off) == -2
+        bucket[none] = np.arange(none.sum()) % (len(splitters) + 1)
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((bucket, off, key, twin, start, block), kinds, strict=True)], names)
+
+    return docs.mapInArrow(run, MOVED)
 
 
 def repeated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which rows have both keys of the row before."""
-    return np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])
+    return np.concatenate([[False], (a[1:] == a[:-1]) & (b[1:] == b[:-1])])[: len(a)]
 
 
 def blocks_compared(blocks: list[bytes], start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks in the order of documents -> (row, start, end) of windows that an earlier block, or place of the same, has."""
     size = np.array([len(b) for b in blocks])
-    data = np.frombuffer(b"".join(blocks), np.uint8)
+    whole = b"".join(blocks)
+    data = np.frombuffer(whole, np.uint8)
     windows = size - LENGTH + 1
     owner = np.repeat(np.arange(len(blocks)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -298,7 +304,13 @@ def blocks_compared(blocks: list[bytes], start: np.ndarray) -> tuple[np.ndarray,
             values[low:high] = hashes(prefix_sums(piece, k), k, at[low:high] - a, at[low:high] - a + LENGTH)
         w.append(mixed(values))
     order = multikey_order([*w, np.arange(len(at))])
-    again = np.sort(order[repeated(w[0][order], w[1][order])])
+    alike = np.nonzero(repeated(w[0][order], w[1][order]))[0]
+    places, before = at[order[alike]].tolist(), at[order[alike - 1]].tolist()
+    if all(whole[x : x + LENGTH] == whole[y : y + LENGTH] for x, y in zip(places, before, strict=True)):
+        again = np.sort(order[alike])
+    else:  # hashes of different windows agree: by their bytes alone
+        seen: set[bytes] = set()
+        again = np.array([i for i, x in enumerate(at.tolist()) if (v := whole[x : x + LENGTH]) in seen or seen.add(v)], np.int64)
     begin = start[owner[again]] + inside[again]
     new = np.concatenate([[True], (owner[again][1:] != owner[again][:-1]) | (begin[1:] != begin[:-1] + 1)])[: len(again)]
     first = np.nonzero(new)[0]
@@ -306,72 +318,85 @@ def blocks_compared(blocks: list[bytes], start: np.ndarray) -> tuple[np.ndarray,
     return owner[again][first], begin[first], begin[last[: len(first)]] + LENGTH
 
 
-def spans_compared(rows: DataFrame) -> DataFrame:
-    """Blocks and windows, brought together by their keys -> repeated intervals."""
+def bucket_spans(rows: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """A bucket's suffixes -> (id, twin, start, end) of what is repeated in them."""
+    off, ids, twins, start = (rows.column(c).to_numpy() for c in ("off", "id", "twin", "start"))
+    blocks = rows.column("block").to_pylist()
+    size = np.array([len(b) for b in blocks])
+    keys = keys_at(np.frombuffer(b"".join(blocks), np.uint8), np.cumsum(size) - size + off, GRAM // 8)
+    equal = np.fromiter(map(hash, blocks), np.int64, len(blocks))  # brings equal blocks together
+    order = multikey_order([*keys, equal, off, ids, twins, start])
+    # neighbours with all keys in common begin alike
+    near = np.append(False, np.all([k[order][1:] == k[order][:-1] for k in keys], 0))
+    line = order.tolist()
+    again = np.array([n and off[i] == off[j] and blocks[i] == blocks[j] for n, i, j in zip(near.tolist(), line, line[-1:] + line[:-1], strict=True)], bool)
+    done = order[again]
+    yield ids[done], twins[done], start[done], start[done] + size[done]
+    group = np.cumsum(~near)
+    rest, group = order[~again], group[~again]
+    many = np.repeat(c := np.unique(group, return_counts=True)[1], c) > 1
+    rest, group = rest[many], group[many]
+    rest = rest[(inner := multikey_order([group, ids[rest], twins[rest], start[rest]]))]
+    group = group[inner]
+    cuts = np.append(np.nonzero(np.append(True, group[1:] != group[:-1]))[0], len(group)) if len(group) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(cuts) - 1:  # whole groups, CHUNK blocks or so at a time
+        to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + CHUNK, "right")) - 1)
+        part = rest[cuts[at] : cuts[to]]
+        own, begin, end = blocks_compared([blocks[i] for i in part.tolist()], start[part])
+        yield ids[part[own]], twins[part[own]], begin, end
+        at = to
+
+
+def spans_compared(rows: DataFrame, buckets: int, singles: bool) -> DataFrame:
+    """Buckets -> repeated intervals. Single windows come in the order of their bytes, then of documents, and are compared as they pass."""
+    names = ["id", "twin", "start", "end"]
 
     def run(batches):
-        names = ["id", "twin", "start", "end"]
-        held: list[pa.RecordBatch] = []
-        last = None
+        held, last = [], None
 
-        def compared(rows: pa.Table):
-            ids, twins, start = (rows.column(c).to_numpy() for c in ("id", "twin", "start"))
-            own, begin, end = blocks_compared(rows.column("block").to_pylist(), start)
-            return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(twins[own]), pa.array(begin), pa.array(end)], names)
+        def spans(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for batch in batches:
-            block, end = batch.column(6), batch.column(5).to_numpy()
-            single = np.asarray(block.is_null())
-            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            alone = single & (end < 0)  # windows to compare with each other
-            before = np.concatenate([[(k1[0], k2[0]) == last], alone[:-1] & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])])
-            last = (k1[-1], k2[-1]) if alone[-1] else None
-            pick = single & ((end >= 0) | before)
-            if pick.any():
-                ids, twins, start = (batch.column(k).to_numpy()[pick] for k in (2, 3, 4))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(twins), pa.array(start), pa.array(start + LENGTH)], names)
-            held.append(batch.filter(pa.array(~single)))
-            if sum(b.num_rows for b in held) > CHUNK:
-                rows = pa.Table.from_batches(held).combine_chunks()
-                grams = rows.column("k1").to_numpy()
-                whole = int(np.searchsorted(grams, grams[-1]))  # the last group may go on
-                if whole:
-                    yield compared(rows.slice(0, whole))
-                held = rows.slice(whole).to_batches()
+            off, ids, twins, start = (batch.column(k).to_numpy() for k in (1, 2, 3, 4))
+            done = off == -2
+            if done.any():
+                size = np.array([int.from_bytes(b, "little") for b in batch.column(5).filter(pa.array(done)).to_pylist()])
+                yield spans(ids[done], twins[done], start[done], start[done] + size)
+            alone = np.nonzero(off == -1)[0]
+            if len(alone):
+                windows = batch.column(5).take(pa.array(alone)).to_pylist()
+                again = alone[np.array([w == v for w, v in zip(windows, [last, *windows[:-1]], strict=True)], bool)]
+                last = windows[-1]
+                yield spans(ids[again], twins[again], start[again], start[again] + LENGTH)
+            held.append(batch.filter(pa.array(off >= 0)))
         if sum(b.num_rows for b in held):
-            yield compared(pa.Table.from_batches(held).combine_chunks())
+            for found in bucket_spans(pa.Table.from_batches(held).combine_chunks()):
+                yield spans(*found)
 
-    # single windows and blocks differ in their second key; settled windows come first, and are not what others repeat
-    dealt = rows.withColumns({"single": F.col("block").isNull(), "open": F.col("end") < 0})
-    dealt = dealt.repartition("k1").sortWithinPartitions("single", "open", "k1", "k2", "id", "twin", "start")
-    return dealt.drop("single", "open").mapInArrow(run, "id long, twin long, start long, end long")
+    dealt = rows.repartitionById(buckets, "bucket")
+    if singles:
+        one = F.col("off") == -1
+        dealt = dealt.sortWithinPartitions(F.when(one, F.col("block")), F.when(one, F.col("id")), F.when(one, F.col("twin")), F.when(one, F.col("start")))
+    return dealt.mapInArrow(run, "id long, twin long, start long, end long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(id, twin, text) -> (id, twin, spans): repeated intervals, unmerged, for documents that have some."""
-    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    buckets = max(1, round((size or 0) * 2 / (SPAN + 1) / BUCKET))
-    splitters = np.zeros(0, np.uint64)
-    if buckets > 1:
-        share = min(1.0, SAMPLED / n)
-
-        def keys(batches):
-            for batch in batches:
-                for rows in batches_of(batch):
-                    for _, _, data in rows:
-                        for _, piece in pieces(np.frombuffer(data, np.uint8)):
-                            _, _, _, gram, block, leading = chosen(piece)
-                            key = sort_key(leading, gram, block)
-                            yield pa.RecordBatch.from_arrays([pa.array(key[gram % np.uint64(4) == 0].view(np.int64))], ["key"])
-
-        sample = docs.where(F.xxhash64("id", "twin", F.lit("split")).bitwiseAND(F.lit((1 << 53) - 1)) < F.lit(int(share * (1 << 53)))).mapInArrow(keys, "key long")
-        sample = np.sort(sample.toPandas()["key"].to_numpy(np.int64).view(np.uint64))
-        if len(sample):
-            splitters = np.unique(sample[np.arange(1, buckets) * len(sample) // buckets])
-    found = written(bucket_rows(suffix_rows(docs, splitters), len(splitters) + 1), "suffixes")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = written(filtered(suffix_rows(docs), max(1, round(size * 2 / (SPAN + 1) / FILTERED))), "suffixes")
     release(docs.sparkSession)
-    ranges = found.where("mode > 0").groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end", "mode", "gram")).alias("ranges"))
-    rest = spans_compared(block_rows(docs.join(ranges, ["id", "twin"]).select("id", "twin", "text", "ranges")))
+    width = F.col("end") - F.col("start")
+    moved, single = found.agg(F.sum(F.when(F.col("mode") == 1, width + LENGTH)), F.sum(F.when(F.col("mode") == 2, (width + 1) * LENGTH))).first()
+    buckets, singles = max(1, (moved or 0) // BUCKET), -(-(single or 0) // BUCKET)
+    splitters = np.zeros(0, np.int64)
+    if buckets > 1:
+        quantiles = F.percentile_approx("key", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), 20 * buckets)
+        splitters = np.unique(np.array(found.where("mode = 1").agg(quantiles).first()[0], np.int64))
+    ranges = found.where("mode > 0").groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end", "mode", "key", "off")).alias("ranges"))
+    rows = block_rows(docs.join(ranges, ["id", "twin"]).select("id", "twin", "text", "ranges"), splitters, max(1, singles))
+    rest = spans_compared(rows, len(splitters) + 1 + singles, singles > 0)
     spans = found.where("mode = 0").select("id", "twin", "start", "end").unionByName(rest)
     spans = written(spans.groupBy("id", "twin").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     discard(found)
@@ -380,10 +405,11 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, twin, text): twin tells texts of one id apart; 0 where ids don't repeat."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    """(id, twin, text, doc_id): twin tells texts of one id apart; 0 where ids don't repeat. doc_id is null where the id is."""
+    own = F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), own.alias("doc_id"))
     alone = rows.groupBy("id").count().where("count > 1").limit(1).count() == 0
-    return rows.select("id", (F.lit(0).cast("long") if alone else F.xxhash64("text")).alias("twin"), "text")
+    return rows.select("id", (F.lit(0).cast("long") if alone else F.xxhash64("text")).alias("twin"), "text", "doc_id")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,8 +419,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     others. Rows of one id are one document if their texts are equal, and get the same result; else they are ordered by a hash.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = repeats(rows)
-    joined = rows.join(spans, ["id", "twin"], "left").select("id", "text", "spans")
+    spans = repeats(rows.drop("doc_id"))
+    joined = rows.join(spans, ["id", "twin"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -411,8 +437,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     for a, b in zip(start.tolist(), end.tolist(), strict=True):
                         out.append(data[last:a])
                         last = b
-                    key = key.as_py()
-                    ids.append(None if key == NO_ID else key)
+                    ids.append(key.as_py())
                     sizes.append(len(data))
                     cuts.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
                     kept.append(b"".join(out) + data[last:])
