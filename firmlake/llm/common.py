@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import gc
-import os
+import contextlib
 import tempfile
 import uuid
 import zlib
@@ -22,33 +21,54 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path in it): a path without a scheme is on the cluster's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the cluster's shared folder, ``spark.checkpoint.dir``.
+    """A new folder's path in the cluster's shared folder, ``spark.checkpoint.dir``; what is there is deleted when the application ends.
 
-    Where the setting is missing, as in tests, a temporary folder is set for the session.
+    Where the setting is missing, a local master, as in tests, gets a temporary folder for the session; on a cluster that
+    would be lost to the executors, so it raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("firmlake.shared.dir", None)
     if not base:
-        base = spark.conf.get("firmlake.shared.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="firmlake-")
-            spark.conf.set("firmlake.shared.dir", base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base) if base.startswith("/") else base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="firmlake-")
+        spark.conf.set("firmlake.shared.dir", base)
+    made = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, path = file_system(spark, made)
+    fs.deleteOnExit(path)
+    return str(fs.makeQualified(path).toString())
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries run within delete their shuffle files when they end, rather than when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """The rows of ``df``, written to the shared folder and read from there.
 
-    Cuts the lineage: an executor lost later costs a re-read, not a recomputation.
+    Cuts the lineage: an executor lost later costs a re-read, not a recomputation. What was shuffled for it is deleted.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
     out = df.write
     if partition_by:
         out = out.partitionBy(*partition_by)
-    out.parquet(path)
+    with tidy(spark):
+        out.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path
     return back
@@ -57,16 +77,8 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more. It does so when the driver collects its garbage, which a
-    driver with little to do may put off until disks are full; call it where a written table has replaced what was shuffled."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        fs, path = file_system(table.sparkSession, table._written_to)
+        fs.delete(path, True)
 
 
 def bounded_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
