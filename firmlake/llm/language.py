@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlake.llm.common import crc_mod, flat_arrow, map_rows
-from firmlake.llm.sampling import sampled_all
+from firmlake.llm.sampling import sampled_all, within_bytes
 
 COLUMNS = 1 << 15  # hashed n-grams
 SIZES = (1, 2, 3, 4)
 PER_LANGUAGE = 600  # documents of a language that weights are trained on; the bound of the sample
 LANGUAGES = 100  # languages beyond which each has fewer documents in the sample
 LEAST = 30  # but about so many
+BYTES = 24 << 20  # of the sample's texts, all together, an equal share a language; one document a language at least
 WINDOW = 1 << 16  # characters turned into n-grams at a time
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-3
@@ -35,7 +36,7 @@ def counts(text: str | None, columns: int = COLUMNS) -> np.ndarray | None:
     """
     if not text:
         return None
-    total, letter = None, False
+    total, letter = np.zeros(columns, np.int64), False
     for at in range(0, len(text), WINDOW):
         # a stretch takes the last characters of the one before along, so no n-gram is lost
         low = text[at : at + WINDOW].lower()
@@ -57,15 +58,14 @@ def counts(text: str | None, columns: int = COLUMNS) -> np.ndarray | None:
         fresh = np.cumsum(keep)[new - 1]
         points = points[keep]
         mixed = (points.astype(np.uint64) + np.uint64(1)) * SEEDS[0]
-        code = np.zeros(len(points), np.uint64)
+        code, found = np.zeros(len(points), np.uint64), []
         for n in SIZES:
             code = mixed if n == 1 else code[:-1] * SEEDS[1] + mixed[n - 1 :]
             # only n-grams that end in this stretch
             first = max(0, int(fresh) - n + 1)
             part = code[first:]
-            column = ((part ^ (part >> np.uint64(29))) * SEEDS[2] >> np.uint64(40)).astype(np.int64) % columns
-            some = np.bincount(column, minlength=columns)
-            total = some if total is None else total + some
+            found.append((part ^ (part >> np.uint64(29))) * SEEDS[2] >> np.uint64(40))
+        total += np.bincount((np.concatenate(found) % np.uint64(columns)).astype(np.int64), minlength=columns)
         carry = points[-(max(SIZES) - 1) :]
     return total if letter else None
 
@@ -150,7 +150,8 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, columns: int = COLUMN
     """A model from all rows (text, lang): document frequencies over all, weights from a bounded sample of features.
 
     Every language is learned, however many there are. A fifth of the sample, by a hash, sets the temperature; a language that has
-    no other rows is trained on these. Rows with a null lang or text don't count.
+    no other rows is trained on these. Rows with a null lang or text don't count, and texts without a letter teach nothing.
+    Without rows nothing is learned.
     """
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     df, n = document_frequencies(rows.select("text"), columns)
@@ -164,7 +165,7 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, columns: int = COLUMN
 
         return one
 
-    chosen = sampled_all(rows, "lang", per_language, LANGUAGES, LEAST).select("text", "lang", (F.crc32(F.col("text").cast("binary")) % 5 == 0).alias("kept_back"))
+    chosen = within_bytes(sampled_all(rows.select("text", "lang"), "lang", per_language, LANGUAGES, LEAST), "text", BYTES, "lang").select("text", "lang", (F.crc32(F.col("text").cast("binary")) % 5 == 0).alias("kept_back"))
     features = [(r[0], r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32).astype(float)) for r in map_rows(chosen, make, "lang string, kept_back boolean, at binary, value binary").collect()]
     features.sort(key=lambda f: (f[0], f[1], f[2].tobytes(), f[3].tobytes()))
     names = sorted({f[0] for f in features})
@@ -196,6 +197,8 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the two thirds that aren't held out. Null texts and those without a letter are ``und``;
+    equal texts get equal answers; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = crc_mod("doc_id", 3) == 1
     model = fit(docs.where(~held_out).select("text", "lang"))

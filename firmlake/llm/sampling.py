@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmlake.llm.common import bounded_join, written
@@ -39,3 +41,21 @@ def sampled_all(rows: DataFrame, label: str, per_label: int, labels: int, least:
     share = (F.lit(float(each)) / F.col("_n") * F.lit(float(1 << 53))).cast("long")
     df = bounded_join(rows.withColumn("_hash", hashed), counts, F.col(label) == F.col("_label"), "inner")
     return df.where((F.col("_n") <= each) | (F.col("_hash") < share)).select(*rows.columns)
+
+
+def within_bytes(rows: DataFrame, text: str, total: int, label: str | None = None, seed: str = "bytes-1") -> DataFrame:
+    """Of a sample, rows of no more than ``total`` bytes of text, taken in the order of a hash; texts longer than a sixty-fourth of that are left out.
+
+    With ``label``, each label may have an equal share, and keeps its first row if that is too long. The sample's rows, not its texts, must be bounded.
+    """
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    df = rows.withColumns({"_size": size, "_order": F.xxhash64(F.lit(seed), *rows.columns)})
+    if label is None:
+        df = df.where(F.col("_size") <= total // 64)
+        order, held = zip(*sorted(df.select("_order", "_size").collect()), strict=True) if df.limit(1).count() else ((), ())
+        fits = [o for o, n in zip(order, itertools.accumulate(held), strict=True) if n <= total]
+        return df.where(F.col("_order") <= fits[-1] if fits else F.lit(False)).select(*rows.columns)
+    share = total // max(rows.select(label).distinct().count(), 1)
+    by_label = Window.partitionBy(label).orderBy("_order", *[c for c in rows.columns if c != label])
+    before = F.sum("_size").over(by_label.rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_held", before).withColumn("_rank", F.row_number().over(by_label)).where((F.col("_held") <= share) | (F.col("_rank") == 1)).select(*rows.columns)

@@ -40,6 +40,62 @@ def test_all_languages_are_learned(spark):
     assert sum(language.predict(model, text)[0] == lang for text, lang in rows) > 0.9 * len(rows)
 
 
+def test_language_weights_are_those_of_plain_descent(monkeypatch):
+    """Follow-the-regularised-leader coordinate by coordinate, as published, on the same order of examples."""
+    monkeypatch.setattr(language, "L1", 0.05)
+    rng = np.random.default_rng(8)
+    examples = [(np.sort(rng.choice(12, 4, replace=False)), rng.random(4), int(rng.integers(3))) for _ in range(60)]
+    found = language.train(examples, 3, 12, epochs=2)
+    z, n = [[0.0] * 3 for _ in range(13)], [[0.0] * 3 for _ in range(13)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= language.L1:
+            return 0.0
+        return -(z[i][k] - math.copysign(language.L1, z[i][k])) / ((language.BETA + math.sqrt(n[i][k])) / language.ALPHA + language.L2)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for e in order.permutation(60).tolist():
+            at, value, label = [*examples[e][0].tolist(), 12], [*examples[e][1].tolist(), 1.0], examples[e][2]
+            scores = [sum(v * weight(i, k) for i, v in zip(at, value, strict=True)) for k in range(3)]
+            whole = sum(map(math.exp, scores))
+            w = {(i, k): weight(i, k) for i in at for k in range(3)}
+            for i, v in zip(at, value, strict=True):
+                for k in range(3):
+                    g = v * (math.exp(scores[k]) / whole - (k == label))
+                    sigma = (math.sqrt(n[i][k] + g * g) - math.sqrt(n[i][k])) / language.ALPHA
+                    z[i][k] += g - sigma * w[i, k]
+                    n[i][k] += g * g
+    assert np.allclose(found, [[weight(i, k) for k in range(3)] for i in range(13)], atol=1e-9)
+    assert (found == 0).any() and (found != 0).any()
+
+
+def test_language_predictions_are_plain(spark, odd):
+    """Probabilities of a fitted model by sums over the n-grams of each text."""
+    model = language.fit(odd.select("text", "lang"), columns=1 << 10)
+    for text in ("a b c", "é word", "word " * 30000):
+        found = language.counts(text, 1 << 10)
+        value = {c: (1 + math.log(n)) * model["idf"][c] for c, n in enumerate(found.tolist()) if n}
+        norm = math.sqrt(sum(v * v for v in value.values()))
+        s = [(sum(v / norm * model["weights"][c, k] for c, v in value.items()) + model["weights"][-1, k]) / model["temperature"] for k in range(len(model["names"]))]
+        p = [math.exp(x - max(s)) for x in s]
+        best = p.index(max(p))
+        got = language.predict(model, text)
+        assert got[0] == model["names"][best] and abs(got[1] - p[best] / sum(p)) < 1e-9
+
+
+def test_a_sample_of_few_bytes_has_all_languages(spark):
+    from firmlake.llm.sampling import within_bytes
+
+    rows = spark.createDataFrame([("x" * (10 + k), f"l{k % 7}") for k in range(70)] + [("y" * 5000, "long")], "text string, lang string")
+    held = within_bytes(rows, "text", 8 * 200, "lang").collect()
+    assert {r.lang for r in held} == {f"l{k}" for k in range(7)} | {"long"}
+    assert all(sum(len(r.text) for r in held if r.lang == f"l{k}") <= 200 for k in range(7))
+    some = within_bytes(rows, "text", 6400).collect()
+    assert 0 < sum(len(r.text) for r in some) <= 6400 and some == within_bytes(rows, "text", 6400).collect()
+    assert within_bytes(rows.where("false"), "text", 100).count() == 0
+
+
 def test_scores(spark, odd):
     df = odd.select("doc_id", "text")
     rows = df.collect()
@@ -117,6 +173,25 @@ def test_scores_use_all_contexts(spark):
         assert all(abs(got[k] - trie.score(scoring.framed(t))) < 1e-3 for k, t in texts.items())
 
 
+def plain(model, texts):
+    """Scores word by word: every filter at every word, the words behind the end being zero."""
+    for text in texts:
+        words = "".join(c if ord(c) > 127 or c.isalnum() else " " for c in text.lower()).split()
+        rows = [model.embeddings[zlib.crc32(w.encode()) % toxicity.BUCKETS] + model.embeddings[zlib.crc32(w.encode()[:5], 1) % toxicity.BUCKETS] for w in words]
+        size = model.embeddings.shape[1]
+        rows += [np.zeros(size)] * (2 + (not words))
+        logit = model.out_bias
+        for k, kernel in enumerate(model.kernels):
+            for f in range(kernel.shape[2]):
+                peak = max(sum(float(rows[i + j] @ kernel[j, :, f]) for j in range(len(kernel))) for i in range(len(rows) - 2))
+                logit += max(peak + model.bias[k, f], 0) * model.out[k * kernel.shape[2] + f]
+        got, language = model.logit(text)
+        assert abs(got - logit) < 1e-3 * max(1, abs(logit))
+        assert abs(toxicity.forward(model, *toxicity.hashed(text)) - logit) < 1e-6 * max(1, abs(logit))
+        assert abs(model.score(text) - 1 / (1 + math.exp(model.thresholds[language] - got))) < 1e-9
+    assert sum(len(t.split()) for t in texts) > 2 * toxicity.WINDOW  # the longest takes several windows
+
+
 def test_toxicity(spark, odd):
     rng = np.random.default_rng(1)
     bad, words = ["idiot", "trash", "scum"], [f"w{k}" for k in range(400)]
@@ -133,6 +208,7 @@ def test_toxicity(spark, odd):
     held = toxicity.scored(docs, model).where("held_out").collect()
     assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) > 0.97 * len(held)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in held)
+    plain(model, ["", "idiot", "w1 Idiot! w2 trash", "é", " ".join(r[1] for r in rows) + " scum"])
     assert toxicity.scored(odd, model).count() == 10 and toxicity.accepted(odd, model).columns == odd.columns
     none = toxicity.fit(odd.select("doc_id", "text", "lang"), labels.where("false"))
     assert {r.predicted for r in toxicity.scored(odd, none).collect()} == {0}
