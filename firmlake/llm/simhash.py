@@ -1,10 +1,10 @@
 """SimHash near-duplicates: fingerprints of word shingles, joined exactly within a Hamming radius by vantage-point trees.
 
-A fingerprint is cut into as many slices as the tree has levels. A level branches by the Hamming distance of its
-slice to that level's vantage point. By the triangle inequality two fingerprints at distance r differ, summed over
-levels, by at most r in these distances; so a branch is pruned once the differences on the way exceed r. A
-leaf is a shard: each fingerprint lives in one and is queried in every shard whose boundary its ball
-overlaps. In a shard pairs are compared exactly.
+Every branch of the tree has a vantage point of its own, one of the sample's fingerprints there, and parts at the median of their
+distances to it. Distances at a level count the bits of that level's slice of the fingerprint alone, so that the levels' bounds
+add up: by the triangle inequality a fingerprint on one side of a median is at least so many bits from any on the other,
+and a branch is pruned once what the way to it needs exceeds the radius. A leaf is a shard: each fingerprint lives in one
+and is queried in shards whose boundary its ball overlaps, of two shards one in the other. In a shard pairs are compared exactly.
 """
 
 from __future__ import annotations
@@ -23,7 +23,10 @@ from firmlake.llm.components import components, local_roots
 SEED = 42
 WIDTH = 3  # words in a shingle
 RADIUS = 2  # differing bits of a link
-SAMPLE = 1024  # fingerprints among which vantage points are chosen
+SHARD = 1 << 14  # fingerprints that live in a shard, about
+DEEPEST = 16  # levels of the tree; beyond 2 ** 30 fingerprints shards grow, and are compared a tile at a time like any other
+SAMPLE = 16  # fingerprints a leaf of the sample that the tree grows from, 1024 at least: 8 MB at most, on the driver
+TRIED = 16  # of them, as vantage points of a branch
 TILE = 2048  # rows of a block of comparisons
 
 
@@ -58,49 +61,62 @@ def slices(levels: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in itertools.pairwise(cuts)]
 
 
-def vantage(sample: np.ndarray, levels: int) -> int:
-    """For each level the slice, among the sample's, to which the sample's distances vary most."""
-    best = 0
-    if not len(sample):
-        return best
-    for shift, bits in slices(levels):
-        part = (sample >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
-        tried = part[:64]
-        spread = np.bitwise_count(tried[:, None] ^ part[None, :]).astype(np.int32).var(1)
-        best |= int(tried[spread.argmax()]) << shift
-    return best
+def part(points: np.ndarray, shift: int, bits: int) -> np.ndarray:
+    return (points >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
 
 
-def leaf_offsets(levels: int, radius: int) -> np.ndarray:
-    """Vectors of differences with an absolute sum of at most radius, lexicographically after zero: a pair meets once."""
-    out: list[tuple[int, ...]] = [()]
-    for _ in range(levels):
-        out = [(*o, d) for o in out for d in range(-radius, radius + 1) if sum(map(abs, o)) + abs(d) <= radius]
-    return np.array([o for o in out if o > (0,) * levels], np.int64).reshape(-1, levels)
+def grown(sample: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vantage point's slice, median distance) of each branch, in heap order.
 
-
-def leaves(points: np.ndarray, point: int, levels: int) -> np.ndarray:
-    """Each point's distances to the vantage point, by level."""
-    x = points ^ np.uint64(point)
-    return np.stack([np.bitwise_count((x >> np.uint64(s)) & np.uint64((1 << b) - 1)).astype(np.int64) for s, b in slices(levels)], 1)
-
-
-def shard_rows(points: DataFrame, point: int, levels: int, radius: int) -> DataFrame:
-    """(fp) -> (shard, query, fp): the fingerprint's own leaf, and the leaves that its ball overlaps."""
+    Of the points tried in a branch the one counts whose distances part it most evenly; without any, all go one way.
+    """
+    point, cut = np.zeros((1 << levels) - 1, np.uint64), np.full((1 << levels) - 1, 64, np.int64)
+    held = {0: sample}
+    for level, (shift, bits) in enumerate(slices(levels) if levels else []):
+        for node in range((1 << level) - 1, (2 << level) - 1):
+            here = held.pop(node)
+            x = part(here, shift, bits)
+            best = len(x) + 1
+            for v in np.unique(x[:TRIED]):
+                d = np.bitwise_count(x ^ v)
+                middle = int(np.median(d))
+                for m in (middle - 1, middle):
+                    uneven = abs(int((d <= m).sum()) * 2 - len(x))
+                    if uneven < best:
+                        best, point[node], cut[node] = uneven, v, m
+            inside = np.bitwise_count(x ^ point[node]) <= cut[node]
+            held[2 * node + 1], held[2 * node + 2] = here[inside], here[~inside]
+    return point, cut
+
+
+def leaves(points: np.ndarray, tree: tuple[np.ndarray, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, leaf, home): each point's own leaf, and all leaves that may hold a point within the radius."""
+    point, cut = tree
+    row, node, home, left = np.arange(len(points)), np.zeros(len(points), np.int64), np.ones(len(points), bool), np.full(len(points), radius)
+    levels = (len(cut) + 1).bit_length() - 1
+    for shift, bits in slices(levels) if levels else []:
+        d = np.bitwise_count(part(points[row], shift, bits) ^ point[node]).astype(np.int64)
+        inside = d <= cut[node]
+        rest = left - np.where(inside, cut[node] + 1 - d, d - cut[node])
+        far = np.nonzero(rest >= 0)[0]
+        node = np.concatenate([2 * node + 2 - inside, (2 * node + 1 + inside)[far]])
+        row, home, left = np.concatenate([row, row[far]]), np.concatenate([home, np.zeros(len(far), bool)]), np.concatenate([left, rest[far]])
+    return row, node - len(cut), home
+
+
+def shard_rows(points: DataFrame, tree: tuple[np.ndarray, np.ndarray], radius: int) -> DataFrame:
+    """(fp) -> (shard, query, fp): the fingerprint in its own leaf, and as a query in leaves that its ball overlaps, of each two leaves in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets, top = leaf_offsets(levels, radius), np.array([b for _, b in slices(levels)])
-        weight = np.cumprod(np.append(1, top[:-1] + 1))
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(every), 4096):
-                fps = every[at : at + 4096]
-                home = leaves(fps.view(np.uint64), point, levels)
-                near = home[:, None, :] + offsets[None, :, :]
-                row, which = np.nonzero(((near >= 0) & (near <= top)).all(2))
-                shard = np.concatenate([home @ weight, near[row, which] @ weight])
-                query = np.repeat([False, True], [len(fps), len(row)])
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(query), pa.array(np.concatenate([fps, fps[row]]))], ["shard", "query", "fp"])
+            for at in range(0, len(every), 1 << 14):
+                fps = every[at : at + (1 << 14)]
+                row, leaf, home = leaves(fps.view(np.uint64), tree, radius)
+                own = np.zeros(len(fps), np.int64)
+                own[row[home]] = leaf[home]
+                pick = home | (((own[row] + leaf) % 2 == 1) == (own[row] < leaf))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[pick]), pa.array(~home[pick]), pa.array(fps[row[pick]])], ["shard", "query", "fp"])
 
     return points.mapInArrow(run, "shard long, query boolean, fp long")
 
@@ -109,20 +125,20 @@ def shard_links(rows: DataFrame, radius: int) -> DataFrame:
     """Rows grouped by shard, its own points before queries -> edges (a, b) that connect all that is linked there."""
 
     def link(own: np.ndarray, others: np.ndarray, same: bool):
-        """Star edges of the components of own and others, a tile at a time."""
-        left, right = [], []
+        """Star edges of the components of own and others; pairs are folded a tile at a time."""
+        nodes = own if same else np.concatenate([own, others])
+        root = np.arange(len(nodes))
         for i in range(0, len(own), TILE):
             for j in range(i if same else 0, len(others), TILE):
                 a, b = np.nonzero(np.bitwise_count(own[i : i + TILE, None] ^ others[None, j : j + TILE]) <= radius)
-                left.append(a + i)
-                right.append(b + j)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        if not same:
-            b = b + len(own)
-        keep = a != b
-        a, b = a[keep], b[keep]
-        nodes = own if same else np.concatenate([own, others])
-        root = local_roots(len(nodes), a, b)
+                ends = np.stack([root[a + i], root[b + j + (0 if same else len(own))]])
+                ends = np.unique(ends[:, ends[0] != ends[1]], axis=1)
+                if ends.shape[1]:
+                    heads, at = np.unique(ends, return_inverse=True)
+                    at = at.reshape(2, -1)
+                    up = np.arange(len(nodes))
+                    up[heads] = heads[local_roots(len(heads), at[0], at[1])]
+                    root = up[root]
         moved = np.nonzero(root != np.arange(len(nodes)))[0]
         return nodes[moved].view(np.int64), nodes[root[moved]].view(np.int64)
 
@@ -166,15 +182,16 @@ def shard_links(rows: DataFrame, radius: int) -> DataFrame:
 
 def depth(n: int) -> int:
     """Levels for n points: deeper trees make smaller shards and more queries. The links found are the same."""
-    return 4 if n <= 1 << 20 else 6 if n <= 1 << 25 else 8
+    return min(DEEPEST, max(0, -(-n // SHARD) - 1).bit_length())
 
 
 def linked_points(points: DataFrame, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
     """Distinct (fp long) -> (node, root) for those linked to another."""
-    levels = levels or depth(points.count())
-    sample = points.orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    edges = shard_links(shard_rows(points, vantage(sample, levels), levels, radius), radius)
-    return components(edges)
+    levels = depth(points.count()) if levels is None else levels
+    sample = np.zeros(0, np.uint64)
+    if levels:
+        sample = points.orderBy(F.xxhash64("fp")).limit(max(1024, SAMPLE << levels)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    return components(shard_links(shard_rows(points, grown(sample, levels), radius), radius))
 
 
 def groups(prints: DataFrame, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
@@ -240,4 +257,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component, at three words and two bits. Null, empty and blank texts have fingerprint zero and are
+    linked like any other; repeated rows give repeated rows; an empty table gives none."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -27,6 +27,28 @@ def test_fingerprint(spark):
     assert simhash.fingerprint(None) == simhash.fingerprint(" ") == 0
 
 
+def test_fingerprint_of_many_words():
+    """The vote of all shingles, bit by bit."""
+    import xxhash
+
+    rng = np.random.default_rng(6)
+    for n, width in ((4, 3), (57, 3), (200, 5), (40_000, 3)):
+        words = [str(w) for w in rng.choice(["Tick", "tock", "é", "x", "clock", "TICK"], n)]
+        text = "  ".join(words) + "\n"
+        low = [w.translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})) for w in words]
+        shingles = [xxhash.xxh64_intdigest(" ".join(low[i : i + width]).encode(), 42) for i in range(n - width + 1)]
+        want = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in shingles) > len(shingles))
+        assert simhash.fingerprint(text, width) == want
+
+
+def test_tree_parts_evenly():
+    rng = np.random.default_rng(7)
+    points = rng.integers(0, 1 << 63, 20_000, dtype=np.int64).view(np.uint64) << np.uint64(1)
+    row, leaf, home = simhash.leaves(points, simhash.grown(points[:1024], 5), 2)
+    sizes = np.bincount(leaf[home], minlength=32)
+    assert len(row[home]) == 20_000 and sizes.max() < 4 * sizes.mean() and len(np.unique(simhash.grown(points[:1024], 5)[0])) > 5
+
+
 def test_points(spark):
     rng = np.random.default_rng(1)
     points = [int(x) for x in rng.integers(0, 1 << 63, 300, dtype=np.int64)]
@@ -40,7 +62,7 @@ def test_points(spark):
     near = np.bitwise_count(points.view(np.uint64)[:, None] ^ points.view(np.uint64)[None]) <= 2
     root = local_roots(len(points), *np.nonzero(near))
     want = {int(p): int(points[r]) for p, r in zip(points, root, strict=True) if p != points[r]}
-    for levels in (4, 6):
+    for levels in (0, 4, 8, 16):
         found = simhash.linked_points(spark.createDataFrame([(int(p),) for p in points], "fp long"), 2, levels)
         assert {r.node: r.root for r in found.collect()} == want
 
