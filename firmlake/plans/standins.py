@@ -11,8 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions: non-blank lines of English documents, the digest of the lower-cased line."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """Functions: non-blank lines of all documents, the digest of the lower-cased line."""
+    docs = table(spark, sf_dir, "documents")
     df = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) <> ''")
     text = F.lower(F.trim("line"))
     return df.select(
@@ -67,6 +67,24 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") % 2500).alias("dst"))
 
 
+def flow(calls: DataFrame, entries: DataFrame, hangs: DataFrame, shortcut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of functions that make their calls one after the other, in the order of the callees: (blocks, edges) as ``graph.noreturn`` takes them.
+
+    After the last call, or at once without any, comes a return, but in functions that hang; in those with a shortcut another return is reached from the start.
+    """
+    from pyspark.sql import Window
+
+    ordered = calls.withColumn("block", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).select(F.col("src").alias("fn"), "block", F.col("dst").alias("callee"))
+    count = entries.select(F.col("entry").alias("fn")).join(ordered.groupBy("fn").agg(F.max("block").alias("n")), "fn", "left").select("fn", F.coalesce("n", F.lit(0)).alias("n"))
+    nothing = F.lit(None).cast("long")
+    first = count.select("fn", F.lit(0).alias("block"), nothing.alias("callee"), F.lit(False).alias("returns"))
+    last = count.join(hangs.withColumn("hangs", F.lit(True)), F.col("fn") == F.col("entry"), "left").select("fn", (F.col("n") + 1).alias("block"), nothing.alias("callee"), F.col("hangs").isNull().alias("returns"))
+    aside = shortcut.select(F.col("entry").alias("fn"), F.lit(-1).alias("block"), nothing.alias("callee"), F.lit(True).alias("returns"))
+    blocks = first.union(ordered.withColumn("returns", F.lit(False))).union(last).union(aside)
+    on = count.select("fn", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("src")).select("fn", "src", (F.col("src") + 1).alias("dst"))
+    return blocks, on.union(shortcut.select(F.col("entry").alias("fn"), F.lit(0), F.lit(-1)))
+
+
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instructions a user: events in order, their class from the type."""
     e, kind = table(spark, sf_dir, "events"), F.col("event_type")
@@ -92,7 +110,7 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def builds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Builds: one a (source, lang), the first lines of its first document as configuration."""
+    """Builds: one a (source, lang), its first document as configuration."""
     from pyspark.sql import Window
 
     docs = table(spark, sf_dir, "documents").where("source IS NOT NULL AND lang IS NOT NULL")
@@ -100,12 +118,11 @@ def builds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordinal = F.row_number().over(Window.orderBy("source", "lang"))
     from firmlake.functions.scalar import config_hash
 
-    config = F.array_join(F.slice(F.split("text", "\n"), 1, 3), "\n")
     return first.select(
         ordinal.cast("long").alias("build_id"),
         F.col("source").alias("idf_version"),
         F.col("lang").alias("config_name"),
-        config_hash(config).alias("config_hash"),
+        config_hash(F.col("text")).alias("config_hash"),
         F.when(F.col("doc_id") % 2 == 0, "c0").otherwise("c1").alias("chip"),
         F.lit("t").alias("toolchain"),
         (3 - ordinal % 2).alias("canon_version"),

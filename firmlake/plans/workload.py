@@ -30,7 +30,7 @@ def text(column: str):
 
 
 FN = r"""
-ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE lang = 'en'),
+ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 fn AS (SELECT doc_id, pos::INT AS pos, sha256('v3' || chr(10) || lower(trim(line))) AS digest, doc_id % 3 AS build_id, 'f' || (doc_id % 5) AS name,
   source AS component, CASE WHEN doc_id % 2 = 0 THEN 'linked' ELSE 'archive' END AS origin, doc_id % 4 = 0 AS target FROM ln WHERE trim(line) <> ''),
 tg AS (SELECT doc_id, pos, digest FROM fn WHERE target),
@@ -175,23 +175,27 @@ def q_known_callees(spark, d):
     return graph.known_callees(graph.known_edges(S.edges(spark, d), S.entries(spark, d)), names).select("src", text("callees"))
 
 
-@query("WITH " + CG + """, de AS (SELECT DISTINCT * FROM ke), l0 AS (SELECT entry AS node, 0 AS level FROM en WHERE entry % 500 = 0),
-l1 AS (SELECT DISTINCT dst AS node, 1 AS level FROM l0 JOIN de ON node = src WHERE dst NOT IN (SELECT node FROM l0)),
-l2 AS (SELECT DISTINCT dst AS node, 2 AS level FROM l1 JOIN de ON node = src WHERE dst NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1)),
-l3 AS (SELECT DISTINCT dst AS node, 3 AS level FROM l2 JOIN de ON node = src WHERE dst NOT IN (SELECT node FROM l0 UNION ALL SELECT node FROM l1 UNION ALL SELECT node FROM l2))
-SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3""")
+@query("WITH RECURSIVE " + CG + """, de AS (SELECT DISTINCT * FROM ke), r(node, level) USING KEY (node) AS (SELECT entry, 0 FROM en WHERE entry % 500 = 0
+UNION SELECT de.dst, min(r.level) + 1 FROM r JOIN de ON r.node = de.src LEFT JOIN recurring.r AS k ON k.node = de.dst WHERE k.node IS NULL GROUP BY de.dst) SELECT node, level FROM r""")
 def q_reachable(spark, d):
     entries = S.entries(spark, d)
-    return graph.reachable(graph.known_edges(S.edges(spark, d), entries), entries.where("entry % 500 = 0"), 3)
+    return graph.reachable(graph.known_edges(S.edges(spark, d), entries), entries.where("entry % 500 = 0"))
 
 
-@query("WITH " + CG + """, de AS (SELECT DISTINCT * FROM ke WHERE src % 40 = dst % 40), s0 AS (SELECT entry, p_size % 7 = 0 AS nr FROM en),
-s1 AS (SELECT s.entry, s.nr OR coalesce(e, false) AS nr FROM s0 s LEFT JOIN (SELECT src, bool_and(nr) AS e FROM de JOIN s0 ON dst = entry GROUP BY src) ON s.entry = src),
-s2 AS (SELECT s.entry, s.nr OR coalesce(e, false) AS nr FROM s1 s LEFT JOIN (SELECT src, bool_and(nr) AS e FROM de JOIN s1 ON dst = entry GROUP BY src) ON s.entry = src)
-SELECT entry, nr AS noreturn FROM s2""")
+#: Control flow of a function: one block a callee, in order, each ending in the call; what follows the call is reached unless the callee
+#: never returns. A function whose size leaves no remainder by 7 hangs at its end; where it leaves 1, a branch jumps from the start to a return.
+@query("WITH RECURSIVE " + CG + """, c AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM (SELECT DISTINCT src, dst FROM ke)),
+f AS (SELECT entry, p_size % 7 = 0 AS hangs, p_size % 7 = 1 AS shortcut FROM en),
+s(pass, entry, nr) AS (SELECT 0, entry, false FROM f UNION ALL
+  SELECT n.pass, n.entry, n.nr FROM (SELECT s.pass + 1 AS pass, f.entry, NOT f.shortcut AND (f.hangs OR bool_or(coalesce(t.nr, false))) AS nr, bool_or(s.nr) AS was
+    FROM s JOIN f ON f.entry = s.entry LEFT JOIN c ON c.src = f.entry LEFT JOIN s t ON t.entry = c.dst GROUP BY s.pass, f.entry, f.hangs, f.shortcut) n WHERE n.pass <= 6)
+SELECT entry, nr AS noreturn FROM s WHERE pass = 6""")
 def q_noreturn_fixpoint(spark, d):
-    returns = S.entries(spark, d).select("entry", (F.col("p_size") % 7 != 0).alias("returns"))
-    return graph.noreturn(S.edges(spark, d).where("src % 40 = dst % 40"), returns, 2)
+    entries = S.entries(spark, d)
+    calls = graph.known_edges(S.edges(spark, d), entries).distinct()
+    kind = F.col("p_size") % 7
+    hangs, shortcut = entries.where(kind == 0).select("entry"), entries.where(kind == 1).select("entry")
+    return graph.noreturn(*S.flow(calls, entries.select("entry"), hangs, shortcut), 6)
 
 
 IN = """
@@ -265,11 +269,11 @@ def q_assign_to_function(spark, d):
 RG = "rg AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {k}, '{name}', {low}, {high})" for m, rows in S.BANDS.items() for k, (name, low, high) in enumerate(rows)) + ") AS t(map, ord, name, low, high))"
 
 
-@query("WITH " + RG + """, o AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS addr FROM orders), j AS (SELECT o.*, name, row_number() OVER (PARTITION BY o_orderkey ORDER BY high - low, ord) AS r
-FROM o LEFT JOIN rg ON map = 'm0' AND low <= addr AND addr < high) SELECT o_orderkey, addr, name AS region FROM j WHERE r = 1""")
+@query("WITH " + RG + """, o AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS addr, unnest(['m0', 'm1', 'm2']) AS map FROM orders), j AS (SELECT o.*, name, row_number() OVER (PARTITION BY o_orderkey, o.map ORDER BY high - low, ord) AS r
+FROM o LEFT JOIN rg ON rg.map = o.map AND low <= addr AND addr < high) SELECT o_orderkey, addr, map, name AS region FROM j WHERE r = 1""")
 def q_region_of_address(spark, d):
-    addr = F.floor("o_totalprice")
-    return S.table(spark, d, "orders").select("o_orderkey", addr.alias("addr")).withColumn("region", spans.smallest_region(F.col("addr"), S.BANDS["m0"]))
+    orders = S.table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").alias("addr"))
+    return orders.select("o_orderkey", "addr", F.inline(F.array(*[F.struct(F.lit(m).alias("map"), spans.smallest_region(F.col("addr"), rows).alias("region")) for m, rows in S.BANDS.items()])))
 
 
 @query("WITH " + RG + """, o AS (SELECT o_custkey AS key, o_orderkey, floor(o_totalprice)::BIGINT AS addr FROM orders), n AS (SELECT key, count(*) AS seen FROM o WHERE addr <> 0 GROUP BY key),
@@ -297,7 +301,7 @@ def q_config_hash(spark, d):
 
 BD = """
 f AS (SELECT source, lang, arg_min(text, doc_id) AS text, min(doc_id) AS doc_id FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang),
-l AS (SELECT *, list_sort(list_filter(list_transform(string_split(text, chr(10))[1:3], lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '' AND NOT starts_with(x, '#'))) AS cl, row_number() OVER (ORDER BY source, lang) AS k FROM f),
+l AS (SELECT *, list_sort(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '' AND NOT starts_with(x, '#'))) AS cl, row_number() OVER (ORDER BY source, lang) AS k FROM f),
 bd AS (SELECT k AS build_id, source AS idf_version, lang AS config_name, sha256(array_to_string(cl, chr(10)) || chr(10)) AS config_hash, CASE WHEN doc_id % 2 = 0 THEN 'c0' ELSE 'c1' END AS chip, 't' AS toolchain,
   (3 - k % 2)::INT AS canon_version, doc_id::VARCHAR AS created_at FROM l)
 """
@@ -351,13 +355,13 @@ def q_distinct_fingerprints(spark, d):
     return S.table(spark, d, "documents").groupBy("source").agg(n.alias("fingerprints"), (n == 1).alias("identical"))
 
 
-@query("""WITH w AS (SELECT unnest(string_split(text, ' ')) AS m FROM documents WHERE lang = 'en'), k AS (SELECT m, lower(m) AS l, count(*)::BIGINT AS n FROM w WHERE m <> '' GROUP BY m)
+@query("""WITH w AS (SELECT unnest(string_split(text, ' ')) AS m FROM documents), k AS (SELECT m, lower(m) AS l, count(*)::BIGINT AS n FROM w WHERE m <> '' GROUP BY m)
 SELECT m AS mnemonic, n, CASE WHEN starts_with(l, '.') THEN 'data' WHEN l IN ('call0', 'call4', 'call8', 'call12') THEN 'call' WHEN l IN ('callx0', 'callx4', 'callx8', 'callx12') THEN 'call_indirect'
 WHEN l IN ('ret', 'ret.n', 'retw', 'retw.n', 'rfe', 'rfi', 'rfwo', 'rfwu', 'rfde') THEN 'return' WHEN l IN ('j', 'j.l') THEN 'jump' WHEN l = 'jx' THEN 'jump_indirect' WHEN l IN ('loop', 'loopnez', 'loopgtz') THEN 'loop'
 WHEN l = 'entry' THEN 'entry' WHEN l = 'l32r' THEN 'literal_load' WHEN starts_with(l, 'b') AND l NOT IN ('break', 'break.n') THEN 'branch' ELSE 'normal' END AS cls,
 CASE WHEN l IN ('add.n', 'addi.n', 'beqz.n', 'bnez.n', 'break.n', 'l32i.n', 'mov.n', 'movi.n', 'nop.n', 'ret.n', 'retw.n', 's32i.n') THEN replace(l, '.n', '') ELSE m END AS folded FROM k""")
 def q_classify_mnemonic(spark, d):
-    words = S.table(spark, d, "documents").where("lang = 'en'").select(F.explode(F.split("text", " ")).alias("mnemonic")).where("mnemonic <> ''")
+    words = S.table(spark, d, "documents").select(F.explode(F.split("text", " ")).alias("mnemonic")).where("mnemonic <> ''")
     counts = words.groupBy("mnemonic").agg(F.count("*").alias("n"))
     return counts.select("mnemonic", "n", mnemonic_class(F.col("mnemonic")).alias("cls"), fold_mnemonic(F.col("mnemonic")).alias("folded"))
 
@@ -379,13 +383,13 @@ def q_score_recall_precision(spark, d):
 
 
 @query("""WITH h AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark), b AS (SELECT item_id, ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT AS v FROM h, LATERAL (SELECT unnest(range(0, len(h) // 2)) AS i))
-SELECT item_id, xor(bit_xor(v), 239) AS checksum FROM b GROUP BY item_id""")
+SELECT item_id, xor(coalesce(bit_xor(v), 0), 239) AS checksum FROM h LEFT JOIN b USING (item_id) GROUP BY item_id""")
 def q_xor_checksum(spark, d):
     h = F.hex(F.encode("text", "utf-8"))
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(h) - 1, F.lit(1)), F.lit(2)), lambda i: i < F.length(h))
     byte = lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).cast("int")
     checksum = F.aggregate(places, F.lit(0xEF), lambda x, i: x.bitwiseXOR(byte(i)))
-    return S.table(spark, d, "benchmark").where("text <> ''").select("item_id", checksum.alias("checksum"))
+    return S.table(spark, d, "benchmark").select("item_id", F.coalesce(checksum, F.lit(0xEF)).alias("checksum"))
 
 
 def _images(spark, d):
