@@ -83,10 +83,12 @@ def component_of(path: Column) -> Column:
 
 
 def toolchain_id(banner: Column) -> Column:
-    """``package version`` from the first line of a tool's version banner; null if it has none."""
+    """``build/binutils-version`` from the first line of a tool's version banner, the build as in its brackets without the name of the
+    kit that made it; a banner without such brackets is its own id, trimmed."""
+    first = F.btrim(F.regexp_extract(banner, r"^([^\n]*)", 1), F.lit(" \t\r"))
     pattern = r"\(([^)]*)\)\s*([0-9][\w.]*)"
-    found = F.concat_ws(" ", F.regexp_extract(banner, pattern, 1), F.regexp_extract(banner, pattern, 2))
-    return F.when(banner.rlike(pattern), found)
+    build = F.regexp_replace(F.regexp_extract(first, pattern, 1), r"^crosstool-NG\s+", "")
+    return F.when(first.rlike(pattern), F.concat(build, F.lit("/binutils-"), F.regexp_extract(first, pattern, 2))).otherwise(first)
 
 
 def bundled_version(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.functions.scalar import describe_build
+
 
 def current_signatures(functions: DataFrame, builds: DataFrame, chip: str, canon_version: int, digests: DataFrame | None = None) -> DataFrame:
     """(digest, name, component, origin, build_id) of the chip's builds under the current rules.
@@ -58,14 +60,45 @@ def identify(targets: DataFrame, hits: DataFrame) -> DataFrame:
     return targets.join(hits.withColumn("identified", F.lit(True)), "digest", "left").withColumn("identified", F.coalesce("identified", F.lit(False)))
 
 
+def signature_lists(signatures: DataFrame) -> DataFrame:
+    """(digest, signatures): every distinct signature of a digest, by name, linked first, then build; of one build the first component."""
+    rows = signatures.groupBy("digest", "name", "origin", "build_id").agg(F.min("component").alias("component"))
+    item = F.struct("name", (F.col("origin") != "linked").alias("o"), F.coalesce("build_id", F.lit(-1)).alias("build_id"), "origin", "component")
+    return rows.groupBy("digest").agg(F.array_sort(F.collect_list(item)).alias("signatures")).withColumn("signatures", F.transform("signatures", lambda s: s.dropFields("o")))
+
+
+def with_builds(lists: DataFrame, builds: DataFrame) -> DataFrame:
+    """The signatures of lists with version, configuration and a label of their build; those of unknown builds are left out."""
+    about = builds.select("build_id", "idf_version", "config_name", describe_build(F.col("idf_version"), F.col("config_name"), F.col("config_hash")).alias("label"))
+    rows = lists.select("digest", F.posexplode("signatures").alias("at", "s")).select("digest", "at", "s.*").join(about, "build_id")
+    item = F.struct("at", "name", "origin", "build_id", "component", "idf_version", "config_name", "label")
+    return rows.groupBy("digest").agg(F.array_sort(F.collect_list(item)).alias("signatures")).withColumn("signatures", F.transform("signatures", lambda s: s.dropFields("at")))
+
+
+def first_and_more(rows: DataFrame, k: int, order: list) -> DataFrame:
+    """The first k rows in an order, ranked, each with the number of rows beyond them. Only k rows are ever ranked in one place."""
+    from pyspark.sql import Window
+
+    top = rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return top.select("rank", *rows.columns, F.greatest(rows.agg(F.count("*")).scalar() - k, F.lit(0)).alias("more"))
+
+
 def top_with_other(counts: DataFrame, label: str, k: int, unit: str) -> DataFrame:
-    """(label, n): the k largest, ties by label, and the rest as one row that says how many it holds."""
+    """(rank, label, n, share): the k largest, ties by label, the rest as one row that says how many it holds, and each one's share of all.
+
+    The k are taken first, so no task sees more than these; the rest is the difference of sums. Labels must be distinct.
+    """
     from pyspark.sql import Window
 
-    ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), label)))
-    folded = ranked.groupBy(F.when(F.col("rank") <= k, F.col(label)).alias(label), F.least("rank", F.lit(k + 1)).alias("rank")).agg(F.sum("n").alias("n"), F.count("*").alias("held"))
-    other = F.concat(F.lit("other ("), F.col("held").cast("string"), F.lit(f" {unit}(s))"))
-    return folded.select("rank", F.when(F.col("rank") > k, other).otherwise(F.col(label)).alias(label), "n")
+    order = [F.desc("n"), F.asc(label)]
+    top = counts.select(label, "n").orderBy(*order).limit(k)
+    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("labels"))
+    total = whole.select("n").scalar()
+    ranked = top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), label, "n")
+    held, rest = F.coalesce(top.agg(F.sum("n")).scalar(), F.lit(0)), F.col("labels") - k
+    other = F.concat(F.lit("other ("), rest.cast("string"), F.lit(f" {unit}(s))")).alias(label)
+    beyond = whole.where(rest > 0).select(F.lit(k + 1).alias("rank"), other, (F.col("n") - held).alias("n"))
+    return ranked.unionByName(beyond).withColumn("share", F.col("n") / total)
 
 
 def duplicate_digests(functions: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def q_hits_by_version_and_build(spark, d):
 
 
 @query("WITH " + FN + """, c AS (SELECT component, count(*) AS n FROM tg JOIN hit USING (digest) GROUP BY component), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, component) AS k FROM c)
-SELECT least(k, 6)::INT AS rank, CASE WHEN min(k) <= 5 THEN min(component) ELSE 'other (' || count(*) || ' component(s))' END AS component, sum(n)::BIGINT AS n FROM r GROUP BY least(k, 6)""")
+SELECT least(k, 6)::INT AS rank, CASE WHEN min(k) <= 5 THEN min(component) ELSE 'other (' || count(*) || ' component(s))' END AS component, sum(n)::BIGINT AS n, sum(n)::DOUBLE / (SELECT sum(n) FROM c)::DOUBLE AS share FROM r GROUP BY least(k, 6)""")
 def q_top_components_with_other(spark, d):
     counts = match.identify(S.targets(spark, d), hits(spark, d)).where("identified").groupBy("component").agg(F.count("*").alias("n"))
     return match.top_with_other(counts, "component", 5, "component")
@@ -392,19 +392,37 @@ def q_xor_checksum(spark, d):
     return S.table(spark, d, "benchmark").select("item_id", F.coalesce(checksum, F.lit(0xEF)).alias("checksum"))
 
 
-def _images(spark, d):
-    """Pages as images: the HTML as data, as many functions as the page's id leaves modulo 5, and one."""
+def _made(rows: DataFrame, make) -> DataFrame:
+    """Rows (key, payload) -> (path, content) of the files that ``make`` gives for each."""
 
-    def make(batches):
+    def run(batches):
         import pyarrow as pa
 
-        from firmlake.sources.synthetic import image
-
         for batch in batches:
-            ids, pages = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([pa.array([f"page-{k}" for k in ids]), pa.array([image((t or "").encode(), k % 5 + 1) for k, t in zip(ids, pages, strict=True)], pa.binary())], ["path", "content"])
+            for key, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                paths, contents = zip(*make(key, payload), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def _images(spark, d):
+    """Pages as images: the HTML as data, as many functions as the page's id leaves modulo 6, and one."""
+    from firmlake.sources import synthetic
+
+    return _made(S.table(spark, d, "pages").select("page_id", "html"), lambda key, text: [(f"page-{key}", synthetic.image((text or "").encode(), key % 6 + 1))])
+
 
-    return S.table(spark, d, "pages").select("page_id", "html").mapInArrow(make, "path string, content binary")
+def _dumps(spark, d):
+    from firmlake.sources import synthetic
+
+    return _made(S.table(spark, d, "pages").select("page_id", "html"), lambda key, text: [(f"dump-{key}", synthetic.dump(key, (text or "").encode()))])
+
+
+def _builds(spark, d):
+    from firmlake.sources import synthetic
+
+    return _made(S.table(spark, d, "supplier").select("s_suppkey", "s_name"), lambda key, _: synthetic.build(key))
 
 
 @query("""SELECT 'page-' || page_id AS path, 'app_partition' AS input_kind, 'esp32' AS chip, 2::BIGINT AS segments, true AS checksum_valid, true AS sha256_valid, (strlen(html) + 3) // 4 * 4 AS data_bytes FROM pages""")
@@ -415,18 +433,67 @@ def q_parse_images(spark, d):
     return flash.parse(_images(spark, d)).select("path", "input_kind", "chip", F.size(i["segments"]).cast("long").alias("segments"), i["checksum_valid"].alias("checksum_valid"), i["sha256_valid"].alias("sha256_valid"), i["segments"][0]["length"].alias("data_bytes"))
 
 
-@query("""SELECT 'page-' || page_id AS path, (1074593824 + 8 * f)::BIGINT AS entry, 5::BIGINT AS size, 'high' AS confidence, 'entry a1 32' || chr(10) || 'retw' AS canonical_text
-FROM (SELECT page_id, unnest(range(0, page_id % 5 + 1)) AS f FROM pages)""")
-def q_recover_functions(spark, d):
+#: What is to be found in each slot of code, by its shape.
+SH = r"""
+sh(f, off, size, blocks, edges, indirect, callees, reached, grade, why, txt) AS (VALUES
+  (0, 0, 5, 1, 0, 0, 0, 5, 'high', 'windowed prologue', 'entry a1 32|retw'),
+  (1, 0, 10, 3, 2, 0, 0, 10, 'high', 'windowed prologue', 'entry a1 32|beqz a2 +5|movi a2 1|retw'),
+  (2, 0, 10, 3, 2, 0, 0, 10, 'high', 'windowed prologue', 'entry a1 32|loop a3 +5|addi a2 a2 1|retw'),
+  (3, 4, 11, 1, 0, 1, 0, 11, 'high', 'windowed prologue', 'entry a1 32|call8 CALL|retw'),
+  (4, 0, 10, 1, 0, 1, 0, 6, 'high', 'windowed prologue', 'entry a1 32|jx a4|movi a2 1|retw'),
+  (5, 0, 8, 1, 0, 0, 1, 8, 'high', 'windowed prologue', 'entry a1 32|call0 CALL|retw'),
+  (5, 16, 4, 1, 0, 0, 0, 4, 'medium', 'no prologue: begins with add.n', 'add a2 a2 a3|ret')),
+pf AS (SELECT 'page-' || page_id AS path, page_id % 6 + 1 AS slots, (strlen(html) + 3) // 4 * 4 AS data_bytes, 1074593824 + 32 * f + off AS entry, sh.*,
+  CASE WHEN f = 0 THEN 'image_entry,' || CASE WHEN page_id % 6 >= 3 THEN 'pointer,' ELSE '' END || 'prologue_scan' WHEN off = 16 THEN 'direct_call' ELSE 'prologue_scan' END AS origins,
+  CASE WHEN f = 0 THEN 'entry point of the image' WHEN off = 16 THEN 'target of a direct call' ELSE 'prologue found by scanning' END || ';' || why AS reasons
+  FROM pages JOIN sh ON f <= page_id % 6)
+"""
+
+
+def _analysed(spark, d):
     from firmlake.plans.symbols import analysed
 
-    out = analysed(_images(spark, d))
+    return analysed(_images(spark, d))
+
+
+@query("WITH " + SH + """SELECT path, entry::BIGINT AS entry, size::BIGINT AS size, grade AS confidence, reasons, origins, blocks::INT AS basic_blocks, edges::INT AS edges, indirect::INT AS indirect_calls, callees::INT AS callees,
+reached::BIGINT AS reached, size::BIGINT AS reached_stretched, 'irom' AS region, (24 + 8 + data_bytes + 8 + 32 * f + off)::BIGINT AS file_offset, false AS never_returns, replace(txt, '|', chr(10)) AS canonical_text FROM pf""")
+def q_recover_functions(spark, d):
+    out = _analysed(spark, d)
     fn = F.concat_ws(":", "image_id", F.col("entry").cast("string"))
     df = out["boundaries"].withColumn("fn", fn).join(out["forms"].select("fn", "canonical_text"), "fn").join(out["parsed"].select("image_id", "path"), "image_id")
-    return df.select("path", "entry", "size", "confidence", "canonical_text")
+    return df.select("path", "entry", "size", "confidence", F.array_join("confidence_reasons", ";").alias("reasons"), text("origins"), "basic_blocks", "edges", "indirect_calls", F.size("callees").alias("callees"), "reached", "reached_stretched", "region", "file_offset", "never_returns", "canonical_text")
+
+
+@query("WITH " + SH + """SELECT path, count(*)::BIGINT AS total, (count(*) FILTER (grade = 'high'))::BIGINT AS high_confidence, (count(*) FILTER (grade = 'medium'))::BIGINT AS medium_confidence, 0::BIGINT AS low_confidence, 0::BIGINT AS thunks, sum(size)::BIGINT AS bytes_in_functions,
+sum(size)::BIGINT AS bytes_reached, sum(reached)::BIGINT AS bytes_by_flow, (count(*) FILTER (grade = 'high'))::BIGINT AS windowed_prologues, 0::BIGINT AS call0_prologues, (32 * min(slots))::BIGINT AS bytes_executable,
+CASE WHEN sum(size) < 0.7 * 32 * min(slots) THEN 'less than 70 % of the executable bytes are claimed; a low match rate may be due to that' ELSE '' END AS cautions FROM pf GROUP BY path""")
+def q_boundary_statistics(spark, d):
+    from firmlake.sources import recover
+
+    out = _analysed(spark, d)
+    df = recover.statistics(out["boundaries"], out["segments"]).join(recover.cautions(out["boundaries"], out["segments"]), "image_id")
+    return df.join(out["parsed"].select("image_id", "path"), "image_id").withColumn("cautions", F.array_join("cautions", ";")).drop("image_id")
+
 
+@query("""WITH p AS (SELECT 'page-' || page_id AS path, page_id % 6 + 1 AS n FROM pages) SELECT path, 'image_entry' AS origin, 1::BIGINT AS n FROM p UNION ALL SELECT path, 'prologue_scan', n FROM p
+UNION ALL SELECT path, 'pointer', 1 FROM p WHERE n > 3 UNION ALL SELECT path, 'direct_call', 1 FROM p WHERE n > 5""")
+def q_seeds_by_origin(spark, d):
+    from firmlake.sources import flash, recover
 
-@query("SELECT 'page-' || page_id AS path, 2::BIGINT AS sections, 1074593824::BIGINT AS entry, 8 * (page_id % 5 + 1) AS code_bytes FROM pages")
+    files = _images(spark, d)
+    parsed = flash.parse(files)
+    images = recover.recovered(flash.segment_bytes(parsed, files))
+    return recover.seeds_by_origin(images).join(parsed.select("image_id", "path"), "image_id").select("path", "origin", "n")
+
+
+@query("""SELECT 'page-' || page_id AS path, (1074593824 + 32 * 3 + 7)::BIGINT AS addr, 'l32r' AS mnemonic, (1074593824 + 32 * 3)::BIGINT AS target, 1074593824::BIGINT AS literal_value FROM pages WHERE page_id % 6 >= 3""")
+def q_literal_words(spark, d):
+    out = _analysed(spark, d)
+    return out["instructions"].where("cls = 'literal_load'").join(out["parsed"].select("image_id", "path"), "image_id").select("path", "addr", "mnemonic", "target", "literal_value")
+
+
+@query("SELECT 'page-' || page_id AS path, 2::BIGINT AS sections, 1074593824::BIGINT AS entry, 32 * (page_id % 6 + 1) AS code_bytes FROM pages")
 def q_export_elf(spark, d):
     from firmlake.sources import export, flash
 
@@ -436,3 +503,162 @@ def q_export_elf(spark, d):
     again = flash.parse(made.select("path", F.col("elf").alias("content")))
     i = F.col("images")[0]
     return again.select("path", F.size(i["segments"]).cast("long").alias("sections"), i["header"]["entry_addr"].alias("entry"), F.element_at(i["segments"], -1)["length"].alias("code_bytes"))
+
+
+DU = """
+im AS (SELECT page_id AS k, 'dump-' || page_id AS path, ((72 + (256 + strlen(html) + 3) // 4 * 4 + 32 * (page_id % 3 + 1 - 1)) // 16 * 16 + 48 + 8191) // 8192 * 8192 AS one, ((72 + (256 + strlen(html) + 1 + 3) // 4 * 4) // 16 * 16 + 48 + 8191) // 8192 * 8192 AS other FROM pages),
+sl AS (SELECT *, CASE WHEN k % 4 = 0 THEN one ELSE other END AS two FROM im),
+pt AS (SELECT k, path, 0 AS ord, 'nvs' AS label, 'data' AS type_name, 'nvs' AS subtype_name, 40960 AS wh, 16384 AS size FROM sl UNION ALL SELECT k, path, 1, 'coredump', 'data', 'coredump', 57344, 8192 FROM sl
+  UNION ALL SELECT k, path, 2, CASE WHEN k % 2 = 1 THEN 'factory' ELSE 'ota_0' END, 'app', CASE WHEN k % 2 = 1 THEN 'factory' ELSE 'ota_0' END, 65536, one FROM sl
+  UNION ALL SELECT k, path, 3, 'ota_1', 'app', 'ota_1', 65536 + one, two FROM sl WHERE k % 2 = 0
+  UNION ALL SELECT k, path, CASE WHEN k % 2 = 0 THEN 4 ELSE 3 END, 'spare', 'app', 'test', 65536 + one + CASE WHEN k % 2 = 0 THEN two ELSE 0 END, 65536 FROM sl WHERE k % 5 = 0)
+"""
+
+
+@query("WITH " + DU + """SELECT path, ord::INT AS ord, label, type_name, subtype_name, wh::BIGINT AS "offset", size::BIGINT AS size, label <> 'spare' AS present_in_file FROM pt""")
+def q_flash_partitions(spark, d):
+    from firmlake.sources import flash
+
+    parsed = flash.parse(_dumps(spark, d))
+    return flash.partitions(parsed).join(parsed.select("image_id", "path"), "image_id").select("path", "ord", "label", "type_name", "subtype_name", "offset", "size", "present_in_file")
+
+
+@query("WITH " + DU + """SELECT path, 'flash_dump' AS input_kind, (CASE k % 3 WHEN 1 THEN 36864 WHEN 2 THEN 28672 ELSE 32768 END)::BIGINT AS partition_table_offset, CASE WHEN k % 3 = 2 THEN 4096::BIGINT END AS flash_base_offset,
+CASE WHEN k % 2 = 1 THEN 'factory' ELSE 'ota_0' END AS selected, CASE WHEN k % 2 = 0 THEN k % 4 = 0 END AS ota_slots_identical, (CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END)::INT AS images, 'v' || k AS version,
+((k % 3 <> 0)::INT + (k % 5 = 0)::INT + (k % 4 = 2)::INT)::INT AS warnings, (CASE WHEN k % 3 = 2 THEN 61440 ELSE 65536 END)::BIGINT AS file_offset FROM sl""")
+def q_flash_dumps(spark, d):
+    from firmlake.sources import flash
+
+    parsed = flash.parse(_dumps(spark, d))
+    chosen = flash.app_images(parsed).where("selected").select("image_id", F.col("partition_label").alias("selected"), F.col("app_desc.version").alias("version"), "file_offset")
+    rows = parsed.select("image_id", "path", "input_kind", "partition_table_offset", "flash_base_offset", "ota_slots_identical", F.size("images").alias("images"), F.size("warnings").alias("warnings"))
+    return rows.join(chosen, "image_id").drop("image_id")
+
+
+HV = """
+hv AS (SELECT s_suppkey AS k, 'b' || s_suppkey || '/archives/lib' || CASE WHEN s_suppkey % 2 = 1 THEN 'net' ELSE 'core' END || '.a' AS lib, CASE WHEN s_suppkey % 2 = 1 THEN 'net' ELSE 'core' END AS comp, 'open_' || (s_suppkey % 7) AS leaf, 'b' || s_suppkey || '/app/app.elf' AS app FROM supplier),
+la AS (SELECT leaf, arg_max(comp, lib) AS comp FROM hv GROUP BY leaf),
+hr AS (SELECT lib AS path, 'a.o' AS member, leaf AS name, comp AS component, 'archive' AS origin, 5 AS size, 'entry a1 32|retw' AS txt, '' AS edges FROM hv
+  UNION ALL SELECT lib, 'a_rather_long_name_' || k || '.o', 'step_' || k, comp, 'archive', 10, 'entry a1 32|loop a3 +5|addi a2 a2 1|retw', '' FROM hv
+  UNION ALL SELECT app, NULL, 'main', NULL, 'linked', 8, 'entry a1 32|call0 CALL|retw', leaf FROM hv
+  UNION ALL SELECT app, NULL, leaf, la.comp, 'linked', 5, 'entry a1 32|retw', '' FROM hv JOIN la USING (leaf))
+"""
+
+
+def _signatures(spark, d):
+    from firmlake.sources import harvest
+
+    files = _builds(spark, d)
+    return harvest.signatures(harvest.harvested(files), names=harvest.function_names(files))
+
+
+@query("WITH " + HV + "SELECT path, member, name, component, origin, size::BIGINT AS size, replace(txt, '|', chr(10)) AS canonical_text, edges, sha256('canonical-form-v3' || chr(10) || replace(txt, '|', chr(10))) AS digest, 'windowed' AS prologue FROM hr")
+def q_harvest(spark, d):
+    return _signatures(spark, d).select("path", F.col("object").alias("member"), "name", "component", "origin", "size", "canonical_text", F.array_join("call_edges", ",").alias("edges"), "digest", "prologue")
+
+
+@query("""SELECT 'b' || s_suppkey || '/app/app.elf' AS path, '' AS member, (1074266112 + v)::BIGINT AS value, CASE v WHEN 0 THEN 'main' ELSE 'open_' || (s_suppkey % 7) END AS name FROM supplier, (VALUES (0), (16)) AS t(v)
+UNION ALL SELECT 'b' || s_suppkey || '/archives/lib' || CASE WHEN s_suppkey % 2 = 1 THEN 'net' ELSE 'core' END || '.a', 'a.o', v, n FROM (SELECT s_suppkey, v, CASE v WHEN 8 THEN 'open_' || (s_suppkey % 7) ELSE 'beyond' END AS n FROM supplier, (VALUES (4), (8)) AS t(v))""")
+def q_function_symbols(spark, d):
+    from firmlake.sources import harvest
+
+    return harvest.function_names(_builds(spark, d))
+
+
+LS = r"""
+ls AS (SELECT event_id AS k, 1074266112 + 4 * event_id AS addr, event_type AS t, event_id % 16 AS a, event_id % 97 * 4 AS n FROM events)
+"""
+
+
+@query("WITH " + LS + r"""SELECT k, addr::BIGINT AS addr, (CASE WHEN t = 'signup' THEN 2 ELSE 3 END)::INT AS size, CASE t WHEN 'view' THEN 'l32r' WHEN 'click' THEN 'callx8' WHEN 'purchase' THEN 'call8' WHEN 'signup' THEN 'retw.n' ELSE 'beqz' END AS mnemonic,
+CASE t WHEN 'view' THEN 'a' || a || ',' || '0x' || printf('%x', addr - n) WHEN 'click' THEN 'a' || a WHEN 'purchase' THEN '0x' || printf('%x', addr + n) WHEN 'signup' THEN '' ELSE 'a' || a || ',' || '0x' || printf('%x', addr + n) END AS operands,
+CASE t WHEN 'view' THEN 'literal_load' WHEN 'click' THEN 'call_indirect' WHEN 'purchase' THEN 'call' WHEN 'signup' THEN 'return' ELSE 'branch' END AS cls, (CASE t WHEN 'view' THEN addr - n WHEN 'click' THEN NULL WHEN 'signup' THEN NULL ELSE addr + n END)::BIGINT AS target,
+CASE WHEN t = 'view' THEN k END AS literal_value, CASE WHEN t = 'purchase' THEN 'fn_' || a END AS target_symbol, CASE WHEN t = 'signup' THEN '1DF0' ELSE '365A01' END AS raw FROM ls""")
+def q_read_listing(spark, d):
+    from firmlake.sources.decode import read_listing
+
+    e, kind = S.table(spark, d, "events"), F.col("event_type")
+    addr, reg, n = F.lit(1074266112) + 4 * F.col("event_id"), (F.col("event_id") % 16).cast("string"), F.col("event_id") % 97 * 4
+    hexed = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+    rest = (
+        F.when(kind == "view", F.concat(F.lit("l32r\ta"), reg, F.lit(", "), hexed(addr - n), F.lit(" ("), hexed(F.col("event_id")), F.lit(")")))
+        .when(kind == "click", F.concat(F.lit("callx8\ta"), reg))
+        .when(kind == "purchase", F.concat(F.lit("call8\t"), hexed(addr + n), F.lit(" <fn_"), reg, F.lit(">")))
+        .when(kind == "signup", F.lit("retw.n"))
+        .otherwise(F.concat(F.lit("beqz\ta"), reg, F.lit(", "), hexed(addr + n)))
+    )
+    line = F.concat(F.lower(F.hex(addr)), F.lit(":\t"), F.when(kind == "signup", "f01d  ").otherwise("015a36"), F.lit("        \t"), rest)
+    noise = e.select("event_id", F.lit("Disassembly of section .text:").alias("value"))
+    rows = read_listing(e.select("event_id", line.alias("value")).union(noise))
+    return rows.select(F.col("event_id").alias("k"), "addr", "size", "mnemonic", text("operands"), "cls", "target", "literal_value", "target_symbol", F.hex("raw").alias("raw"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey AS k, p_partkey % 16 AS t, p_size % 16 AS s, p_partkey % 256 AS b, 4096 + 64 * p_partkey AS ad FROM part)
+SELECT k, ad::BIGINT AS addr, 'l32i' AS mnemonic, 'a' || t || ',a' || s || ',' || CASE WHEN b * 4 < 256 THEN (b * 4)::VARCHAR ELSE '0x' || printf('%x', b * 4) END AS operands, NULL::BIGINT AS target FROM p
+UNION ALL SELECT k, ad + 3, 'addi', 'a' || t || ',a' || s || ',' || CASE WHEN b >= 128 THEN b - 256 ELSE b END, NULL FROM p
+UNION ALL SELECT k, ad + 6, CASE WHEN t % 2 = 0 THEN 'beqi' ELSE 'bltui' END, 'a' || s || ',' || CASE WHEN c > 255 THEN '0x' || printf('%x', c) ELSE c::VARCHAR END || ',0x' || printf('%x', dst), dst
+  FROM (SELECT *, CASE WHEN t % 2 = 0 THEN [-1, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 32, 64, 128, 256][t + 1] ELSE [32768, 65536, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 32, 64, 128, 256][t + 1] END AS c, ad + 10 + CASE WHEN b >= 128 THEN b - 256 ELSE b END AS dst FROM p)
+UNION ALL SELECT k, ad + 9, 'extui', 'a' || t || ',a' || s || ',' || (b % 32) || ',' || (s + 1), NULL FROM p
+UNION ALL SELECT k, ad + 12, 'mov.n', 'a' || t || ',a' || s, NULL FROM p UNION ALL SELECT k, ad + 14, '.byte', '0xff', NULL FROM p""")
+def q_decode_ranges(spark, d):
+    from firmlake.sources.decode import decode_ranges
+
+    def encode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, places, blobs = [], [], []
+            for k, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t, s, b = k % 16, size % 16, k % 256
+                words = [2 | t << 4 | s << 8 | 2 << 12 | b << 16, 2 | t << 4 | s << 8 | 12 << 12 | b << 16, (0x26 if t % 2 == 0 else 0xB6) | s << 8 | t << 12 | b << 16, s << 4 | b % 16 << 8 | t << 12 | (4 | b >> 4 & 1) << 16 | s << 20]
+                keys.append(str(k))
+                places.append(4096 + 64 * k)
+                blobs.append(b"".join(w.to_bytes(3, "little") for w in words) + (13 | t << 4 | s << 8).to_bytes(2, "little") + b"\xff")
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(places, pa.int64()), pa.array(blobs, pa.binary())], ["key", "vaddr", "data"])
+
+    ranges = S.table(spark, d, "part").select(F.col("p_partkey").cast("long"), F.col("p_size").cast("long")).mapInArrow(encode, "key string, vaddr long, data binary")
+    return decode_ranges(ranges).select(F.col("key").cast("long").alias("k"), "addr", "mnemonic", text("operands"), "target")
+
+
+@query(r"""WITH c AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS seg, c_nationkey AS n FROM customer),
+o AS (SELECT *, CASE k % 7 WHEN 0 THEN '0x' || printf('%x', k) WHEN 1 THEN '-' || k WHEN 2 THEN '0' || k WHEN 3 THEN 'a' || (k % 16) WHEN 4 THEN '0b101' WHEN 5 THEN '+' || k ELSE '0o17' END AS op FROM c)
+SELECT k, (CASE k % 7 WHEN 0 THEN k WHEN 1 THEN -k WHEN 4 THEN 5 WHEN 5 THEN k WHEN 6 THEN 15 WHEN 2 THEN CASE WHEN k = 0 THEN 0 END END)::BIGINT AS number, 'esp-' || (k % 5) || '-' || n || '/binutils-2.' || (k % 9) AS toolchain,
+CASE WHEN k % 3 = 0 THEN NULL ELSE 'v' || (k % 4) || '.' || (k % 9) || '.' || n END AS bundled, CASE WHEN k % 2 = 0 THEN lower(seg) ELSE 'main' END AS component, printf('0x%08x', k) AS hexed, left(sha256(name || '|' || seg), 32) AS cache_key,
+seg || '/' || name || '/' || left(sha256(name), 12) AS described, CASE k % 4 WHEN 0 THEN 'medium' WHEN 1 THEN 'low' WHEN 2 THEN 'low' ELSE 'high' END AS grade, CASE n WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE '0x' || printf('%02x', n) END AS code_name FROM o""")
+def q_scalar_functions(spark, d):
+    from firmlake.functions import scalar as X
+
+    k, name, seg, n = (F.col(c) for c in ("c_custkey", "c_name", "c_mktsegment", "c_nationkey"))
+    digits = k.cast("string")
+    token = F.when(k % 7 == 0, F.concat(F.lit("0x"), F.lower(F.hex(k)))).when(k % 7 == 1, F.concat(F.lit("-"), digits)).when(k % 7 == 2, F.concat(F.lit("0"), digits)).when(k % 7 == 3, F.concat(F.lit("a"), (k % 16).cast("string"))).when(k % 7 == 4, F.lit("0b101")).when(k % 7 == 5, F.concat(F.lit("+"), digits)).otherwise(F.lit("0o17"))
+    banner = F.concat(F.lit("GNU objdump (crosstool-NG esp-"), (k % 5).cast("string"), F.lit("-"), n.cast("string"), F.lit(") 2."), (k % 9).cast("string"), F.lit("\nCopyright"))
+    lines = F.concat(F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("SDK_VERSION_MAJOR="), (k % 4).cast("string"), F.lit("\n"))), F.lit("SDK_VERSION_MINOR = "), (k % 9).cast("string"), F.lit("\nSDK_VERSION_PATCH="), n.cast("string"))
+    path = F.when(k % 2 == 0, F.concat(F.lit("x/lib"), F.lower(seg), F.lit(".a"))).otherwise("y.z/main.elf")
+    a, b = F.when(k % 4 == 1, "low").otherwise("high"), F.when(k % 4 == 2, "low").when(k % 4 == 3, "high").otherwise("medium")
+    return S.table(spark, d, "customer").select(
+        k.alias("k"), X.operand_number(token).alias("number"), X.toolchain_id(banner).alias("toolchain"), X.bundled_version(lines).alias("bundled"), X.component_of(path).alias("component"), X.hex_address(k).alias("hexed"),
+        X.cache_key(name, seg).alias("cache_key"), X.describe_build(seg, name, F.sha2(name, 256)).alias("described"), X.lower_grade(a, b).alias("grade"), X.named(n, {0: "zero", 1: "one"}).alias("code_name"),
+    )
+
+
+@query("WITH " + BD + "SELECT * FROM bd WHERE idf_version = (SELECT min(idf_version) FROM bd) AND chip = 'c0' AND toolchain = 't'")
+def q_builds_for(spark, d):
+    builds = S.builds(spark, d)
+    first = builds.agg(F.min("idf_version").alias("v"))
+    return corpus.builds_for(builds, first.first()["v"], "c0", "t")
+
+
+@query("WITH " + FN + """, t AS (SELECT doc_id, pos, digest FROM tg), h AS (SELECT t.doc_id, t.pos, s.digest, s.name, s.origin, s.build_id FROM t JOIN sg s USING (digest))
+SELECT doc_id, pos, string_agg(name || ':' || origin || ':' || build_id || ':v' || (build_id // 2), ',' ORDER BY name, origin <> 'linked', build_id) AS signatures FROM (SELECT DISTINCT * FROM h) GROUP BY doc_id, pos""")
+def q_hit_signatures(spark, d):
+    builds = spark.range(3).select(F.col("id").alias("build_id"), F.concat(F.lit("v"), F.floor(F.col("id") / 2).cast("string")).alias("idf_version"), F.lit("c").alias("config_name"), F.lit("h").alias("config_hash"))
+    held = match.with_builds(match.signature_lists(S.signatures(spark, d)), builds)
+    rows = S.targets(spark, d).join(held, "digest")
+    return rows.select("doc_id", "pos", F.array_join(F.transform("signatures", lambda s: F.concat_ws(":", s["name"], s["origin"], s["build_id"].cast("string"), s["idf_version"])), ",").alias("signatures"))
+
+
+@query("WITH " + FN + """, u AS (SELECT t.doc_id, t.pos, length(t.digest || '') AS x, row_number() OVER (ORDER BY t.doc_id DESC, t.pos) AS r, count(*) OVER () AS n FROM tg t WHERE digest NOT IN (SELECT digest FROM hit))
+SELECT r::INT AS rank, doc_id, pos, (n - least(n, 20))::BIGINT AS more FROM u WHERE r <= 20""")
+def q_unidentified_top(spark, d):
+    rows = match.identify(S.targets(spark, d), hits(spark, d)).where("NOT identified").select("doc_id", "pos")
+    return match.first_and_more(rows, 20, [F.desc("doc_id"), F.asc("pos")])

@@ -138,3 +138,26 @@ def program(parts: list[tuple[str, int, bytes, bool]], entry: int, machine: int
     SECTION.pack_into(out, headers_at + 40 * (len(parts) + 1), name_at, 3, 0, 0, strings_at, len(names), 0, 0, 1, 0)
     out[strings_at : strings_at + len(names)] = names
     return bytes(out)
+
+
+def sectioned(parts: list[tuple[str, int, bytes, bool]], symbols: list[tuple[str, int, int, int, str]] = (), entry: int = 0, machine: int = 94, relocatable: bool = False) -> bytes:
+    """A file of named sections (name, address, bytes, code) without load segments, for tools that go by sections, with
+    symbols (name, value, size, type, section) if given. In a relocatable file addresses are zero and values are offsets."""
+    index = {name: k + 1 for k, (name, *_) in enumerate(parts)}
+    heads = [(name, 1, 6 if code else 3, 0 if relocatable else addr, data, 0, 0) for name, addr, data, code in parts]
+    if symbols:
+        names, table = b"\0", bytes(SYMBOL.size)
+        for name, value, size, kind, owner in symbols:
+            table += SYMBOL.pack(len(names), value, size, 0x10 | kind, 0, index[owner])
+            names += name.encode() + b"\0"
+        heads += [(".symtab", 2, 0, 0, table, len(heads) + 2, SYMBOL.size), (".strtab", 3, 0, 0, names, 0, 0)]
+    strings = b"\0" + b"".join(h[0].encode() + b"\0" for h in heads) + b".shstrtab\0"
+    heads.append((".shstrtab", 3, 0, 0, strings, 0, 0))
+    body, rows, name_at = b"", bytes(SECTION.size), 1
+    for name, kind, flags, addr, data, link, step in heads:
+        body += bytes(-len(body) % 4)
+        rows += SECTION.pack(name_at, kind, flags, addr, 52 + len(body), len(data), link, 0, 4, step)
+        body += data
+        name_at += len(name.encode()) + 1
+    body += bytes(-len(body) % 4)
+    return struct.pack("<16sHHIIIIIHHHHHH", b"\x7fELF\x01\x01\x01", 1 if relocatable else 2, machine, 1, entry, 0, 52 + len(body), 0, 52, 0, 0, 40, len(heads) + 1, len(heads)) + body + rows
