@@ -92,9 +92,9 @@ def toolchain_id(banner: Column) -> Column:
 
 
 def bundled_version(text: Column) -> Column:
-    """``vA.B.C`` from KEY=digits lines of the three version parts; null if one is missing."""
-    parts = [F.regexp_extract(text, rf"(?m)VERSION_{k}\s*=?\s*(\d+)", 1) for k in ("MAJOR", "MINOR", "PATCH")]
-    return F.when((parts[0] != "") & (parts[1] != "") & (parts[2] != ""), F.concat(F.lit("v"), F.concat_ws(".", *parts)))
+    """``vA.B.C`` from KEY=digits lines of the three version parts; null if one of the first two is missing, C zero if it is."""
+    parts = [F.nullif(F.regexp_extract(text, rf"(?m)VERSION_{k}\s*=\s*(\d+)", 1), F.lit("")) for k in ("MAJOR", "MINOR", "PATCH")]
+    return F.concat(F.lit("v"), parts[0], F.lit("."), parts[1], F.lit("."), F.coalesce(parts[2], F.lit("0")))
 
 
 def hex_address(addr: Column) -> Column:
@@ -122,10 +122,6 @@ def cache_key(*parts: Column) -> Column:
     return F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(32))
 
 
-def iso_seconds(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-
-
 def describe_build(version: Column, config: Column, config_hash_: Column) -> Column:
     return F.concat_ws("/", version, config, F.left(config_hash_, F.lit(12)))
 

@@ -6,6 +6,8 @@ natural key, so building it again replaces it, and nothing numbers builds centra
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,17 +58,34 @@ class Corpus:
     def add(self, builds: DataFrame, functions: DataFrame) -> None:
         """Insert builds (without id and hash) with their functions, ``functions`` naming builds by ``build_key``, as ``builds`` does.
 
-        A build with the same natural key is replaced with all its functions.
+        A build with the same natural key is replaced with all its functions, once the new ones are written whole; a write that fails
+        leaves what was there.
         """
         keyed = keyed_builds(builds.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")))
         rows = functions.join(keyed.select("build_key", "build_id", "chip", "canon_version"), "build_key").drop("build_key")
         names = [f.name for f in T._parse_datatype_string(FUNCTIONS).fields]
         rows = rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast(T._parse_datatype_string(FUNCTIONS)[n].dataType).alias(n) for n in names])
-        for folder in [f"{name}/chip={r.chip}/canon_version={r.canon_version}/build_id={r.build_id}" for r in keyed.select("chip", "canon_version", "build_id").collect() for name in ("builds", "functions")]:
-            self._delete(folder)
-        parts = ["chip", "canon_version", "build_id"]
-        rows.repartition(*parts).sortWithinPartitions(*parts, "digest").write.mode("append").partitionBy(*parts).parquet(f"{self.path}/functions")
-        keyed.select(*[f.name for f in T._parse_datatype_string(BUILDS).fields]).write.mode("append").partitionBy(*parts).parquet(f"{self.path}/builds")
+        parts, stage = ["chip", "canon_version", "build_id"], f"staged-{uuid.uuid4().hex}"
+        rows.repartition(*parts).sortWithinPartitions(*parts, "digest").write.partitionBy(*parts).parquet(f"{self.path}/{stage}/functions")
+        keyed.select(*[f.name for f in T._parse_datatype_string(BUILDS).fields]).write.partitionBy(*parts).parquet(f"{self.path}/{stage}/builds")
+        # only what has been written whole takes the place of what was there
+        for r in self.spark.read.schema(T._parse_datatype_string(BUILDS)).parquet(f"{self.path}/{stage}/builds").select(*parts).distinct().collect():
+            for name in ("functions", "builds"):
+                folder = f"{name}/chip={r.chip}/canon_version={r.canon_version}/build_id={r.build_id}"
+                if self._exists(f"{stage}/{folder}"):
+                    self._move(folder, f"{stage}/old/{folder}")
+                    self._move(f"{stage}/{folder}", folder)
+                else:
+                    self._delete(folder)
+        self._delete(stage)
+
+    def _move(self, folder: str, to: str) -> None:
+        if self._exists(folder):
+            paths = [self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{f}") for f in (folder, to)]
+            fs = paths[0].getFileSystem(self.spark._jsc.hadoopConfiguration())
+            fs.mkdirs(paths[1].getParent())
+            if not fs.rename(*paths):
+                raise OSError(f"could not move {folder}")
 
     def current(self, chip: str, canon_version: int) -> DataFrame:
         """The chip's builds under the current rules; raises if there is none."""
@@ -75,11 +94,12 @@ class Corpus:
             raise CorpusMissing(f"no build of {chip} under rules version {canon_version}; ingest an artifact folder first")
         return df
 
-    def select_one(self, version: str | None = None, prefix: str = "") -> int:
-        """Id of the one build of a version whose config hash begins with prefix; raises unless it is exactly one."""
-        found = prefixed(self.builds(), prefix, version).select("build_id").limit(2).collect()
+    def select_one(self, version: str | None = None, prefix: str = "", chip: str | None = None) -> int:
+        """Id of the one build of a version, of a chip if given, whose config hash begins with prefix; raises unless it is exactly one."""
+        builds = self.builds().where(F.col("chip") == chip) if chip else self.builds()
+        found = prefixed(builds, prefix, version).select("build_id").limit(2).collect()
         if len(found) != 1:
-            raise UsageError("no build matches" if not found else "more than one build matches: give a longer prefix")
+            raise UsageError("no build matches" if not found else "more than one build matches: give a longer prefix, or the chip")
         return found[0].build_id
 
     def remove(self, build: int, dry: bool = True) -> int:

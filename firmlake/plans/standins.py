@@ -10,6 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared folder, deleted when the application ends; a temporary one where none is set, as in tests."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions: non-blank lines of all documents, the digest of the lower-cased line."""
     docs = table(spark, sf_dir, "documents")

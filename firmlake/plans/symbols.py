@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firmlake.errors import ParseError
+from firmlake.functions.scalar import describe_build
 from firmlake.operators import canon, graph, layout, match
 from firmlake.operators.corpus import Corpus
 from firmlake.sources import flash, recover
@@ -30,9 +34,10 @@ def analysed(files: DataFrame, slot: str | None = None, decoder: Decoder = built
 def remembered(files: DataFrame, memo: str, slot: str | None = None, decoder: Decoder = builtin) -> DataFrame:
     """(path, content) -> one recovered row an image, with its sha256; rows of a memo table are reused, new ones are added to it.
 
-    The memo is keyed by content, recovery version and slot, so a file that was seen under another name isn't analysed again.
+    The memo is keyed by content, slot, the versions of recovery and of the rules, and the decoder, so a file that was seen under another
+    name isn't analysed again, and no decoder gets another's results. The chosen image's offset and chip are kept with the row.
     """
-    spark, version = files.sparkSession, f"{recover.VERSION}:{slot or ''}"
+    spark, version = files.sparkSession, ":".join([recover.VERSION, str(canon.VERSION), f"{decoder.__module__}.{decoder.__qualname__}", slot or ""])
     parsed = flash.parse(files, slot).where("error IS NULL AND chip IS NOT NULL")
     try:
         known = spark.read.parquet(memo)
@@ -42,25 +47,35 @@ def remembered(files: DataFrame, memo: str, slot: str | None = None, decoder: De
         known = None
     fresh = flash.memo_missing(parsed, known, version) if known is not None else parsed
     rows = recover.recovered(flash.segment_bytes(fresh, files).where("length > 0"), decoder)
-    rows = rows.join(fresh.select("image_id", "sha256"), "image_id").dropDuplicates(["sha256"]).withColumn("version", F.lit(version))
+    chosen = fresh.select("image_id", "sha256", "chip", F.get("images", F.col("selected_image"))["file_offset"].alias("image_offset"))
+    rows = rows.join(chosen, "image_id").dropDuplicates(["sha256"]).withColumn("version", F.lit(version))
     rows.write.mode("append").parquet(memo)
     return spark.read.parquet(memo).where(F.col("version") == version).join(parsed.select("sha256").distinct(), "sha256", "left_semi")
 
 
-def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str, canon_version: int = canon.VERSION) -> dict[str, DataFrame]:
-    """Identified and unidentified functions, regions, coverage and warnings for the images of one chip."""
+def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str | None = None, canon_version: int = canon.VERSION) -> dict[str, DataFrame]:
+    """Identified and unidentified functions, regions, coverage and warnings. Each image is matched against the builds of its own chip;
+    with ``chip``, only images of that one are."""
+    if chip is None:
+        chips = sorted(r["chip"] for r in analysis["parsed"].where("chip IS NOT NULL AND error IS NULL").select("chip").distinct().collect())  # one of a few supported
+        if not chips:
+            raise ParseError("no image of a known chip among the inputs")
+        each = [symbols(analysis, corpus, c, canon_version) for c in chips]
+        out = {name: reduce(DataFrame.unionByName, (e[name] for e in each)) for name in each[0]}
+        return out | {"identified": out["identified"].orderBy("image_id", "entry"), "unidentified": out["unidentified"].orderBy("image_id", F.desc("size"), F.desc("in_degree"), "entry")}
     builds = corpus.current(chip, canon_version)
     fn = F.concat_ws(":", "image_id", F.col("entry").cast("string"))
-    forms = analysis["forms"].select("fn", "digest", "call_targets", "instruction_count")
+    forms = graph.settled(analysis["forms"].select("fn", "digest", "call_targets", "instruction_count"))
     own = analysis["parsed"].where(F.col("chip") == chip).select("image_id").distinct()
     functions = analysis["boundaries"].join(own, "image_id", "left_semi").withColumnRenamed("confidence", "boundary_confidence").withColumn("fn", fn).join(forms, "fn", "left")
-    hits = match.preferred(match.current_signatures(corpus.functions(), builds, chip, canon_version, forms.select("digest")))
-    found = match.identify(functions, hits)
+    signatures = match.current_signatures(corpus.functions(), builds, chip, canon_version, forms.select("digest"))
+    found = match.identify(functions, match.preferred(signatures).join(match.with_builds(match.signature_lists(signatures), builds), "digest", "left"))
+    found = found.withColumn("sources", F.array_sort(F.array_distinct(F.transform(F.filter("signatures", lambda s: s["name"] == F.col("name")), lambda s: s["label"]))))
     entries = functions.select(F.col("fn").alias("entry"))
     calls = functions.select("image_id", F.col("fn").alias("src"), F.explode("call_targets").alias("to")).select("src", F.concat_ws(":", "image_id", F.col("to").cast("string")).alias("dst"))
     degrees = graph.degrees(calls, entries).withColumnRenamed("entry", "fn")
-    callees = graph.known_callees(graph.known_edges(calls, entries), found.where("identified").select(F.col("fn").alias("entry"), "name")).withColumnRenamed("src", "fn")
-    found = found.join(degrees, "fn").join(callees, "fn", "left")
+    callees = graph.known_callees(graph.known_edges(calls, entries), found.where("identified").select(F.col("fn").alias("entry"), "name")).withColumnRenamed("src", "fn").withColumnRenamed("callees", "callees_known")
+    found = graph.settled(found.join(degrees, "fn").join(callees, "fn", "left"))  # all tables below are read from it
     empty = F.array().cast("array<string>")
     members = layout.anchors(found.select(F.col("image_id").alias("image"), F.col("entry").alias("vaddr"), "size", "component", "identified", F.coalesce("ambiguous_with", empty).alias("ambiguous_with"), F.coalesce("shared_components", empty).alias("shared_components")))
     likely = layout.likely_components(members).select(F.col("image").alias("image_id"), F.col("vaddr").alias("entry"), "likely_component")
@@ -77,4 +92,12 @@ def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str, canon_ver
         "by_component": layout.by_component(members),
         "warnings": warnings,
         "builds": builds,
+        "labels": builds.select("build_id", "idf_version", describe_build(F.col("idf_version"), F.col("config_name"), F.col("config_hash")).alias("label")),
+        "summary": coverage.join(versions_of(found, builds), "image", "left").withColumn("versions", F.coalesce("versions", F.lit(0))),
     }
+
+
+def versions_of(found: DataFrame, builds: DataFrame) -> DataFrame:
+    """(image, versions): how many versions the identified functions of an image come from."""
+    rows = found.where("identified").select(F.col("image_id").alias("image"), F.explode("source_ids").alias("build_id"))
+    return rows.join(builds.select("build_id", "idf_version"), "build_id").groupBy("image").agg(F.countDistinct("idf_version").alias("versions"))

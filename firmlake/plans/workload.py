@@ -662,3 +662,79 @@ SELECT r::INT AS rank, doc_id, pos, (n - least(n, 20))::BIGINT AS more FROM u WH
 def q_unidentified_top(spark, d):
     rows = match.identify(S.targets(spark, d), hits(spark, d)).where("NOT identified").select("doc_id", "pos")
     return match.first_and_more(rows, 20, [F.desc("doc_id"), F.asc("pos")])
+
+
+SG = SH + "," + HV + r""",
+sg AS (SELECT split_part(path, '/', 1) AS build, name, component, origin, txt FROM hr),
+bs AS (SELECT *, row_number() OVER (PARTITION BY txt ORDER BY origin <> 'linked', name, component NULLS FIRST) AS r FROM sg),
+bn AS (SELECT b.txt, b.name, b.component, b.origin, (SELECT count(DISTINCT build) FROM sg s WHERE s.txt = b.txt AND s.name = b.name) AS builds, (SELECT count(DISTINCT name) FROM sg s WHERE s.txt = b.txt AND s.name <> b.name) AS rivals FROM bs b WHERE r = 1)
+"""
+
+
+def _corpus(spark, d):
+    """A corpus of the suppliers' builds, written to the shared folder."""
+    from firmlake.operators.corpus import Corpus
+
+    found = _signatures(spark, d).withColumn("build_key", F.regexp_extract("path", r"^(b\d+)/", 1))
+    builds = S.table(spark, d, "supplier").select(
+        F.concat(F.lit("b"), F.col("s_suppkey").cast("string")).alias("build_key"), F.concat(F.lit("v"), (F.col("s_suppkey") % 3).cast("string")).alias("idf_version"), F.lit("default").alias("config_name"),
+        F.concat(F.lit("CONFIG_KEY="), F.col("s_suppkey").cast("string")).alias("config_text"), F.lit("esp32").alias("chip"), F.lit("t").alias("toolchain"), F.lit(canon.VERSION).alias("canon_version"), F.lit(None).cast("string").alias("objdump_version"),
+    )
+    held = Corpus(spark, S.shared(spark, "corpus"))
+    held.add(builds, found)
+    return held
+
+
+def _symbols(spark, d):
+    from firmlake.plans import symbols as plan
+
+    files = _images(spark, d)
+    analysis = plan.analysed(files, memo=S.shared(spark, "memo"))
+    paths = analysis["parsed"].select(F.col("image_id").alias("image"), "path")
+    return plan.symbols(analysis, _corpus(spark, d)), paths
+
+
+@query("WITH " + SG + """SELECT path, entry::BIGINT AS entry, name, component, origin, CASE WHEN rivals = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence, rivals::INT AS rivals, builds::INT AS builds, (CASE WHEN off = 16 THEN 1 WHEN f = 0 AND slots > 3 THEN 1 ELSE 0 END)::BIGINT AS in_degree FROM pf JOIN bn USING (txt)""")
+def q_symbols_identified(spark, d):
+    out, paths = _symbols(spark, d)
+    return out["identified"].join(paths, F.col("image_id") == F.col("image")).select("path", "entry", "name", "component", "origin", "confidence", F.size("ambiguous_with").alias("rivals"), F.size("source_ids").alias("builds"), "in_degree")
+
+
+@query("WITH " + SG + """, u AS (SELECT pf.path, pf.entry, pf.size, CASE WHEN off = 16 THEN 1 ELSE 0 END AS deg FROM pf LEFT JOIN bn USING (txt) WHERE bn.txt IS NULL)
+SELECT path, entry::BIGINT AS entry, size::BIGINT AS size, deg::BIGINT AS in_degree, row_number() OVER (PARTITION BY path ORDER BY size DESC, deg DESC, entry)::INT AS rank FROM u""")
+def q_symbols_unidentified(spark, d):
+    from pyspark.sql import Window
+
+    out, paths = _symbols(spark, d)
+    order = Window.partitionBy("path").orderBy(F.desc("size"), F.desc("in_degree"), "entry")
+    return out["unidentified"].join(paths, F.col("image_id") == F.col("image")).select("path", "entry", "size", "in_degree", F.row_number().over(order).alias("rank"))
+
+
+@query("WITH " + SG + """, m AS (SELECT path, count(bn.txt) AS matched, count(*) AS total FROM pf LEFT JOIN bn USING (txt) GROUP BY path), v AS (SELECT path, count(DISTINCT substr(sg.build, 2)::INT % 3) AS versions FROM pf JOIN bn USING (txt) JOIN sg ON sg.txt = bn.txt AND sg.name = bn.name GROUP BY path)
+SELECT path, matched::BIGINT AS matched, total::BIGINT AS total, coalesce(versions, 0)::BIGINT AS versions, 'matched: ' || matched || ' of ' || total || ' functions (' || printf('%.1f', 100.0 * matched / total) || '%)' AS line FROM m LEFT JOIN v USING (path)""")
+def q_symbols_summary(spark, d):
+    from firmlake.plans import report
+
+    out, paths = _symbols(spark, d)
+    line = report.lines(out).where("part = 0").select("image", "line")
+    return out["summary"].join(line, "image").join(paths, "image").select("path", "matched", "total", "versions", "line")
+
+
+@query("WITH " + HV + """SELECT 'b' || k AS build, 'v' || (k % 3) AS idf_version, 2::BIGINT AS archive, 2::BIGINT AS linked, 4::BIGINT AS total, false AS stale, sha256('CONFIG_KEY=' || k || chr(10)) AS config_hash FROM hv WHERE k % 3 = 1""")
+def q_corpus_listing(spark, d):
+    held = _corpus(spark, d)
+    rows = corpus.listing(held.builds(), held.functions(), canon.VERSION, "v1")
+    return rows.select(F.concat(F.lit("b"), F.split("config_text", "=")[1]).alias("build"), "idf_version", "archive", "linked", "total", "stale", "config_hash")
+
+
+@query("WITH " + HV + """SELECT CASE WHEN k % 3 = 0 THEN 3 ELSE 4 END::INT AS canon_version, count(*)::BIGINT AS builds, (4 * count(*))::BIGINT AS functions FROM hv WHERE k % 3 <> 0 GROUP BY 1""")
+def q_corpus_gc(spark, d):
+    held = _corpus(spark, d)
+    builds, functions = held.builds(), held.functions().drop("chip", "canon_version")
+    newer = F.when(F.col("idf_version") == "v0", 3).otherwise(4)
+    about = builds.select(F.col("build_id").cast("string").alias("build_key"), "idf_version", "config_name", "config_text", "chip", "toolchain", newer.alias("canon_version"), "objdump_version")
+    other = corpus.Corpus(spark, S.shared(spark, "corpus"))
+    other.add(about, functions.withColumn("build_key", F.col("build_id").cast("string")).drop("build_id"))
+    other.collect_stale(4, dry=False)
+    left = other.functions().groupBy("build_id").agg(F.count("*").alias("n"))
+    return other.builds().join(left, "build_id").groupBy("canon_version").agg(F.count("*").alias("builds"), F.sum("n").alias("functions"))

@@ -309,6 +309,26 @@ def read_listing(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def listed(instructions: DataFrame) -> Decoder:
+    """A decoder that looks instructions of ``read_listing`` up by address; bytes that the listing doesn't cover are data.
+
+    The listing comes to the driver and goes to the tasks, so it should be one image's."""
+    names = [c.split()[0] for c in INSTRUCTION.split(", ")]
+    known = {r["addr"]: r.asDict() for r in instructions.select(*names).collect()}
+
+    def decode(at: int, data: bytes) -> list[dict]:
+        out, here = [], 0
+        while here < len(data):
+            found = known.get(at + here)
+            if found is None or here + found["size"] > len(data):
+                found = {"addr": at + here, "size": 1, "mnemonic": ".byte", "operands": [f"0x{data[here]:02x}"], "cls": "data", "target": None, "literal_value": None, "target_symbol": None}
+            out.append(dict(found))
+            here += found["size"]
+        return out
+
+    return decode
+
+
 def c_string(data: bytes, at: int, most: int = 128) -> str | None:
     """Printable text of five or more characters that ends within so many bytes; null for anything else."""
     end = data.find(b"\0", at, at + most)

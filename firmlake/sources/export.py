@@ -1,9 +1,7 @@
-"""Writers: an ELF program for each image, JSON documents, and text reports."""
+"""Writers: an ELF program for each image, and JSON documents."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +26,8 @@ def elf_files(segments: DataFrame) -> DataFrame:
 
 
 def envelope(df: DataFrame, command: str, version: str = "1") -> DataFrame:
-    """One JSON document a row: command, provenance, warnings, result."""
+    """One JSON document a row: command, provenance, warnings, result; boundaries with their derived fields."""
+    df = with_computed(df) if {"entry", "ranges", "callees"} <= set(df.columns) else df
     result = F.struct(*[c for c in df.columns if c != "warnings"])
     warnings = F.col("warnings") if "warnings" in df.columns else F.array().cast("array<string>")
     return df.select(F.to_json(F.struct(F.lit(command).alias("command"), F.struct(F.lit(version).alias("version")).alias("provenance"), warnings.alias("warnings"), result.alias("result"))).alias("json"))
@@ -37,10 +36,3 @@ def envelope(df: DataFrame, command: str, version: str = "1") -> DataFrame:
 def with_computed(boundaries: DataFrame) -> DataFrame:
     """Derived fields that documents carry beside the stored ones."""
     return boundaries.withColumns({"entry_hex": hex_address(F.col("entry")), "range_count": F.size("ranges"), "callee_count": F.size("callees")})
-
-
-def report(rows: Iterator, columns: list[str]) -> str:
-    """Rows as aligned text."""
-    cells = [columns, *[[f"{v:,}" if isinstance(v, int) else str(v) for v in r] for r in rows]]
-    widths = [max(len(r[k]) for r in cells) for k in range(len(columns))]
-    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)).rstrip() for r in cells)

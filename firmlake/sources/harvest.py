@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmlake.errors import ParseError
-from firmlake.functions.scalar import component_of
+from firmlake.functions.scalar import bundled_version, component_of, toolchain_id
 from firmlake.operators import canon
 from firmlake.operators.match import carry_components
 from firmlake.sources.decode import INSTRUCTION, Decoder, builtin, c_string
@@ -110,11 +110,32 @@ def signatures(rows: DataFrame, tag: str = canon.TAG, names: DataFrame | None =
 
 
 def artifacts(spark: SparkSession, folder: str) -> DataFrame:
-    """The archives and programs of an artifact folder: ``archives/*.a`` and ``app/*.elf``."""
+    """The archives and programs of artifact folders at any depth: those in ``archives/*.a`` and ``app/*.elf``."""
     read = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    return read("*.a").unionByName(read("*.elf")).select("path", "content")
+    return read("*.a").where(F.col("path").rlike("/archives/[^/]*$")).unionByName(read("*.elf").where(F.col("path").rlike("/app/[^/]*$"))).select("path", "content")
 
 
 def marker(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """(path, value): a text file of the folder as one row; none if it isn't there."""
-    return spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(folder).select(F.input_file_name().alias("path"), "value")
+    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=name).select(F.input_file_name().alias("path"), "value")
+
+
+def libraries(listing: DataFrame) -> DataFrame:
+    """(path, value) of package listings, a header and then lines that end in version and place -> (path, library) as ``name@version``."""
+    rows = listing.select("path", F.posexplode(F.split("value", "\n")).alias("at", "line")).where("at > 0")
+    words = rows.select("path", "at", F.split(F.btrim(F.regexp_replace("line", r"\s+", " ")), " ").alias("w")).where(F.size("w") >= 2)
+    name = F.coalesce(F.nullif(F.array_join(F.slice("w", F.lit(1), F.size("w") - 2), " "), F.lit("")), F.get("w", F.lit(0)))
+    return words.select("path", "at", F.concat(name, F.lit("@"), F.get("w", F.size("w") - 2)).alias("library"))
+
+
+def about(spark: SparkSession, folder: str) -> tuple[dict, list[str]]:
+    """What an artifact folder's markers say of the build (config_text, toolchain, version, libraries), and warnings for what is missing."""
+    first = lambda df: next((r[0] for r in df.limit(1).collect()), None)
+    config = first(marker(spark, folder, "sdkconfig.out").orderBy("path").select("value"))
+    tool = first(marker(spark, folder, "objdump_version.txt").orderBy("path").select(toolchain_id(F.col("value"))))
+    version = first(marker(spark, folder, "bundled_idf.txt").orderBy("path").select(bundled_version(F.col("value"))))
+    held = [r[0] for r in libraries(marker(spark, folder, "arduino-libs.txt")).orderBy("path", "at").select("library").limit(10_000).collect()]
+    doubts = [] if config is not None else ["no resolved configuration; the build's hash says little"]
+    if not artifacts(spark, folder).where(F.col("path").endswith(".a")).limit(1).count():
+        doubts.append("no archives: components are unknown and fewer functions will be found")
+    return {"config_text": config or "", "toolchain": tool, "version": version, "libraries": held}, doubts

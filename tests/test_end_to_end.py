@@ -113,6 +113,54 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--data", str(tmp_path), "corpus", "gc"]) == 0
 
 
+def test_command_line_from_artifacts_to_report(spark, tmp_path, capsys):
+    from firmlake import __main__ as cli
+    from firmlake.sources import synthetic
+
+    for key, chip in ((1, "esp32"), (2, "esp32")):
+        for path, content in synthetic.build(key):
+            target = tmp_path / f"art{key}" / path
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_bytes(content)
+    (tmp_path / "art1/objdump_version.txt").write_text("GNU objdump (crosstool-NG esp-13.2.0) 2.41\nmore\n")
+    (tmp_path / "art1/sdkconfig.out").write_text("CONFIG_A=y\n")
+    (tmp_path / "art1/bundled_idf.txt").write_text("ESP_IDF_VERSION_MAJOR=5\nESP_IDF_VERSION_MINOR=4\n")
+    (tmp_path / "art1/arduino-libs.txt").write_text("Name Version Location\nWi Fi 1.2 user\nX 3 user\n")
+    (tmp_path / "art1/stray.elf").write_bytes(b"not below app")
+    data = ["--data", str(tmp_path / "data")]
+    assert cli.main([*data, "corpus", "ingest", str(tmp_path / "art1")]) == 0
+    assert "warning" not in capsys.readouterr().out
+    assert cli.main([*data, "corpus", "ingest", str(tmp_path / "art2")]) == 7  # no version
+    assert cli.main([*data, "corpus", "ingest", str(tmp_path / "art2"), "--version", "v9"]) == 0
+    assert "no resolved configuration" in capsys.readouterr().out
+    corpus = Corpus(spark, f"{tmp_path}/data/corpus")
+    rows = {r.idf_version: r for r in corpus.builds().collect()}
+    assert (rows["v5.4.0"].toolchain, rows["v9"].toolchain) == ("esp-13.2.0/binutils-2.41", "unknown")
+    assert rows["v5.4.0"].config_text == "CONFIG_A=y\n\nlibrary Wi Fi@1.2\nlibrary X@3"
+    (tmp_path / "x.bin").write_bytes(synthetic.image(b"text", 6))
+    assert cli.main([*data, "symbols", str(tmp_path / "x.bin")]) == 0
+    text = capsys.readouterr().out
+    for part in ("matched: 3 of 7 functions (42.9%)", "0x400d0020", "open_1 (+1 ambiguous name(s))", "by version:", "[", "unidentified:", "warning: less than half"):
+        assert part in text, part
+    listing = tmp_path / "l.txt"
+    listing.write_text("400d0020:\t004136        \tentry\ta1, 32\n400d0023:\tf01d  \tretw.n\n")
+    assert cli.main([*data, "symbols", str(tmp_path / "x.bin"), "--listing", str(listing)]) == 0
+    assert "matched: 1 of 1 functions" in capsys.readouterr().out
+    assert cli.main([*data, "corpus", "rm", "--version", "v9", "--chip", "esp32s3", "--yes"]) == 7
+    assert cli.main([*data, "corpus", "rm", "--version", "v9", "--chip", "esp32", "--yes"]) == 0 and corpus.builds().count() == 1
+    assert cli.main([*data, "symbols", str(tmp_path / "x.bin"), "--chip", "esp32s2"]) == 6
+
+
+def test_a_failed_write_leaves_the_build(spark, tmp_path):
+    corpus = Corpus(spark, f"file://{tmp_path}/corpus")
+    build(spark, corpus, [("leaf", LEAF, 5)])
+    broken = spark.createDataFrame([("b", "f")], "build_key string, name string").withColumn("size", F.raise_error(F.lit("lost")).cast("long"))
+    about = spark.createDataFrame([("b", "v5.4", "default", "CONFIG_A=y", "esp32", "gcc", canon.VERSION, None)], "build_key string, idf_version string, config_name string, config_text string, chip string, toolchain string, canon_version int, objdump_version string")
+    with pytest.raises(Exception, match="lost"):
+        corpus.add(about, broken)
+    assert [r.name for r in corpus.functions().collect()] == ["leaf"] and corpus.builds().count() == 1
+
+
 def test_sqlite_import(spark, tmp_path):
     import sqlite3
 
