@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from firmlake.llm.common import shared_dir
+from firmlake.llm.common import shared_dir, written
 
 SAMPLES = 192  # in a row of an image; payloads are padded to a multiple
 ARCHIVE = 32 << 20  # bytes after which the writer begins another archive
@@ -97,8 +97,8 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     """Store every payload; returns (archive, members), one row an archive, of what the tasks have written. Runs when acted on.
 
     A member's name holds its number in the archive, the text's size and the id (none for null). An archive's name
-    holds the partition and a counter, and it appears under that name only when whole, so attempts of a task
-    that was lost or repeated leave the same files.
+    holds the partition, the attempt and a counter, and it appears under that name only when whole. An attempt that was lost
+    may leave archives behind; the rows returned name those that count, so write them, and read these alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,10 +113,10 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
 
         def close():
             archive.close()
-            name = f"{base}/part-{part:06d}-{len(made):05d}.zip"
-            with fs.open_output_stream(f"{name}.{attempt}.tmp") as out:
+            name = f"{base}/part-{part:06d}-{attempt}-{len(made):05d}.zip"
+            with fs.open_output_stream(f"{name}.tmp") as out:
                 out.write(buffer.getvalue())
-            fs.move(f"{name}.{attempt}.tmp", name)
+            fs.move(f"{name}.tmp", name)
             made.append((name, members))
 
         fs.create_dir(base, recursive=True)
@@ -150,7 +150,8 @@ SCHEMA = "archive string, member string, offset long, media binary, payload bina
 
 
 class ArchiveSource(DataSource):
-    """Format ``media_archive``. Options: path; range (bytes a task); tries; mode, strict or permissive."""
+    """Format ``media_archive``. Options: path; manifest (a Parquet folder with a column archive: the ones to read, by default all of the path);
+    range (bytes a task); tries; mode, strict or permissive."""
 
     @classmethod
     def name(cls) -> str:
@@ -165,15 +166,21 @@ class ArchiveSource(DataSource):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.range = options["path"], int(options.get("range", RANGE))
+        self.path, self.range, self.manifest = options["path"], int(options.get("range", RANGE)), options.get("manifest")
         self.tries, self.strict = int(options.get("tries", TRIES)), options.get("mode", "strict") == "strict"
 
     def partitions(self) -> list[Range]:
-        """Byte ranges from the folder's listing; no archive is opened."""
-        from pyarrow import fs
+        """Byte ranges from the folder's listing, and the manifest if there is one; no archive is opened."""
+        from pyarrow import dataset, fs
 
         system, base = filesystem(self.path)
         files = [f for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and f.path.endswith(".zip")]
+        if self.manifest:
+            place, table = filesystem(self.manifest)
+            names = {a.rsplit("/", 1)[-1] for a in dataset.dataset(table, filesystem=place, format="parquet").to_table(columns=["archive"])["archive"].to_pylist()}
+            files = [f for f in files if f.path.rsplit("/", 1)[-1] in names]
+            if len(files) < len(names):
+                raise OSError(f"{len(names) - len(files)} archives of the manifest are missing from {self.path}")
         return [Range(f.path, at, at + self.range) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.range)] or [Range("", 0, 0)]
 
     def read_member(self, open_file, info, first: bytes | None) -> tuple[bytes | None, bytes | None, str | None]:
@@ -251,9 +258,12 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "media")
-    write_archives(docs, folder, id_col, text_col).agg(F.sum("members")).collect()
+    manifest = written(write_archives(docs, folder, id_col, text_col), "manifest")
+    members, rows = manifest.agg(F.sum("members")).first()[0] or 0, docs.count()
+    if members != rows:
+        raise RuntimeError(f"{members} members were written of {rows} rows; the input changes from read to read")
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("media_archive").load(folder)
+    return spark.read.format("media_archive").option("manifest", manifest._written_to).load(folder)
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -274,5 +284,6 @@ def features(media: DataFrame) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as an image, read back, and measured; nulls, repeated rows and an empty table as in ``stored``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return features(stored(docs)).withColumn("doc_id", F.col("doc_id").cast("long"))

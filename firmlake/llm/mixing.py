@@ -53,23 +53,34 @@ def targets(sizes: DataFrame, cap: int = CAP, weight: Column | None = None) -> D
     return df.select("source", "source_size", "weight", target.alias("target"))
 
 
+ADDED = ("_size", "_source_size", "_target", "_copies")
+
+
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, seed: str = SEED) -> DataFrame:
     """``docs`` with _size, _source_size, _target and _copies, the times that the mix takes each row.
 
     A null text has size zero; a null source is a source. The decision hashes the seed, the id and the text, so
     reruns agree, and equal rows are decided alike. An empty table gives none. Of the input only the three named
-    columns are looked at; others pass through, and working columns have names with a leading underscore.
+    columns are looked at; all pass through, and where one has the name of an added column, that gets a further underscore.
     """
+    names = {}
+    for name in ADDED:
+        names[name] = name
+        while names[name] in docs.columns:
+            names[name] = "_" + names[name]
+    row = docs.select(F.struct(*docs.columns).alias("_row"))
     # texts are counted again in the second pass: cheaper than moving them
-    sized = docs.withColumn("_size", word_count(F.col(text_col)))
-    sums = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("_size").alias("source_size"))
+    sized = row.withColumn("_size", word_count(F.col("_row")[text_col]))
+    source = F.col("_row")[source_col]
+    sums = sized.groupBy(source.alias("source")).agg(F.sum("_size").alias("source_size"))
     plan = written(targets(sums, cap), "mix-targets").select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    df = bounded_join(sized, plan, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
+    df = bounded_join(sized, plan, source.eqNullSafe(F.col("_source")), "left")
     rate = F.least(F.col("_target") / F.nullif(F.col("_source_size"), F.lit(0)), F.lit(float(cap)))
-    text = [F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))]
+    text = [F.lit(seed), F.coalesce(F.col("_row")[id_col].cast("string"), F.lit("")), F.coalesce(F.col("_row")[text_col], F.lit(""))]
     chance = F.conv(F.substring(F.sha2(F.concat_ws("|", *text), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     times = F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)
-    return df.withColumn("_copies", F.coalesce(times, F.lit(0)).cast("int"))
+    df = df.withColumn("_copies", F.coalesce(times, F.lit(0)).cast("int"))
+    return df.select("_row.*", *[F.col(k).alias(v) for k, v in names.items()])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -77,13 +88,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Defined for all inputs as in ``copies``; rows taken zero times are absent.
     """
-    row = F.struct(*docs.columns).alias("_row")
-    rows = docs.select(row).select("_row", *(F.col("_row")[c].alias(n) for c, n in ((id_col, "_id"), (text_col, "_text"), (source_col, "_source_of"))))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source_of"))
     df = copies(rows, "_id", "_text", "_source_of", cap, seed).where("_copies > 0")
     return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share in the mix of all. Nulls, ties, repeated rows and an empty table as in ``copies``; each word of a very long
+    text counts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     df = copies(docs.select("doc_id", "text", "source"))
     return df.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))

@@ -17,6 +17,7 @@ from firmlake.llm.common import map_rows
 
 SPACE = "▁"  # fixed value: what the format writes for a space
 CACHE = 150_000  # chunks kept in each of two generations; bounds memory, not results
+CACHE_CHARS = 6_000_000  # of chunks, ids and decoded texts kept in each
 PAIRS = 1_000_000  # remembered pair tests
 
 
@@ -89,6 +90,7 @@ class Pieces:
         self.cut = all(SPACE not in p.lstrip(SPACE) for p in self.id) and not any("\n" in p for p in self.id)
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
+        self.held = 0
         self.pairs: dict[int, bool] = {}
         self.plain = [p.replace(SPACE, " ") if k == 1 else None for p, _, k in model["pieces"]]
 
@@ -184,9 +186,13 @@ class Pieces:
             ids = self.token_ids(chunk) if chunk else []
             words = [self.plain[i] for i in ids]
             found = "".join([f",{i}" for i in ids]), self.decode(ids, first=False) if None in words else "".join(words)
-        if len(self.young) >= CACHE:
-            self.old, self.young = self.young, {}
+        size = len(key) + len(found[0]) + len(found[1])
+        if size > CACHE_CHARS // 64:  # rare enough to be encoded again
+            return found
+        if len(self.young) >= CACHE or self.held + size > CACHE_CHARS:
+            self.old, self.young, self.held = self.young, {}, 0
         self.young[key] = found
+        self.held += size
         return found
 
     def both(self, text: str | None) -> tuple[str, str]:
@@ -252,7 +258,10 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text), whatever other columns there are.
+
+    Whole texts, however long. Null and empty texts have no ids and the empty text's digests; null ids and repeated rows pass through; an
+    empty table gives none."""
     path = model_path(path)
 
     def make():
@@ -269,4 +278,5 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; all rows defined as in ``digests``."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

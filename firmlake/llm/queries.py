@@ -9,9 +9,9 @@ from firmlake.llm.pieces import op2_pieces
 from firmlake.llm.scoring import op6_scoring
 from firmlake.llm.secrets import op3_secrets
 from firmlake.llm.simhash import op10_simhash
-from firmlake.llm.suffixes import op8_suffixes
+from firmlake.llm.suffixes import OP8_SQL, op8_suffixes
 from firmlake.llm.toxicity import op7_toxicity
-from firmlake.llm.vectors import op9_embeddings
+from firmlake.llm.vectors import OP9_SQL, op9_embeddings
 
 
 def pipeline(spark, sf_dir: str):
@@ -37,4 +37,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op8_suffixes": OP8_SQL, "op9_embeddings": OP9_SQL}

@@ -328,6 +328,7 @@ def score(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "te
 
 
 def op6_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the counts of nine tenths of them; nulls, empty tables and repeated rows as in ``score``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = crc_mod("doc_id", 10) == 0
     df = score(docs, ~held_out)

@@ -6,6 +6,7 @@ last six characters are the CRC-32 of the rest in base 62.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
@@ -43,7 +44,9 @@ def base62_crc(body: bytes) -> bytes:
     return out
 
 
+@functools.cache
 def automaton():
+    """Of all keywords; once a process."""
     import ahocorasick
 
     auto = ahocorasick.Automaton()
@@ -152,7 +155,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with secrets replaced in the text; every row stays.
 
-    A column n_chars, if there is one, becomes the new text's length where the text changed. Other columns are untouched.
+    Null texts stay null; empty, very long and repeated ones are treated like any other, and an empty table stays empty. A column n_chars, if there is one, becomes the new text's length where the text changed. Other columns are untouched.
     """
 
     @F.pandas_udf("string")
@@ -175,6 +178,8 @@ def joined(spans) -> str:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans: whole texts, null ones as empty; repeated rows give repeated rows, an empty table none."""
+
     def make():
         auto = automaton()
 

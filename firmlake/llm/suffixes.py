@@ -446,6 +446,24 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of every document, and the digest of what is kept; all rows defined as in ``removed``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     df = removed(docs)
     return df.select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+pc AS (SELECT doc_id, q, n, substr(h, (800 * q + 1)::INT, 998) AS s FROM (SELECT doc_id, h, n, unnest(range(0, (n - 100) // 400 + 1)) AS q FROM n WHERE n >= 100)),
+w AS (SELECT doc_id, 400 * q + o AS p, row_number() OVER (PARTITION BY md5(substr(s, (2 * o + 1)::INT, 200)) ORDER BY doc_id, 400 * q + o) > 1 AS again
+  FROM (SELECT doc_id, q, s, unnest(range(0, least(400, n - 99 - 400 * q))) AS o FROM pc)),
+r AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM w WHERE again),
+i AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM r GROUP BY doc_id, g),
+j AS (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM i),
+k AS (SELECT doc_id, a, b, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS s FROM j), s AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM k GROUP BY doc_id, s),
+l AS (SELECT s.doc_id, b, n, lead(a) OVER (PARTITION BY s.doc_id ORDER BY a) AS nxt FROM s JOIN n ON n.doc_id = s.doc_id),
+t AS (SELECT doc_id, b AS a, coalesce(nxt, n) AS b FROM l UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id),
+x AS (SELECT t.doc_id, string_agg(substr(h, (2 * a + 1)::INT, (2 * (b - a))::INT), '' ORDER BY a) AS kept FROM t JOIN n ON n.doc_id = t.doc_id GROUP BY t.doc_id),
+c AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT n.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM n LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)
+"""

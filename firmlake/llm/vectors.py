@@ -338,4 +338,15 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component; all rows defined as in ``near_duplicates``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE vec_id IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS least FROM r GROUP BY a), n AS (SELECT a AS vec_id, count(*) AS links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(links, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(least, v.vec_id)) AS component_id, v.vec_id <= coalesce(least, v.vec_id) AS kept FROM v LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
