@@ -31,6 +31,9 @@ def test_targets(spark):
 
 
 def test_odd_rows(odd):
+    clash = copies(odd)
+    assert clash.columns[: len(odd.columns)] == odd.columns and clash.columns[-4:] == ["__size", "_source_size", "_target", "_copies"]
+    assert sorted(map(str, clash.select(odd.columns).collect())) == sorted(map(str, odd.collect()))
     df = copies(odd.drop("_size")).cache()
     assert df.count() == 10 and df.where("_copies > 3 OR _copies < 0").count() == 0
     assert {r._size for r in df.where("text IS NULL OR trim(text) = ''").collect()} == {0}
