@@ -10,13 +10,14 @@ and is queried in shards whose boundary its ball overlaps, of two shards one in
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmlake.llm import shingles as overlap
 from firmlake.llm.common import bounded_join, map_rows, written
 from firmlake.llm.components import components, local_roots
 
@@ -30,27 +31,39 @@ TRIED = 16  # of them, as vantage points of a branch
 TILE = 2048  # rows of a block of comparisons
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """64 bits, unsigned. Empty, blank and null texts: 0. Fewer words than a shingle: the whole sequence is the one shingle."""
+def shingles(text: str | None, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Hashes of the text's shingles in parts, repeats included. Empty, blank and null texts: none. Fewer words: the whole sequence is the one shingle."""
     import xxhash
 
-    words = text.encode().lower().split() if text else []
+    words = text.encode(errors="replace").lower().split() if text else []
     if not words:
-        return 0
+        return
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        yield np.array([digest(joined, SEED)], np.uint64)
+        return
     ends = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
-    count = np.zeros(64, np.int64)
     n = len(words) - width + 1
     spans = zip(ends, itertools.islice(ends, width, None))
     for at in range(0, n, 1 << 14):
         size = min(1 << 14, n - at)
-        hashes = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in itertools.islice(spans, size)), np.uint64, size)
-        count += np.unpackbits(hashes.view(np.uint8).reshape(size, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        yield np.fromiter((digest(joined[a : b - 1], SEED) for a, b in itertools.islice(spans, size)), np.uint64, size)
+
+
+def vote(parts: Iterable[np.ndarray]) -> int:
+    """64 bits, unsigned, each the majority's of all hashes; without any, zero."""
+    count, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(count * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """64 bits, unsigned. Empty, blank and null texts: 0. Fewer words than a shingle: the whole sequence is the one shingle."""
+    return vote(shingles(text, width))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -185,22 +198,31 @@ def depth(n: int) -> int:
     return min(DEEPEST, max(0, -(-n // SHARD) - 1).bit_length())
 
 
-def linked_points(points: DataFrame, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
-    """Distinct (fp long) -> (node, root) for those linked to another."""
+def point_links(points: DataFrame, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
+    """Distinct (fp long) -> edges (a, b) that connect all points linked to another."""
     levels = depth(points.count()) if levels is None else levels
     sample = np.zeros(0, np.uint64)
     if levels:
         sample = points.orderBy(F.xxhash64("fp")).limit(max(1024, SAMPLE << levels)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    return components(shard_links(shard_rows(points, grown(sample, levels), radius), radius))
+    return shard_links(shard_rows(points, grown(sample, levels), radius), radius)
 
 
-def groups(prints: DataFrame, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
+def linked_points(points: DataFrame, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
+    """Distinct (fp long) -> (node, root) for those linked to another."""
+    return components(point_links(points, radius, levels))
+
+
+def groups(prints: DataFrame, radius: int = RADIUS, levels: int | None = None, further: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(doc_id, fp), a written table -> (fp, root, component_id, members), for each fingerprint that more than one row has or that is linked.
 
-    component_id is the smallest doc_id reachable; null if all are null.
+    component_id is the smallest doc_id reachable; null if all are null. ``further`` makes more edges of the written ones.
     """
     points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
-    roots = linked_points(points.select("fp"), radius, levels).withColumnRenamed("node", "fp")
+    if further is None:
+        roots = linked_points(points.select("fp"), radius, levels)
+    else:
+        roots = components(further(written(point_links(points.select("fp"), radius, levels), "links")))
+    roots = roots.withColumnRenamed("node", "fp")
     points = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     points = written(points, "rooted")
     heads = written(points.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members")).where("members > 1"), "heads")
@@ -225,22 +247,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return df.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, percent: int | None = None) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that with the smallest id.
 
+    Texts are linked if their fingerprints are within the radius and, with ``percent``, if the Jaccard similarity of
+    their sets of shingles is so much or more, which two fingerprints of 64 bits can't tell (see ``shingles``). Null, empty and blank texts are copies of one another.
     If rows repeat that id, the one with the smallest hash of all columns stays. A group without any id keeps
-    one row as well. Columns and other rows are untouched.
+    one row as well. Columns and other rows are untouched; an empty table stays empty.
     """
 
     @F.pandas_udf("long")
     def prints_of(texts):
         return texts.map(lambda t: signed(fingerprint(t, width))).astype("int64")
 
+    def hashes(text: str | None) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *shingles(text, width)])
+
     row = docs.select(F.struct(*docs.columns).alias("_row"))
     own_id = F.col("_row")[id_col]
     marked = row.withColumns({"_fp": prints_of(F.col("_row")[text_col]), "_whole": F.xxhash64("_row")})
-    prints = written(marked.select(own_id.alias("doc_id"), F.col("_fp").alias("fp"), F.col("_whole").alias("whole")), "fingerprints")
-    found = groups(prints.select("doc_id", "fp"), radius)
+    if percent is None:
+        prints = written(marked.select(own_id.alias("doc_id"), F.col("_fp").alias("fp"), F.col("_whole").alias("whole")), "fingerprints")
+        found = groups(prints.select("doc_id", "fp"), radius)
+    else:
+        texts = row.select(own_id.alias("doc_id"), F.xxhash64("_row").alias("whole"), F.col("_row")[text_col].alias("text"))
+        prints = written(overlap.signatures(texts, hashes, lambda every: vote(every[i : i + TILE] for i in range(0, len(every), TILE))), "fingerprints")
+        found = groups(prints.select("doc_id", "fp"), radius, further=lambda near: overlap.links(prints, near, texts.select("whole", "text"), hashes, percent))
+        prints = prints.select("doc_id", "fp", "whole")
     # the row that stays: smallest id, then smallest hash; rows equal beyond that are dropped below
     heads = bounded_join(prints, found, "fp", "inner").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     heads = written(heads.groupBy("root").agg(F.min(F.struct("whole", "fp")).alias("m"), F.count("*").alias("n")), "kept")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from firmlake.llm import simhash, vectors
+from firmlake.llm import shingles, simhash, vectors
 from firmlake.llm.components import components, local_roots
 
 
@@ -133,3 +133,38 @@ def test_leaves_hold_all_that_is_near():
     assert len(own) == 3000 and len(asked) == len(row) < 3000 * 100
     d = ((x[:200, None] - x[None]) ** 2).sum(2)
     assert all((i, own[j]) in asked for i, j in zip(*(k.tolist() for k in np.nonzero(d <= 0.5)), strict=True))
+
+
+def test_deduplicated_by_similarity(spark, odd, monkeypatch):
+    """Against all pairs; leader by leader and in one step."""
+    rng = np.random.default_rng(9)
+    rows, n = [], 0
+    for size in (8, 40, 90, 200):
+        for _ in range(6):
+            base = [str(w) for w in rng.integers(0, 5000, size)]
+            passage = [str(w) for w in range(size)]
+            for k in range(6):
+                words = list(base)
+                for at in rng.choice(size, k * size // 150 + (k == 5), replace=False):
+                    words[int(at)] = "x" + str(n)
+                rows.append((n, " ".join(words)))
+                n += 1
+            rows.append((n, " ".join(passage + base)))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, rows[3][1].upper()), (n + 3, "a b"), (n + 4, "a b c")]
+    sets = {i: {w[k : k + 5] for w in [tuple((t or "").lower().split())] for k in range(max(1, len(w) - 4))} - {()} for i, t in rows}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    ids = list(sets)
+    a, b = np.array([(i, j) for i in ids for j in ids if i < j and ((prints[i] ^ prints[j]).bit_count() <= 2 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]).T
+    root = local_roots(len(ids), a, b)
+    want = sorted(int(i) for i in np.unique(root))
+    far = [(i, j) for i, j in zip(a, b, strict=True) if (prints[i] ^ prints[j]).bit_count() > 2]
+    assert len(far) > 20 and 30 < len(want) < len(ids) - 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (shingles.PAIRS, 0):
+        monkeypatch.setattr(shingles.links, "__defaults__", (most,))
+        got = simhash.deduplicated(docs, width=5, percent=80)
+        assert sorted(r.doc_id for r in got.collect()) == want
+    kept = simhash.deduplicated(odd, width=5, percent=80)
+    assert kept.columns == odd.columns and kept.count() == 4
+    assert simhash.deduplicated(odd.limit(0), width=5, percent=80).count() == 0

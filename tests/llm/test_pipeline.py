@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import corpus_pipeline
 from firmlake.llm import mixing, pieces, secrets, simhash
@@ -6,6 +7,12 @@ from firmlake.llm import mixing, pieces, secrets, simhash
 DATA = "/root/testdata/sf0.001"
 
 
+def shingle_set(text):
+    words = re.sub(r"[A-Z]+", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", words)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_stages(spark):
     """Each stage on what the one before it kept, against a plain version where there is one."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
@@ -15,7 +22,8 @@ def test_stages(spark):
     assert kept.columns == docs.columns and 0.7 * docs.count() < kept.count() <= docs.count()
 
     one = corpus_pipeline.simhash(spark, kept, DATA).cache()
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in kept.collect()}
+    prints = {r.doc_id: simhash.fingerprint(r.text, 5) for r in kept.collect()}
+    runs = {r.doc_id: shingle_set(r.text) for r in kept.collect()}
     root = {i: i for i in prints}
 
     def find(i):
@@ -24,7 +32,7 @@ def test_stages(spark):
     ids = sorted(prints)
     for a in ids:
         for b in ids:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+            if a < b and ((prints[a] ^ prints[b]).bit_count() <= 2 or 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b])):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert sorted(r.doc_id for r in one.collect()) == sorted(i for i in ids if find(i) == i)
