@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -309,6 +309,20 @@ def read_listing(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def read_object_listing(lines: DataFrame, key: str, order: str, column: str = "value") -> DataFrame:
+    """As ``read_listing``, with the ``symbol`` whose heading each line of an object's listing stands below.
+
+    ``key`` names the object, ``order`` the line within it. Lines above the first heading vanish; of headings
+    with one name in an object the last counts.
+    """
+    name = F.regexp_extract(F.btrim(column), r"^[0-9a-fA-F]+\s+<(.+)>:$", 1)
+    before = Window.partitionBy(key).orderBy(order)
+    df = lines.withColumns({"symbol": F.when(name != "", name), "_head": F.when(name != "", F.col(order))})
+    df = df.withColumns({"symbol": F.last("symbol", True).over(before), "_below": F.last("_head", True).over(before)})
+    df = df.withColumn("_last", F.max("_head").over(Window.partitionBy(key, "symbol"))).where("_below = _last")
+    return read_listing(df.drop("_head", "_below", "_last"), column)
+
+
 def listed(instructions: DataFrame) -> Decoder:
     """A decoder that looks instructions of ``read_listing`` up by address; bytes that the listing doesn't cover are data.
 

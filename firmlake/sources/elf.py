@@ -140,6 +140,15 @@ def program(parts: list[tuple[str, int, bytes, bool]], entry: int, machine: int
     return bytes(out)
 
 
+def loader(parts: list[tuple[int, bytes, bool]], entry: int = 0, machine: int = 94) -> bytes:
+    """An executable of (address, bytes, executable) parts with load segments alone; empty parts are left out."""
+    whole = bytearray(program([("", addr, data, code) for addr, data, code in parts if data], entry, machine))
+    ends = [SEGMENT.unpack_from(whole, 52 + 32 * k) for k in range(struct.unpack_from("<H", whole, 44)[0])]
+    struct.pack_into("<I", whole, 32, 0)
+    struct.pack_into("<HHH", whole, 46, 0, 0, 0)
+    return bytes(whole[: max(s[1] + s[4] for s in ends)])
+
+
 def sectioned(parts: list[tuple[str, int, bytes, bool]], symbols: list[tuple[str, int, int, int, str]] = (), entry: int = 0, machine: int = 94, relocatable: bool = False) -> bytes:
     """A file of named sections (name, address, bytes, code) without load segments, for tools that go by sections, with
     symbols (name, value, size, type, section) if given. In a relocatable file addresses are zero and values are offsets."""

@@ -194,3 +194,10 @@ def test_literals_and_strings(spark):
 def test_decoding_by_ranges(spark):
     rows = spark.createDataFrame([("x", BASE, bytearray(LEAF)), ("y", 0, bytearray(b"\x3d\xf0")), ("z", 0, None)], "key string, vaddr long, data binary")
     assert sorted((r.key, r.addr, r.mnemonic) for r in decode.decode_ranges(rows).collect()) == [("x", BASE, "entry"), ("x", BASE + 3, "retw.n"), ("y", 0, "nop.n")]
+
+
+def test_object_listing(spark):
+    text = ["4:\tf03d\tnop.n", "00000000 <first>:", "   0:\tf03d\tnop.n", "00000004  <gone>:", "   4:\tf03d\tnop.n", "   6:\tf00d\tret.n", "x", "00000010 <gone>:", "  10:\tf00d\tret.n", "00000020 <empty>:"]
+    rows = [(path, k, line) for path in ("a.o", "b.o") for k, line in enumerate(text[: 10 if path == "a.o" else 6])]
+    got = decode.read_object_listing(spark.createDataFrame(rows, "path string, n int, value string"), "path", "n").orderBy("path", "n")
+    assert [(r.path, r.symbol, r.addr, r.mnemonic) for r in got.collect()] == [("a.o", "first", 0, "nop.n"), ("a.o", "gone", 16, "ret.n"), ("b.o", "first", 0, "nop.n"), ("b.o", "gone", 4, "nop.n"), ("b.o", "gone", 6, "ret.n")]
