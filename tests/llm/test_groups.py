@@ -168,3 +168,40 @@ def test_deduplicated_by_similarity(spark, odd, monkeypatch):
     kept = simhash.deduplicated(odd, width=5, percent=80)
     assert kept.columns == odd.columns and kept.count() == 4
     assert simhash.deduplicated(odd.limit(0), width=5, percent=80).count() == 0
+
+
+def test_sets_joined_against_all_pairs():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        base = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(5)]
+        sets = []
+        for _ in range(int(rng.integers(1, 50))):
+            one = base[int(rng.integers(0, 5))].copy()
+            k = int(rng.integers(0, 1 + len(one) // 4))
+            one[rng.choice(len(one), k, replace=False)] = rng.integers(0, 1000, k)
+            sets.append(np.unique(one).astype(np.uint64))
+        names, own = np.unique(rng.integers(-50, 50, len(sets)) * 1000003, return_inverse=True)
+        for percent in (50, 80, 100):
+            met = [(own[i], own[j]) for i in range(len(sets)) for j in range(i) if shingles.alike(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), percent)]
+            root = local_roots(len(names), *np.array(met, int).reshape(-1, 2).T)
+            a, b = shingles.joined(sets, names[own], percent)
+            assert dict(zip(a.tolist(), b.tolist(), strict=True)) == {int(names[k]): int(names[r]) for k, r in enumerate(root) if k != r}
+
+
+def test_no_table_of_pairs(spark, monkeypatch):
+    """Texts that share bands but aren't alike: no table grows with the square of their number."""
+    common, rows = [f"c{k}" for k in range(60)], []
+    for k in range(150):
+        rows.append((k, " ".join(common + [f"x{k}y{j}" for j in range(20)])))
+    made = []
+
+    def counting(df, name, *rest):
+        out = plain(df, name, *rest)
+        made.append((name, out.count()))
+        return out
+
+    plain = shingles.written
+    monkeypatch.setattr(shingles, "written", counting)
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80)
+    assert kept.count() == len(rows) and dict(made)["sids"] == 150
+    assert max(n for _, n in made) < 30 * 150
