@@ -1,6 +1,7 @@
-"""The signature corpus: a builds table, and a functions table in Parquet partitioned by chip, rules version and build.
+"""The signature corpus: a builds table, and a functions table in Parquet partitioned by chip, rules version and batch.
 
-Plain Parquet has no row updates, so a build is replaced, removed or collected by its partition folder. A build's id is a hash of its
+A batch is what one ``add`` wrote for a chip and rules version, any number of builds in few files. Plain Parquet has no row updates, so a build is
+replaced or removed by writing the rest of its batch anew; stale builds are collected by whole batches. A build's id is a hash of its
 natural key, so building it again replaces it, and nothing numbers builds centrally.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from firmlake.errors import CorpusMissing, UsageError
 from firmlake.functions.scalar import config_hash
 
+PARTS = ["chip", "canon_version", "batch"]
 KEY = ["idf_version", "config_hash", "chip", "toolchain", "canon_version"]
 BUILDS = "build_id long, idf_version string, config_hash string, chip string, toolchain string, config_name string, config_text string, canon_version int, objdump_version string, created_at string"
 FUNCTIONS = "name string, component string, object string, origin string, vaddr long, size long, instruction_count long, digest string, canonical_text string, raw_text string, call_edges array<string>, literals array<long>, immediates array<long>, indirect_calls long, branch_count long, prologue string, strings array<string>, chip string, canon_version int, build_id long"
@@ -46,14 +48,23 @@ class Corpus:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def _table(self, name: str, schema: str) -> DataFrame:
+        """The table with its batch; builds that have a folder of their own, as earlier versions wrote them, are read as well, their batch null."""
         kind = T._parse_datatype_string(schema)
-        return self.spark.read.schema(kind).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], kind)
+        rows = self.spark.createDataFrame([], T.StructType([*kind.fields, T.StructField("batch", T.StringType())]))
+        if self._exists(f"batches/{name}"):
+            rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/batches/{name}")
+        if self._exists(name):
+            rows = rows.unionByName(self.spark.read.schema(kind).parquet(f"{self.path}/{name}").withColumn("batch", F.lit(None).cast("string")))
+        return rows
 
     def builds(self) -> DataFrame:
-        return self._table("builds", BUILDS)
+        return self._table("builds", BUILDS).drop("batch")
 
     def functions(self) -> DataFrame:
-        return self._table("functions", FUNCTIONS)
+        return self._table("functions", FUNCTIONS).drop("batch")
+
+    def _write(self, rows: DataFrame, path: str, *order: str) -> None:
+        rows.sortWithinPartitions(*PARTS, *order).write.partitionBy(*PARTS).parquet(f"{self.path}/{path}")
 
     def add(self, builds: DataFrame, functions: DataFrame) -> None:
         """Insert builds (without id and hash) with their functions, ``functions`` naming builds by ``build_key``, as ``builds`` does.
@@ -65,18 +76,37 @@ class Corpus:
         rows = functions.join(keyed.select("build_key", "build_id", "chip", "canon_version"), "build_key").drop("build_key")
         names = [f.name for f in T._parse_datatype_string(FUNCTIONS).fields]
         rows = rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast(T._parse_datatype_string(FUNCTIONS)[n].dataType).alias(n) for n in names])
-        parts, stage = ["chip", "canon_version", "build_id"], f"staged-{uuid.uuid4().hex}"
-        rows.repartition(*parts).sortWithinPartitions(*parts, "digest").write.partitionBy(*parts).parquet(f"{self.path}/{stage}/functions")
-        keyed.select(*[f.name for f in T._parse_datatype_string(BUILDS).fields]).write.partitionBy(*parts).parquet(f"{self.path}/{stage}/builds")
-        # only what has been written whole takes the place of what was there
-        for r in self.spark.read.schema(T._parse_datatype_string(BUILDS)).parquet(f"{self.path}/{stage}/builds").select(*parts).distinct().collect():
-            for name in ("functions", "builds"):
+        stage, batch = f"staged-{uuid.uuid4().hex}", uuid.uuid4().hex
+        self._write(rows.withColumn("batch", F.lit(batch)), f"{stage}/functions", "digest")
+        self._write(keyed.select(*[f.name for f in T._parse_datatype_string(BUILDS).fields]).withColumn("batch", F.lit(batch)), f"{stage}/builds")
+        new = self.spark.read.schema(T.StructType([*T._parse_datatype_string(BUILDS).fields, T.StructField("batch", T.StringType())])).parquet(f"{self.path}/{stage}/builds")
+        self._replace(new.select("build_id").distinct(), stage)
+
+    def _replace(self, gone: DataFrame, stage: str) -> None:
+        """Take the builds named by ``gone`` out, and bring in what is staged. The rest of their batches is staged first, so only what has been
+        written whole takes the place of what was there."""
+        held = self._table("builds", BUILDS).join(gone, "build_id", "left_semi")
+        touched = [tuple(r) for r in held.where("batch IS NOT NULL").select(*PARTS).distinct().collect()]
+        alone = held.where("batch IS NULL").select("chip", "canon_version", "build_id").distinct().collect()
+        if touched:
+            which = self.spark.createDataFrame(touched, "chip string, canon_version int, batch string")
+            for name, schema, order in (("functions", FUNCTIONS, ["digest"]), ("builds", BUILDS, [])):
+                rest = self._table(name, schema).join(F.broadcast(which), PARTS, "left_semi").join(gone, "build_id", "left_anti")
+                self._write(rest, f"{stage}/rest/{name}", *order)
+        for name in ("functions", "builds"):
+            for r in alone:
                 folder = f"{name}/chip={r.chip}/canon_version={r.canon_version}/build_id={r.build_id}"
-                if self._exists(f"{stage}/{folder}"):
-                    self._move(folder, f"{stage}/old/{folder}")
-                    self._move(f"{stage}/{folder}", folder)
-                else:
-                    self._delete(folder)
+                self._move(folder, f"{stage}/old/{folder}")
+            for chip, version, batch in touched:
+                folder = f"{name}/chip={chip}/canon_version={version}/batch={batch}"
+                self._move(f"batches/{folder}", f"{stage}/old/{folder}")
+                self._move(f"{stage}/rest/{folder}", f"batches/{folder}")
+            if self._exists(f"{stage}/{name}"):
+                kind = T._parse_datatype_string("chip string, canon_version int, batch string")
+                made = self.spark.read.schema(T.StructType([*T._parse_datatype_string(BUILDS).fields[:1], *kind.fields])).parquet(f"{self.path}/{stage}/{name}")
+                for chip, version, batch in (tuple(r) for r in made.select(*PARTS).distinct().collect()):
+                    folder = f"{name}/chip={chip}/canon_version={version}/batch={batch}"
+                    self._move(f"{stage}/{folder}", f"batches/{folder}")
         self._delete(stage)
 
     def _move(self, folder: str, to: str) -> None:
@@ -118,9 +148,7 @@ class Corpus:
         return builds, n
 
     def _drop(self, builds: DataFrame) -> None:
-        for r in builds.select("chip", "canon_version", "build_id").collect():
-            for name in ("functions", "builds"):
-                self._delete(f"{name}/chip={r.chip}/canon_version={r.canon_version}/build_id={r.build_id}")
+        self._replace(builds.select("build_id").distinct(), f"staged-{uuid.uuid4().hex}")
 
 
 def current_builds(builds: DataFrame, chip: str, canon_version: int) -> DataFrame:

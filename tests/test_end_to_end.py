@@ -180,3 +180,26 @@ def test_sqlite_import(spark, tmp_path):
     assert builds.count() == 3
     rows = functions.orderBy("build_key").collect()
     assert [(r.build_key, list(r.literals), list(r.call_edges)) for r in rows] == [(str(k), [1, 2], ["CALL"]) for k in (1, 2, 9)]
+
+
+def test_many_builds_in_few_files(spark, tmp_path):
+    """Files don't grow with builds; one of many is replaced, removed or collected, the others stay; folders of earlier versions are read."""
+    corpus = Corpus(spark, f"file://{tmp_path}/corpus")
+    about = spark.range(300).selectExpr("concat('b', id) build_key", "concat('v', id) idf_version", "'default' config_name", "'' config_text", "'esp32' chip", "'gcc' toolchain", f"if(id % 2 = 0, {canon.VERSION}, 2) canon_version", "string(null) objdump_version")
+    found = spark.range(600).selectExpr("concat('b', id % 300) build_key", "concat('f', id) name", "id size", "string(id) digest")
+    corpus.add(about, found)
+    files = len(list((tmp_path / "corpus").rglob("*.parquet")))
+    assert files < 60 and corpus.builds().count() == 300 and corpus.functions().count() == 600
+    corpus.add(about.where("build_key = 'b4'"), found.where("name = 'f4'"))
+    assert corpus.builds().count() == 300 and corpus.functions().count() == 599
+    assert corpus.remove(corpus.select_one("v6"), dry=False) == 2
+    assert corpus.builds().count() == 299 and sorted(r.name for r in corpus.functions().where("name IN ('f4', 'f304', 'f6', 'f306', 'f8')").collect()) == ["f4", "f8"]
+    assert corpus.collect_stale(canon.VERSION, dry=False) == (150, 300) and corpus.builds().count() == 149 and corpus.functions().count() == 297
+    old = Corpus(spark, f"file://{tmp_path}/old")
+    for name, rows in (("builds", corpus.builds()), ("functions", corpus.functions())):
+        rows.where("pmod(build_id, 20) = 0").write.partitionBy("chip", "canon_version", "build_id").parquet(f"{tmp_path}/old/{name}")
+    n = old.builds().count()
+    version = old.builds().first().idf_version
+    assert n and old.remove(old.select_one(version), dry=False) == 2 - (version == "v4") and old.builds().count() == n - 1
+    old.add(about.where("canon_version <> 2"), found)
+    assert old.builds().count() == 150 and old.functions().count() == 300
