@@ -403,7 +403,8 @@ def _made(rows: DataFrame, make) -> DataFrame:
                 paths, contents = zip(*make(key, payload), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
 
-    return rows.mapInArrow(run, "path string, content binary")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables are read by one task, which all that follows would stay in
+    return rows.repartition(tasks).mapInArrow(run, "path string, content binary")
 
 
 def _images(spark, d):
