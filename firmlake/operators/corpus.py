@@ -50,9 +50,10 @@ class Corpus:
     def _table(self, name: str, schema: str) -> DataFrame:
         """The table with its batch; builds that have a folder of their own, as earlier versions wrote them, are read as well, their batch null."""
         kind = T._parse_datatype_string(schema)
-        rows = self.spark.createDataFrame([], T.StructType([*kind.fields, T.StructField("batch", T.StringType())]))
+        fields = [*kind.fields, T.StructField("batch", T.StringType())]
+        rows = self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
         if self._exists(f"batches/{name}"):
-            rows = self.spark.read.schema(rows.schema).parquet(f"{self.path}/batches/{name}")
+            rows = self.spark.read.schema(T.StructType(fields)).parquet(f"{self.path}/batches/{name}")
         if self._exists(name):
             rows = rows.unionByName(self.spark.read.schema(kind).parquet(f"{self.path}/{name}").withColumn("batch", F.lit(None).cast("string")))
         return rows

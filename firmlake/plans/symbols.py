@@ -21,24 +21,25 @@ LOW_COVERAGE = 0.5
 def analysed(files: DataFrame, slot: str | None = None, decoder: Decoder = builtin, memo: str | None = None) -> dict[str, DataFrame]:
     """(path, content) -> parsed, segments, boundaries, instructions, forms.
 
-    With ``memo``, recovery runs once and is read from that table by all that follows; without it, each use recovers anew.
+    With ``memo``, files are parsed and recovered once and read from tables by all that follows; without it, each use does so anew.
     """
-    parsed = flash.parse(files, slot)
+    parsed = graph.settled(flash.parse(files, slot)) if memo else flash.parse(files, slot)
     segments = flash.segment_bytes(parsed.where("error IS NULL AND chip IS NOT NULL"), files)
-    recovered = remembered(files, memo, slot, decoder) if memo else recover.recovered(segments.where("length > 0"), decoder)
+    recovered = remembered(files, memo, slot, decoder, parsed) if memo else recover.recovered(segments.where("length > 0"), decoder)
     code = recover.instructions(recovered)
     keyed = code.withColumn("fn", F.concat_ws(":", "image_id", F.col("fn").cast("string")))
     return {"parsed": parsed, "segments": segments, "boundaries": recover.boundaries(recovered), "instructions": code, "forms": canon.forms(keyed)}
 
 
-def remembered(files: DataFrame, memo: str, slot: str | None = None, decoder: Decoder = builtin) -> DataFrame:
+def remembered(files: DataFrame, memo: str, slot: str | None = None, decoder: Decoder = builtin, parsed: DataFrame | None = None) -> DataFrame:
     """(path, content) -> one recovered row an image, with its sha256; rows of a memo table are reused, new ones are added to it.
 
     The memo is keyed by content, slot, the versions of recovery and of the rules, and the decoder, so a file that was seen under another
     name isn't analysed again, and no decoder gets another's results. The chosen image's offset and chip are kept with the row.
+    ``parsed``: the files as parsed, if they are already.
     """
     spark, version = files.sparkSession, ":".join([recover.VERSION, str(canon.VERSION), f"{decoder.__module__}.{decoder.__qualname__}", slot or ""])
-    parsed = flash.parse(files, slot).where("error IS NULL AND chip IS NOT NULL")
+    parsed = (flash.parse(files, slot) if parsed is None else parsed).where("error IS NULL AND chip IS NOT NULL")
     try:
         known = spark.read.parquet(memo)
     except AnalysisException as e:
@@ -55,7 +56,11 @@ def remembered(files: DataFrame, memo: str, slot: str | None = None, decoder: De
 
 def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str | None = None, canon_version: int = canon.VERSION) -> dict[str, DataFrame]:
     """Identified and unidentified functions, regions, coverage and warnings. Each image is matched against the builds of its own chip;
-    with ``chip``, only images of that one are."""
+    with ``chip``, only images of that one are.
+
+    What grows with the corpus, as rivals, builds and signatures of a digest, is held once a digest, and joins a function's row only
+    where it is asked for; ``rivals`` and ``builds`` count them.
+    """
     if chip is None:
         chips = sorted(r["chip"] for r in analysis["parsed"].where("chip IS NOT NULL AND error IS NULL").select("chip").distinct().collect())  # one of a few supported
         if not chips:
@@ -69,15 +74,19 @@ def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str | None = N
     own = analysis["parsed"].where(F.col("chip") == chip).select("image_id").distinct()
     functions = analysis["boundaries"].join(own, "image_id", "left_semi").withColumnRenamed("confidence", "boundary_confidence").withColumn("fn", fn).join(forms, "fn", "left")
     signatures = match.current_signatures(corpus.functions(), builds, chip, canon_version, forms.select("digest"))
-    found = match.identify(functions, match.preferred(signatures).join(match.with_builds(match.signature_lists(signatures), builds), "digest", "left"))
-    found = found.withColumn("sources", F.array_sort(F.array_distinct(F.transform(F.filter("signatures", lambda s: s["name"] == F.col("name")), lambda s: s["label"]))))
+    hits = match.preferred(signatures).join(match.with_builds(match.signature_lists(signatures), builds), "digest", "left")
+    hits = graph.settled(hits.withColumn("sources", F.array_sort(F.array_distinct(F.transform(F.filter("signatures", lambda s: s["name"] == F.col("name")), lambda s: s["label"])))))
+    lists = hits.select("digest", "ambiguous_with", "shared_components", "source_ids", "signatures", "sources")
+    found = match.identify(functions, hits.select("digest", "name", "component", "origin", "confidence", F.size("ambiguous_with").alias("rivals"), F.size("shared_components").alias("shares"), F.size("source_ids").alias("builds")))
     entries = functions.select(F.col("fn").alias("entry"))
     calls = functions.select("image_id", F.col("fn").alias("src"), F.explode("call_targets").alias("to")).select("src", F.concat_ws(":", "image_id", F.col("to").cast("string")).alias("dst"))
     degrees = graph.degrees(calls, entries).withColumnRenamed("entry", "fn")
     callees = graph.known_callees(graph.known_edges(calls, entries), found.where("identified").select(F.col("fn").alias("entry"), "name")).withColumnRenamed("src", "fn").withColumnRenamed("callees", "callees_known")
     found = graph.settled(found.join(degrees, "fn").join(callees, "fn", "left"))  # all tables below are read from it
     empty = F.array().cast("array<string>")
-    members = layout.anchors(found.select(F.col("image_id").alias("image"), F.col("entry").alias("vaddr"), "size", "component", "identified", F.coalesce("ambiguous_with", empty).alias("ambiguous_with"), F.coalesce("shared_components", empty).alias("shared_components")))
+    some = lambda count: F.when(F.col(count) > 0, F.array(F.lit(""))).otherwise(empty)
+    members = layout.anchors(found.select(F.col("image_id").alias("image"), F.col("entry").alias("vaddr"), "size", "component", "identified", some("rivals").alias("ambiguous_with"), some("shares").alias("shared_components")))
+    found = found.drop("shares")
     likely = layout.likely_components(members).select(F.col("image").alias("image_id"), F.col("vaddr").alias("entry"), "likely_component")
     coverage = layout.coverage(members)
     matched = F.col("matched") / F.col("total")
@@ -85,19 +94,20 @@ def symbols(analysis: dict[str, DataFrame], corpus: Corpus, chip: str | None = N
     parsing = analysis["parsed"].select(F.col("image_id").alias("image"), F.col("warnings").alias("parsing")).dropDuplicates(["image"])
     warnings = coverage.join(doubts, "image", "left").join(parsing, "image", "left").select("image", F.concat(F.coalesce("parsing", empty), F.coalesce("cautions", empty), F.array_compact(F.array(F.when(F.col("matched") == 0, F.lit("nothing was identified")), F.when(matched < LOW_COVERAGE, F.lit("less than half of the functions were identified"))))).alias("warnings"))
     return {
-        "identified": found.where("identified").orderBy("image_id", "entry"),
-        "unidentified": found.where("NOT identified").join(likely, ["image_id", "entry"], "left").orderBy("image_id", F.desc("size"), F.desc("in_degree"), "entry"),
+        "identified": found.where("identified").join(lists, "digest", "left").orderBy("image_id", "entry"),
+        "unidentified": found.where("NOT identified").join(lists, "digest", "left").join(likely, ["image_id", "entry"], "left").orderBy("image_id", F.desc("size"), F.desc("in_degree"), "entry"),
         "regions": layout.regions(members),
         "coverage": coverage,
         "by_component": layout.by_component(members),
         "warnings": warnings,
         "builds": builds,
         "labels": builds.select("build_id", "idf_version", describe_build(F.col("idf_version"), F.col("config_name"), F.col("config_hash")).alias("label")),
-        "summary": coverage.join(versions_of(found, builds), "image", "left").withColumn("versions", F.coalesce("versions", F.lit(0))),
+        "summary": coverage.join(versions_of(found, hits, builds), "image", "left").withColumn("versions", F.coalesce("versions", F.lit(0))),
     }
 
 
-def versions_of(found: DataFrame, builds: DataFrame) -> DataFrame:
-    """(image, versions): how many versions the identified functions of an image come from."""
-    rows = found.where("identified").select(F.col("image_id").alias("image"), F.explode("source_ids").alias("build_id"))
-    return rows.join(builds.select("build_id", "idf_version"), "build_id").groupBy("image").agg(F.countDistinct("idf_version").alias("versions"))
+def versions_of(found: DataFrame, hits: DataFrame, builds: DataFrame) -> DataFrame:
+    """(image, versions): how many versions the identified functions of an image come from. Builds become versions digest by digest, not function by function."""
+    sources = hits.select("digest", F.explode("source_ids").alias("build_id")).join(builds.select("build_id", "idf_version"), "build_id").select("digest", "idf_version").distinct()
+    rows = found.where("identified").select(F.col("image_id").alias("image"), "digest").distinct().join(sources, "digest")
+    return rows.groupBy("image").agg(F.countDistinct("idf_version").alias("versions"))

@@ -392,6 +392,9 @@ def q_xor_checksum(spark, d):
     return S.table(spark, d, "benchmark").select("item_id", F.coalesce(checksum, F.lit(0xEF)).alias("checksum"))
 
 
+MADE = 1 << 20  # bytes of made files handed on together
+
+
 def _made(rows: DataFrame, make) -> DataFrame:
     """Rows (key, payload) -> (path, content) of the files that ``make`` gives for each."""
 
@@ -399,9 +402,15 @@ def _made(rows: DataFrame, make) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for key, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                paths, contents = zip(*make(key, payload), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
+            made, held = [], 0
+            for key, payload in zip(*batch.columns, strict=True):
+                made += make(key.as_py(), payload.as_py())
+                held += len(made[-1][1])
+                if held > MADE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"])
+                    made, held = [], 0
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.string(), pa.binary()), strict=True)], ["path", "content"])
 
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small tables are read by one task, which all that follows would stay in
     return rows.repartition(tasks).mapInArrow(run, "path string, content binary")
@@ -698,7 +707,7 @@ def _symbols(spark, d):
 @query("WITH " + SG + """SELECT path, entry::BIGINT AS entry, name, component, origin, CASE WHEN rivals = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence, rivals::INT AS rivals, builds::INT AS builds, (CASE WHEN off = 16 THEN 1 WHEN f = 0 AND slots > 3 THEN 1 ELSE 0 END)::BIGINT AS in_degree FROM pf JOIN bn USING (txt)""")
 def q_symbols_identified(spark, d):
     out, paths = _symbols(spark, d)
-    return out["identified"].join(paths, F.col("image_id") == F.col("image")).select("path", "entry", "name", "component", "origin", "confidence", F.size("ambiguous_with").alias("rivals"), F.size("source_ids").alias("builds"), "in_degree")
+    return out["identified"].join(paths, F.col("image_id") == F.col("image")).select("path", "entry", "name", "component", "origin", "confidence", "rivals", "builds", "in_degree")
 
 
 @query("WITH " + SG + """, u AS (SELECT pf.path, pf.entry, pf.size, CASE WHEN off = 16 THEN 1 ELSE 0 END AS deg FROM pf LEFT JOIN bn USING (txt) WHERE bn.txt IS NULL)

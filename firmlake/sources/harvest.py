@@ -11,13 +11,14 @@ from pyspark.sql import types as T
 
 from firmlake.errors import ParseError
 from firmlake.functions.scalar import bundled_version, component_of, toolchain_id
-from firmlake.operators import canon
+from firmlake.operators import canon, graph
 from firmlake.operators.match import carry_components
 from firmlake.sources.decode import INSTRUCTION, Decoder, builtin, c_string
 from firmlake.sources.elf import Elf, ar_members
 
 NAMES = "path string, member string, value long, name string"
 FUNCTION = "fn string, path string, member string, ord int, name string, origin string, vaddr long"
+TOGETHER = 1024  # instruction rows handed on together, or as many more as an object has
 ROWS = f"{FUNCTION}, {INSTRUCTION}, literal_text string"
 
 
@@ -52,16 +53,20 @@ def harvested(files: DataFrame, decoder: Decoder = builtin) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(kind)
+        held = []
         for batch in batches:
             for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 archive = data[:8] == b"!<arch>\n"
                 for member, body in ar_members(data) if archive else [("", data)]:
                     try:
-                        rows = list(functions_of(body, path, member, "archive" if archive else "linked", decoder))
+                        held += list(functions_of(body, path, member, "archive" if archive else "linked", decoder))
                     except (ParseError, IndexError, ValueError):
                         continue
-                    if rows:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    if len(held) >= TOGETHER:
+                        yield pa.RecordBatch.from_pylist(held, schema=schema)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
 
     return files.select("path", "content").mapInArrow(run, kind)
 
@@ -73,6 +78,7 @@ def function_names(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        held = []
         for batch in batches:
             for path, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for member, body in ar_members(data) if data[:8] == b"!<arch>\n" else [("", data)]:
@@ -80,7 +86,10 @@ def function_names(files: DataFrame) -> DataFrame:
                         last = {f["value"]: f["name"] for f in Elf(body).functions() if f["value"]}
                     except (ParseError, IndexError, ValueError):
                         continue
-                    yield pa.RecordBatch.from_pylist([{"path": path, "member": member, "value": v, "name": n} for v, n in last.items()], schema=to_arrow_schema(kind))
+                    held += [{"path": path, "member": member, "value": v, "name": n} for v, n in last.items()]
+            if held:
+                yield pa.RecordBatch.from_pylist(held, schema=to_arrow_schema(kind))
+                held = []
 
     return files.select("path", "content").mapInArrow(run, kind)
 
@@ -101,6 +110,7 @@ def signatures(rows: DataFrame, tag: str = canon.TAG, names: DataFrame | None =
     """
     about = rows.select("fn", "path", "member", "ord", "name", "origin", "vaddr").distinct()
     df = canon.forms(rows.select(*[c.split()[0] for c in canon.SCHEMA.split(", ")]), tag).join(about, "fn")
+    df = graph.settled(df)  # read five times below
     if names is not None:
         df = named_edges(df, names)
     df = df.withColumn("component", F.when(F.col("origin") == "archive", component_of(F.col("path")))).withColumn("object", F.nullif(F.col("member"), F.lit("")))

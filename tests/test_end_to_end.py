@@ -76,6 +76,22 @@ def test_symbols(spark, tmp_path):
     assert corpus.collect_stale(canon.VERSION + 1, dry=False) == (1, 1) and corpus.builds().count() == 0
 
 
+def test_rows_of_functions_do_not_grow_with_builds(spark, tmp_path):
+    """Lists of a digest's builds and rivals stay out of what is kept a function, and join it whole where they are asked for."""
+    corpus = Corpus(spark, f"file://{tmp_path}/corpus")
+    about = spark.range(30).selectExpr("concat('b', id) build_key", "concat('v', id % 3) idf_version", "'default' config_name", "string(id) config_text", "'esp32' chip", "'gcc' toolchain", f"{canon.VERSION} canon_version", "string(null) objdump_version")
+    files = spark.createDataFrame([("img", bytearray(X.image(code=LEAF + OTHER + bytes(48), entry=0x400D0020)))], "path string, content binary")
+    analysis = S.analysed(files, memo=f"file://{tmp_path}/memo")
+    digest = analysis["forms"].where("fn LIKE '%:1074593824'").first().digest
+    corpus.add(about, about.selectExpr("build_key", "concat('f', int(substr(build_key, 2)) % 5) name", "'linked' origin", f"'{digest}' digest"))
+    out = S.symbols(analysis, corpus, "esp32")
+    kept = [line for line in out["coverage"]._jdf.queryExecution().analyzed().toString().split("\n") if "LogicalRDD" in line]
+    assert kept and not any(c in line for line in kept for c in ("source_ids", "signatures", "ambiguous_with"))
+    found = out["identified"].collect()
+    assert [(r.name, r.rivals, r.builds, len(r.ambiguous_with), len(r.source_ids), len(r.signatures)) for r in found] == [("f0", 4, 6, 4, 6, 30)]
+    assert out["summary"].first().versions == 3
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.bin").write_bytes(X.image())

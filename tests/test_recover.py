@@ -201,3 +201,13 @@ def test_object_listing(spark):
     rows = [(path, k, line) for path in ("a.o", "b.o") for k, line in enumerate(text[: 10 if path == "a.o" else 6])]
     got = decode.read_object_listing(spark.createDataFrame(rows, "path string, n int, value string"), "path", "n").orderBy("path", "n")
     assert [(r.path, r.symbol, r.addr, r.mnemonic) for r in got.collect()] == [("a.o", "first", 0, "nop.n"), ("a.o", "gone", 16, "ret.n"), ("b.o", "first", 0, "nop.n"), ("b.o", "gone", 4, "nop.n"), ("b.o", "gone", 6, "ret.n")]
+
+
+def test_small_images_are_dealt_to_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"i{k}", BASE, 0, BASE, True, "iram", 0, bytearray(LEAF + bytes(3) + LEAF)) for k in range(40)]
+    segments = spark.createDataFrame(rows, "image_id string, entry_addr long, index int, load_addr long, executable boolean, region string, file_offset long, data binary")
+    found = recover.recovered(segments).select("image_id", F.size("raw").alias("n"), F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.image_id, r.n) for r in found) == sorted((f"i{k}", 2) for k in range(40))
+    assert len({r.task for r in found}) > 1
