@@ -212,3 +212,15 @@ def test_toxicity(spark, odd):
     assert toxicity.scored(odd, model).count() == 10 and toxicity.accepted(odd, model).columns == odd.columns
     none = toxicity.fit(odd.select("doc_id", "text", "lang"), labels.where("false"))
     assert {r.predicted for r in toxicity.scored(odd, none).collect()} == {0}
+
+
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """However many and long they are; shards and reruns on other partitions give the same model."""
+    rows = [(k, f"w{k % 50} v{k % 31} {'scum' if k % 2 else 'fine'} u{k}", "en") for k in range(4000)] + [(4001, "long words " * 60_000 + "scum", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    found = toxicity.encoded(docs, labels)
+    assert found.count() == 4001 and found.selectExpr("max(octet_length(buckets))").first()[0] == 4 * 120_001
+    models = [toxicity.fit(d, labels, shard_rows=800) for d in (docs, docs.repartition(7))]
+    assert (models[0].embeddings == models[1].embeddings).all() and (models[0].thresholds == models[1].thresholds).all()
+    assert sum((models[0].score(text) >= 0.5) == k % 2 for k, text, _ in rows[::50] + rows[-1:]) > 0.97 * 81
