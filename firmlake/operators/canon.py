@@ -71,11 +71,13 @@ def lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def forms(rows: DataFrame, tag: str = TAG) -> DataFrame:
+def forms(rows: DataFrame, tag: str = TAG, keep: tuple[str, ...] = ()) -> DataFrame:
     """(fn, canonical_text, digest, raw_text, ...): one row a function that has instructions.
 
-    Order is by address throughout. Strings and literals are recorded, never hashed.
+    Order is by address throughout. Strings and literals are recorded, never hashed. ``keep``: columns, the same in all rows of a function,
+    that stay. Functions are dealt to as many tasks as there are shuffle partitions, as the windows cost far more than their bytes tell the planner.
     """
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fn")
 
     def ordered(value: str, condition: str | None = None):
         item = F.struct("addr", F.col(value).alias("v"))
@@ -95,6 +97,7 @@ def forms(rows: DataFrame, tag: str = TAG) -> DataFrame:
         F.flatten(ordered("numbers")).alias("immediates"),
         ordered("literal_text", "literal_text <> ''").alias("strings"),
         F.when((F.min_by("cls", "addr") == "entry") | F.bool_or((F.col("cls") == "return") & F.col("mnemonic").startswith("retw")), "windowed").otherwise("call0").alias("prologue"),
+        *[F.first(c).alias(c) for c in keep],
     )
     return df.withColumn("digest", tagged_digest(F.col("canonical_text"), tag))
 

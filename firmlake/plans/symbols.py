@@ -48,8 +48,8 @@ def remembered(files: DataFrame, memo: str, slot: str | None = None, decoder: De
         known = None
     fresh = flash.memo_missing(parsed, known, version) if known is not None else parsed
     rows = recover.recovered(flash.segment_bytes(fresh, files).where("length > 0"), decoder)
-    chosen = fresh.select("image_id", "sha256", "chip", F.get("images", F.col("selected_image"))["file_offset"].alias("image_offset"))
-    rows = rows.join(chosen, "image_id").dropDuplicates(["sha256"]).withColumn("version", F.lit(version))
+    chosen = fresh.select("image_id", "sha256", "chip", F.get("images", F.col("selected_image"))["file_offset"].alias("image_offset")).dropDuplicates(["sha256"])
+    rows = rows.join(chosen, "image_id").withColumn("version", F.lit(version))
     rows.write.mode("append").parquet(memo)
     return spark.read.parquet(memo).where(F.col("version") == version).join(parsed.select("sha256").distinct(), "sha256", "left_semi")
 

@@ -108,11 +108,10 @@ def signatures(rows: DataFrame, tag: str = canon.TAG, names: DataFrame | None =
 
     Archive copies and linked copies both stay, on purpose.
     """
-    about = rows.select("fn", "path", "member", "ord", "name", "origin", "vaddr").distinct()
-    df = canon.forms(rows.select(*[c.split()[0] for c in canon.SCHEMA.split(", ")]), tag).join(about, "fn")
-    df = graph.settled(df)  # read five times below
+    about = ("path", "member", "ord", "name", "origin", "vaddr")
+    df = graph.settled(canon.forms(rows.select(*[c.split()[0] for c in canon.SCHEMA.split(", ")], *about), tag, about))  # read several times below
     if names is not None:
-        df = named_edges(df, names)
+        df = graph.settled(named_edges(df, names))  # or the files would be read for names again
     df = df.withColumn("component", F.when(F.col("origin") == "archive", component_of(F.col("path")))).withColumn("object", F.nullif(F.col("member"), F.lit("")))
     archived = df.where("origin = 'archive'")
     linked = carry_components(df.where("origin = 'linked'"), archived.select("name", "component", "path", "member", "ord"))

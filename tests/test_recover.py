@@ -211,3 +211,29 @@ def test_small_images_are_dealt_to_tasks(spark):
     found = recover.recovered(segments).select("image_id", F.size("raw").alias("n"), F.spark_partition_id().alias("task")).collect()
     assert sorted((r.image_id, r.n) for r in found) == sorted((f"i{k}", 2) for k in range(40))
     assert len({r.task for r in found}) > 1
+
+
+def test_images_that_share_code_are_explored_once(monkeypatch):
+    explore, seen, explored = recover.Places.explore, [], recover.Explored()
+    monkeypatch.setattr(recover.Places, "explore", lambda self, entry: seen.append(entry) or explore(self, entry))
+    code = bytes.fromhex("20000d40 364100 81feff e00800 1df0")  # the literal, and a function that reads it
+
+    def image(literal, data, offset):
+        places = recover.Places([(BASE, struct.pack("<I", literal) + code[4:], True, "iram", offset), (0x3FFB0000, data, False, "dram", 64)])
+        found = explored(places, BASE + 4)
+        row, rows = recover.located(places, *found["bodies"][0])
+        return row["file_offset"], [(i["literal_value"], i["literal_text"]) for i in rows if i["cls"] == "literal_load"]
+
+    assert image(0x3FFB0000, b"the first\0", 32) == (36, [(0x3FFB0000, "the first")])
+    assert image(0x3FFB0000, b"the other\0", 96) == (100, [(0x3FFB0000, "the other")]) and len(seen) == 1
+    assert image(0x3FFB0004, b"the first\0", 32) == (36, [(0x3FFB0004, "first")]) and len(seen) == 2  # other code
+    image(0x3FFB0000, struct.pack("<I", BASE + 12), 32)
+    assert len(seen) == 3  # a further seed
+
+
+def test_what_is_remembered_of_code_is_bounded(monkeypatch):
+    monkeypatch.setattr(recover, "SHARED", 64)
+    explored = recover.Explored()
+    for k in range(8):
+        explored(recover.Places([(BASE, LEAF + bytes([0] * 10 + [k]), True, "iram", 0)]), BASE)
+    assert 0 < explored.held == sum(len(seed) for _, seed in explored.found) <= 64
