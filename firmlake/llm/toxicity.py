@@ -15,12 +15,15 @@ from hashlib import blake2b
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firmlake.llm.common import bounded_join, crc_mod, flat_arrow, map_rows, tidy, written
+from firmlake.llm.common import crc_mod, flat_arrow, map_rows, tidy, written
 
 SHARD_ROWS, SHARD_BYTES = 4096, 4 << 20  # labelled documents, and bytes of their buckets, that one shard has on average
+PLACES = 1 << 25  # bits of the filter that leaves out documents without a label before they move; what it lets through wrongly, the join drops
 BUCKETS = 1 << 16  # embedding rows; a bucket fits two bytes
 WIDTHS, FILTERS, SIZE, BEGIN = (1, 2, 3), 8, 16, 5
 EPOCHS, RATE, DROP, START = 5, 0.1, 0.3, 0.1  # DROP: share of words left out at random while training; START: deviation of the first embeddings
@@ -227,11 +230,11 @@ def encoded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other AND toxic IN (0, 1)")
     marks = written(marks.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "marks")
-    rows = bounded_join(docs.where("text IS NOT NULL"), marks, "doc_id", "inner").select("text", "lang", "toxic")
+    rows = prepared(docs, marks).join(marks.hint("merge"), "doc_id", "inner").select("buckets", "lang", "toxic")  # by shuffle at any size: texts don't move, only buckets
 
     def make():
         def one(row):
-            raw = packed(row[0])
+            raw = row[0]
             digest = blake2b(raw + f"|{row[2]}|{row[1]}".encode(errors="replace"), digest_size=16).digest()
             k, j = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
             return k, j, row[2], row[1], crc32(raw[: len(raw) // 2]) % 4 == 0, raw
@@ -241,6 +244,34 @@ def encoded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(map_rows(rows, make, "k long, j long, toxic int, lang string, back boolean, buckets binary").dropDuplicates(["k", "j"]), "labelled")
 
 
+def prepared(docs: DataFrame, marks: DataFrame, rows: int = 512) -> DataFrame:
+    """(doc_id, lang, buckets) of all documents with a text that ``marks`` has, and a few others: ids pass a filter of PLACES bits, made of hashes of the marks' ids."""
+    kind, sent = docs.schema["doc_id"].dataType, None
+    if kind == marks.schema["doc_id"].dataType:  # ids of different types hash differently; then all documents pass
+        bits = np.zeros(PLACES // 8, np.uint8)
+        at = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)) + 1
+        for r in marks.groupBy(F.bitmap_bucket_number(at).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator():
+            part = np.frombuffer(r.bits, np.uint8)
+            first = (r["at"] - 1) * len(part)
+            bits[first : first + len(part)] = part[: PLACES // 8 - first]
+        sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        def pack(batch) -> Iterator[dict]:
+            if sent is not None:
+                at = batch.column(3).to_numpy()
+                batch = batch.take(pa.array(np.flatnonzero(sent.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                ids, langs, texts = (c.to_pylist() for c in part.columns[:3])
+                yield {"doc_id": ids, "lang": langs, "buckets": [packed(t) for t in texts]}
+
+        return pack
+
+    given = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place"))
+    return flat_arrow(given, make, T.StructType([given.schema["doc_id"], given.schema["lang"], T.StructField("buckets", T.BinaryType())]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> Model:
     """Train on all rows of ``docs`` (doc_id, text, lang) that ``labels`` (doc_id, toxic) marks; see ``encoded``.
 
@@ -257,8 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_
     shards = max(-(-sum(train) // shard_rows), -(-sum(counts[False, y].bytes for y in (0, 1)) // shard_bytes))
     weight = 0.5 * sum(train) / np.array(train)
     with tidy(rows.sparkSession):
-        held = rows.where("NOT back").groupBy(F.pmod("k", F.lit(shards)).alias("shard")).agg(F.collect_list(F.struct("k", "j", "toxic", "buckets")).alias("rows"))
-        held = written(held.repartition(shards, F.xxhash64("shard")), "shards")
+        held = rows.where("NOT back").withColumn("shard", F.pmod("k", F.lit(shards))).repartition(shards, "shard")  # what is grouped next; the rows move once
+        held = written(held.groupBy("shard").agg(F.collect_list(F.struct("k", "j", "toxic", "buckets")).alias("rows")), "shards")
         for k in range(EPOCHS if shards > 1 else 1):
             net = net.averaged(*learned(held, net, weight, 1 if shards > 1 else EPOCHS, k))
         names = languages(rows, number(True, 1))

@@ -224,3 +224,22 @@ def test_toxicity_learns_from_all_labelled_texts(spark):
     models = [toxicity.fit(d, labels, shard_rows=800) for d in (docs, docs.repartition(7))]
     assert (models[0].embeddings == models[1].embeddings).all() and (models[0].thresholds == models[1].thresholds).all()
     assert sum((models[0].score(text) >= 0.5) == k % 2 for k, text, _ in rows[::50] + rows[-1:]) > 0.97 * 81
+
+
+def test_toxicity_moves_buckets_of_labelled_documents_once(spark, monkeypatch):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('word', id % 700, ' some more') AS text", "'en' AS lang")
+    docs = docs.union(spark.sql("SELECT CAST(null AS long), 'word1', 'en' UNION ALL SELECT 4, CAST(null AS string), 'en' UNION ALL SELECT 8, 'again', null"))
+    marks = spark.range(0, 400, 4).selectExpr("id AS doc_id", "int(id % 8 = 0) AS toxic")
+    want = sorted((r.doc_id, r.lang or "", toxicity.packed(r.text)) for r in docs.where("doc_id < 400 AND doc_id % 4 = 0 AND text IS NOT NULL").collect())
+    found = toxicity.prepared(docs, marks)
+    assert found.columns == ["doc_id", "lang", "buckets"]
+    rows = sorted((r.doc_id, r.lang or "", bytes(r.buckets)) for r in found.collect())
+    assert len(want) == 101 and set(want) <= set(rows) and len(rows) < 120
+    other = toxicity.prepared(docs, marks.selectExpr("string(doc_id) AS doc_id", "toxic"))  # hashed differently, so nothing is left out
+    assert other.count() == 2001
+
+    plans, written = {}, toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or written(df, name))
+    toxicity.fit(docs, marks, shard_rows=40)
+    moved = [line for line in plans["labelled"].split("\n") if "Exchange" in line]
+    assert moved and "Broadcast" not in "".join(moved) and plans["shards"].count("Exchange hash") == 1
