@@ -219,3 +219,13 @@ def test_many_builds_in_few_files(spark, tmp_path):
     assert n and old.remove(old.select_one(version), dry=False) == 2 - (version == "v4") and old.builds().count() == n - 1
     old.add(about.where("canon_version <> 2"), found)
     assert old.builds().count() == 150 and old.functions().count() == 300
+
+
+def test_files_are_harvested_once(spark, monkeypatch):
+    """Forms take what is said of their functions along, and names are read once; what follows reads both from tables."""
+    plans, settled = [], harvest.graph.settled
+    monkeypatch.setattr(harvest.graph, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settled(df))
+    files = spark.createDataFrame([("app/x.elf", bytearray(program_with_symbols([("leaf", LEAF, 5), ("other", OTHER, 7)])))], "path string, content binary")
+    found = harvest.signatures(harvest.harvested(files), names=harvest.function_names(files))
+    assert [p.count("MapInArrow") for p in plans] == [1, 1] and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.name, r.origin, r.vaddr, r.component) for r in found.collect()} == {("app/x.elf", "leaf", "linked", 0x40080000, None), ("app/x.elf", "other", "linked", 0x40080008, None)}
