@@ -185,11 +185,11 @@ class Network:
         pad = -len(self.dense) % SIZE
         return tuple(np.concatenate([x, np.append(y, np.zeros(pad, np.float32)).reshape(-1, SIZE)]) for x, y in ((self.embeddings, self.dense), (self.memory, self.dense_memory)))
 
-    def averaged(self, at: np.ndarray, n: np.ndarray, sums: np.ndarray) -> Network:
-        """A copy with the rows of ``table`` at some places replaced by sums over what was learned, by how often."""
+    def averaged(self, at: np.ndarray, rows: np.ndarray) -> Network:
+        """A copy with the rows of ``table`` at some places, of weights and memory side by side, replaced by others."""
         tables, out = self.table(), self.copy()
         for k, x in enumerate(tables):
-            x[at] = sums[:, k * SIZE : (k + 1) * SIZE] / (n[:, None] * float(SCALE))
+            x[at] = rows[:, k * SIZE : (k + 1) * SIZE]
         (out.embeddings, dense), (out.memory, memory) = ((x[: len(self.embeddings)], x[len(self.embeddings) :].ravel()[: len(self.dense)]) for x in tables)
         out.dense, out.dense_memory = dense.copy(), memory.copy()
         return out
@@ -298,8 +298,11 @@ def fit(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, shard_
         return calibrated(model, rows.where("back") if number(True, 1) >= ENOUGH else rows)
 
 
-def learned(shards: DataFrame, net: Network, weight: np.ndarray, passes: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, n, sums): rows of the network's table that any shard changed, summed over the shards by how often each changed them."""
+def learned(shards: DataFrame, net: Network, weight: np.ndarray, passes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, rows): rows of the network's table that any shard changed, averaged over the shards by how often each changed them.
+
+    They come to the driver as Arrow columns of floats; as row objects they would take many times the room in both of its processes.
+    """
     sent = shards.sparkSession.sparkContext.broadcast(net)
 
     class Learner:
@@ -326,9 +329,10 @@ def learned(shards: DataFrame, net: Network, weight: np.ndarray, passes: int, se
                 yield {"at": part, "n": self.n[part], "v": list(self.sums[part])}
 
     found = flat_arrow(shards, Learner, "at int, n long, v array<long>")
-    found = found.groupBy("at").agg(F.sum("n").alias("n"), *[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(2 * SIZE)]).toPandas()
+    total = found.groupBy("at").agg(F.sum("n").alias("n"), *[F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(2 * SIZE)])
+    found = total.select("at", *[(F.col(f"v{k}") / (F.col("n") * F.lit(float(SCALE)))).cast("float").alias(f"v{k}") for k in range(2 * SIZE)]).toArrow()
     sent.destroy()
-    return found["at"].to_numpy(), found["n"].to_numpy(), found[[f"v{k}" for k in range(2 * SIZE)]].to_numpy()
+    return found["at"].to_numpy(), np.stack([found[f"v{k}"].to_numpy() for k in range(2 * SIZE)], 1)
 
 
 def languages(rows: DataFrame, positives: int) -> list[str]:
@@ -354,9 +358,9 @@ def spoken_by(rows: DataFrame, names: list[str]) -> np.ndarray:
             at, k = np.nonzero(self.tally)
             yield {"at": at, "k": k, "n": self.tally[at, k]}
 
-    found = flat_arrow(rows.select("lang", "buckets"), Tally, "at int, k int, n long").groupBy("at", "k").agg(F.sum("n").alias("n")).toPandas()
+    found = flat_arrow(rows.select("lang", "buckets"), Tally, "at int, k int, n long").groupBy("at", "k").agg(F.sum("n").alias("n")).toArrow()
     tally = np.zeros((BUCKETS, len(names) + 1))
-    tally[found["at"].to_numpy(int), found["k"].to_numpy(int)] = found["n"].to_numpy()
+    tally[found["at"].to_numpy(), found["k"].to_numpy()] = found["n"].to_numpy()
     spoken = np.log((tally + 1) / (tally + 1).sum(0))
     spoken[tally.sum(1) == 0] = 0
     return spoken

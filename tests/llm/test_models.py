@@ -243,3 +243,22 @@ def test_toxicity_moves_buckets_of_labelled_documents_once(spark, monkeypatch):
     toxicity.fit(docs, marks, shard_rows=40)
     moved = [line for line in plans["labelled"].split("\n") if "Exchange" in line]
     assert moved and "Broadcast" not in "".join(moved) and plans["shards"].count("Exchange hash") == 1
+
+
+def test_toxicity_sends_weights_to_the_driver_as_columns(spark, monkeypatch):
+    """Averages are those of the shards' tables by how often a row was changed, and no weights come to the driver as row objects."""
+    shards = spark.createDataFrame([(s, [(i, s, i % 2, toxicity.packed(f"w{i} w{i + s} same")) for i in range(6)]) for s in range(3)], "shard int, rows array<struct<k:long,j:long,toxic:int,buckets:binary>>").repartition(3)
+    net, weight, kind, sizes = toxicity.Network(), np.ones(2), type(shards), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: sizes.append(len(rows := collect(df))) or rows)
+    at, rows = toxicity.learned(shards, net, weight, 1, 5)
+    toxicity.spoken_by(spark.createDataFrame([("en", toxicity.packed("a b c"))], "lang string, buckets binary"), ["en"])
+    assert sizes == []
+    n, sums = np.zeros(len(net.table()[0])), 0
+    for s in range(3):
+        own = net.learn([(toxicity.packed(f"w{i} w{i + s} same"), i % 2) for i in range(6)], weight, 1, 5_000_015 + s)
+        times = np.append(own.touched, np.full(len(n) - len(own.touched), 6))
+        n, sums = n + times, sums + np.concatenate(own.table(), 1) * times[:, None]
+    assert sorted(at) == np.flatnonzero(n).tolist() and rows.dtype == np.float32
+    assert np.allclose(rows, sums[at] / n[at, None], atol=1e-5)
+    assert np.array_equal(net.averaged(at, rows).table()[0][at], rows[:, : toxicity.SIZE])
