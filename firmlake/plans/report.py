@@ -34,6 +34,12 @@ def bars(regions: DataFrame) -> DataFrame:
     return held.select("image", F.concat(F.lit("["), line, F.lit("]")).alias("line"))
 
 
+def matched_line() -> Column:
+    """The line of ``matched`` and ``total``, an image's functions."""
+    whole = F.concat(grouped_digits(F.col("matched")), F.lit(" of "), grouped_digits(F.col("total")), F.lit(" functions ("), percent(F.col("matched"), F.col("total")), F.lit(")"))
+    return F.concat(F.lit("matched: "), whole)
+
+
 def lines(out: dict[str, DataFrame]) -> DataFrame:
     """(image, part, at, line) of the tables of ``symbols``, in order of the first three."""
     identified = out["identified"].withColumnRenamed("image_id", "image")
@@ -46,8 +52,7 @@ def lines(out: dict[str, DataFrame]) -> DataFrame:
         if head:
             parts[-1] = parts[-1].unionByName(df.select("image").distinct().select("image", F.lit(k).alias("part"), F.lit(-1).cast("long").alias("at"), F.lit(head).alias("line")))
 
-    whole = F.concat(grouped_digits(F.col("matched")), F.lit(" of "), grouped_digits(F.col("total")), F.lit(" functions ("), percent(F.col("matched"), F.col("total")), F.lit(")"))
-    part(coverage, F.concat(F.lit("matched: "), whole))
+    part(coverage, matched_line())
     rivals = F.when(F.size("ambiguous_with") > 0, F.concat(F.lit(" (+"), F.size("ambiguous_with").cast("string"), F.lit(" ambiguous name(s))"))).otherwise("")
     where = F.coalesce(hex_address(F.col("file_offset")), F.lit("-"))
     sources = F.coalesce(F.nullif(F.array_join("sources", ", "), F.lit("")), F.lit("unknown"))

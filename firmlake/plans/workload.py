@@ -695,13 +695,24 @@ def _corpus(spark, d):
     return held
 
 
+def _together(spark, *steps):
+    """What some steps return, run at the same time: one plans or has few tasks left while another's tasks take the cores."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]]
+
+
 def _symbols(spark, d):
+    """The images' symbols, and their paths. Images are analysed while the corpus is made, as neither needs the other."""
     from firmlake.plans import symbols as plan
 
     files = _images(spark, d)
-    analysis = plan.analysed(files, memo=S.shared(spark, "memo"))
+    analysis, held = _together(spark, lambda: plan.analysed(files, memo=S.shared(spark, "memo")), lambda: _corpus(spark, d))
     paths = analysis["parsed"].select(F.col("image_id").alias("image"), "path")
-    return plan.symbols(analysis, _corpus(spark, d)), paths
+    return plan.symbols(analysis, held), paths
 
 
 @query("WITH " + SG + """SELECT path, entry::BIGINT AS entry, name, component, origin, CASE WHEN rivals = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence, rivals::INT AS rivals, builds::INT AS builds, (CASE WHEN off = 16 THEN 1 WHEN f = 0 AND slots > 3 THEN 1 ELSE 0 END)::BIGINT AS in_degree FROM pf JOIN bn USING (txt)""")
@@ -726,8 +737,7 @@ def q_symbols_summary(spark, d):
     from firmlake.plans import report
 
     out, paths = _symbols(spark, d)
-    line = report.lines(out).where("part = 0").select("image", "line")
-    return out["summary"].join(line, "image").join(paths, "image").select("path", "matched", "total", "versions", "line")
+    return out["summary"].join(paths, "image").select("path", "matched", "total", "versions", report.matched_line().alias("line"))
 
 
 @query("WITH " + HV + """SELECT 'b' || k AS build, 'v' || (k % 3) AS idf_version, 2::BIGINT AS archive, 2::BIGINT AS linked, 4::BIGINT AS total, false AS stale, sha256('CONFIG_KEY=' || k || chr(10)) AS config_hash FROM hv WHERE k % 3 = 1""")

@@ -229,3 +229,35 @@ def test_files_are_harvested_once(spark, monkeypatch):
     found = harvest.signatures(harvest.harvested(files), names=harvest.function_names(files))
     assert [p.count("MapInArrow") for p in plans] == [1, 1] and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.path, r.name, r.origin, r.vaddr, r.component) for r in found.collect()} == {("app/x.elf", "leaf", "linked", 0x40080000, None), ("app/x.elf", "other", "linked", 0x40080008, None)}
+
+
+def test_images_are_analysed_while_the_corpus_is_made(spark, monkeypatch):
+    """Each waits for the other to have begun, and what either raises is raised."""
+    from threading import Barrier
+
+    from firmlake.plans import workload
+
+    both = Barrier(2, timeout=20)
+    monkeypatch.setattr(S, "analysed", lambda files, memo: both.wait() is None or {"parsed": spark.createDataFrame([("x", "p")], "image_id string, path string")})
+    monkeypatch.setattr(workload, "_corpus", lambda *_: both.wait() is None or "corpus")
+    monkeypatch.setattr(S, "symbols", lambda analysis, corpus: corpus)
+    found, paths = workload._symbols(spark, "/root/testdata/sf0.001")
+    assert found == "corpus" and [tuple(r) for r in paths.collect()] == [("x", "p")]
+    monkeypatch.setattr(S, "analysed", lambda files, memo: both.wait() is None or {}["gone"])
+    with pytest.raises(KeyError, match="gone"):
+        workload._symbols(spark, "/root/testdata/sf0.001")
+
+
+def test_bytes_of_images_move_once_to_their_recovery(spark):
+    from firmlake.sources import recover
+
+    rows = spark.createDataFrame([], "image_id string, entry_addr long, index int, load_addr long, executable boolean, region string, file_offset long, data binary")
+    assert recover.recovered(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_the_line_of_matches_is_that_of_the_report(spark):
+    from firmlake.plans import report
+
+    counts = [("a", 1, 3), ("b", 0, 1234), ("c", 1234, 1234)]
+    found = spark.createDataFrame(counts, "image string, matched long, total long").select("image", report.matched_line().alias("line"))
+    assert dict(found.collect()) == {"a": "matched: 1 of 3 functions (33.3%)", "b": "matched: 0 of 1,234 functions (0.0%)", "c": "matched: 1,234 of 1,234 functions (100.0%)"}
